@@ -40,16 +40,17 @@ def held_out(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 4) == 2
 
 
-def spread_rank(df: DataFrame, key: str, order: list[str], rows_per_bucket: int = 100_000) -> DataFrame:
+def spread_rank(df: DataFrame, key: str, order: list[str], parts: int = 1024) -> DataFrame:
     """Adds ``rank_in_key`` (0-based, gapless) and ``key_count`` per ``key``, however many rows a key has.
 
-    A key is cut into as many hash buckets as its count asks for, so that no task sorts
-    more than about ``rows_per_bucket`` rows of it; bucket offsets come from a running
-    sum over the bucket counts. ``df`` is read three times: pass a written table. Keys
-    must be a bounded set (lengths, curve cells), as their counts are joined in.
+    A key is cut into hash buckets so that none holds more than about 1/``parts`` of all
+    rows; bucket offsets come from a running sum over the bucket counts, of which there are
+    at most keys + parts. ``df`` is read three times: pass a written table. Keys must be a
+    bounded set (lengths, curve cells), as their counts are broadcast.
     """
     counts = df.groupBy(key).agg(F.count("*").alias("key_count"))
-    counts = counts.withColumn("_buckets", F.ceil(F.col("key_count") / F.lit(rows_per_bucket)).cast("int"))
+    share = F.col("key_count") * F.lit(parts) / F.sum("key_count").over(Window.partitionBy())
+    counts = counts.withColumn("_buckets", F.ceil(share).cast("int"))
     dealt = df.join(F.broadcast(counts), key).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets")))
     sizes = dealt.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +58,7 @@ def spread_rank(df: DataFrame, key: str, order: list[str], rows_per_bucket: int
     own = Window.partitionBy(key, "_bucket").orderBy(*order)
     ranked = dealt.withColumn("_place", F.row_number().over(own) - 1)
     return (
-        ranked.join(sizes, [key, "_bucket"])
+        ranked.join(F.broadcast(sizes), [key, "_bucket"])
         .withColumn("rank_in_key", (F.col("_start") + F.col("_place")).cast("long"))
         .drop("_bucket", "_buckets", "_start", "_place")
     )

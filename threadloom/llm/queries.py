@@ -7,12 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.llm.bpe import round_trip_digests
 from threadloom.llm.common import table
 from threadloom.llm.line_dedup import drop_boilerplate
+from threadloom.llm.packing import pack
 from threadloom.llm.quality_rules import quality_filter
 from threadloom.llm.sharding import hilbert_shards
 
 
+def vocabulary_path() -> str:
+    """The public word-level byte-pair vocabulary; the package that holds it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return drop_boilerplate(docs, host="source", text="text")
@@ -22,6 +31,14 @@ def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=4096, end_id=1)
+
+
 def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -31,6 +48,8 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_hilbert_shards": op3_hilbert_shards,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_cascade": op9_quality_cascade,
 }
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from threadloom.llm.common import cut
+from threadloom.llm.common import cut, spread_rank
 
 
 def curve_index(point: tuple[int, ...], bits: int) -> int:
@@ -56,13 +56,13 @@ def curve_column(steps: list[Column], bits: int) -> Column:
     return F.get(F.lit(cells), code.cast("int"))
 
 
-def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 3, rows_per_bucket: int = 50_000) -> DataFrame:
+def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), curve.
 
     Dimensions: source and lang (hashed to steps), size (its logarithm). Only these few
-    numbers a row are written and shuffled, never texts. A cell with many rows is cut into
-    hash buckets of about ``rows_per_bucket``; bucket offsets come from a running sum over
-    at most cells + rows / rows_per_bucket counts.
+    numbers a row are written and shuffled, never texts. Rows are ranked within their cell
+    in parallel, and cells follow each other by a running sum over their counts (at most
+    2**(3 * bits)).
     """
     side = 1 << bits
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -74,15 +74,11 @@ def hilbert_shards(docs: DataFrame, shards: int = 8, bits: int = 3, rows_per_buc
             curve_column([F.pmod(F.xxhash64("source"), F.lit(side)), F.pmod(F.xxhash64("lang"), F.lit(side)), F.floor(F.log2(size)) - 6], bits).alias("curve"),
         )
     )
-    counts = base.groupBy("curve").agg(F.count("*").alias("_count"))
-    counts = counts.select("curve", F.ceil(F.col("_count") / F.lit(rows_per_bucket)).cast("int").alias("_buckets"))
-    dealt = base.join(F.broadcast(counts), "curve").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("_buckets")))
-    sizes = dealt.groupBy("curve", "_bucket").agg(F.count("*").alias("_n"))
-    running = Window.orderBy("curve", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("curve", "_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    own = Window.partitionBy("curve", "_bucket").orderBy("doc_id", "text_crc32", "size")
-    placed = dealt.withColumn("_place", F.row_number().over(own) - 1).join(F.broadcast(sizes), ["curve", "_bucket"])
-    placed = placed.withColumn("_rank", F.col("_start") + F.col("_place")).withColumn("shard", F.expr(f"cast(_rank * {shards} div _total as int)"))
+    ranked = spread_rank(base, "curve", ["doc_id", "text_crc32", "size"])
+    cells = base.groupBy("curve").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("curve", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
+    placed = ranked.join(F.broadcast(cells), "curve").withColumn("_rank", F.col("_start") + F.col("rank_in_key")).withColumn("shard", F.expr(f"cast(_rank * {shards} div _total as int)"))
     return placed.select(
         "doc_id",
         "size",
