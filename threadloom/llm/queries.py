@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.llm.bpe import round_trip_digests
 from threadloom.llm.common import table
 from threadloom.llm.line_dedup import drop_boilerplate
+from threadloom.llm.near_dedup import near_duplicates
 from threadloom.llm.packing import pack
 from threadloom.llm.quality_rules import quality_filter
 from threadloom.llm.sharding import hilbert_shards
@@ -27,6 +28,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(docs, host="source", text="text")
 
 
+def op2_hyperminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -47,6 +52,7 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_hyperminhash_dedup": op2_hyperminhash_dedup,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -54,6 +60,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_hyperminhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+sh AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS kept
+FROM n LEFT JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
     "op1_line_dedup": """
 WITH d AS (SELECT doc_id, source, text, coalesce(source, chr(1)) AS host FROM documents),
 lines AS (SELECT doc_id, host, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM d),
