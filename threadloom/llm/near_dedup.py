@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import cut
+from threadloom.llm.hashing import BASE, hashes_between, mix
 
 BUCKETS, ROWS = 512, 8  # registers; registers in a band
 BANDS = BUCKETS // ROWS
@@ -38,44 +39,19 @@ SKETCH = 256  # registers that the estimate compares
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit integers (multiply and shift)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 _RNG = np.random.default_rng(20)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _DONORS = _RNG.integers(0, BUCKETS, (24, BUCKETS))
 _PICK = _RNG.integers(0, 2**31, BUCKETS)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _grow_powers(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, 1 << 16)
-        back = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _BASE, np.uint64))])
-        _inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, back, np.uint64))])
-
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word: maximal runs of bytes that are not white space, A-Z in lower case."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
-    _grow_powers(len(raw) + 1)
     blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[raw] * _powers[: len(raw)])])
-    return _mix((total[end] - total[start]) * _inverse[start] + (end - start).astype(np.uint64))
+    return hashes_between(raw, start, end)
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -86,7 +62,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     k = min(k, len(words))
     h = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
-        h = _mix(h * _BASE + words[i : len(words) - k + 1 + i] + np.uint64(i + 1))
+        h = mix(h * BASE + words[i : len(words) - k + 1 + i] + np.uint64(i + 1))
     return np.unique(h)
 
 
@@ -116,12 +92,12 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-_BAND_SALT = _mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+_BAND_SALT = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
     halves = regs.reshape(BANDS, ROWS).copy().view(np.uint64)
-    return _mix(_mix(halves[:, 0] + _BAND_SALT) * _BASE + halves[:, 1]).view(np.int64)
+    return mix(mix(halves[:, 0] + _BAND_SALT) * BASE + halves[:, 1]).view(np.int64)
 
 
 def compressed(regs: np.ndarray) -> bytes:
@@ -149,8 +125,8 @@ def sketches(docs: DataFrame, shingle_words: int, small: int) -> DataFrame:
             for t in b.column(1):
                 s = shingle_set(t.as_py(), shingle_words)
                 n.append(len(s))
-                da.append(int(np.bitwise_xor.reduce(_mix(s + np.uint64(1)))) if len(s) else 0)
-                db.append(int(np.sum(_mix(s ^ _BASE))) if len(s) else 0)
+                da.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))) if len(s) else 0)
+                db.append(int(np.sum(mix(s ^ BASE))) if len(s) else 0)
                 regs = registers(s) if len(s) > small else None
                 bands.append(None if regs is None else band_keys(regs))
                 sk.append(None if regs is None else compressed(regs))

@@ -12,8 +12,10 @@ from threadloom.llm.common import table
 from threadloom.llm.line_dedup import drop_boilerplate
 from threadloom.llm.near_dedup import near_duplicates
 from threadloom.llm.packing import pack
+from threadloom.llm.quality_mil import score_quality
 from threadloom.llm.quality_rules import quality_filter
 from threadloom.llm.sharding import hilbert_shards
+from threadloom.llm.toxicity_crf import score_toxicity
 
 
 def vocabulary_path() -> str:
@@ -40,6 +42,14 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op7_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path(), capacity=4096, end_id=1)
 
@@ -55,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hyperminhash_dedup": op2_hyperminhash_dedup,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_attention_quality": op5_attention_quality,
+    "op7_crf_toxicity": op7_crf_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_cascade": op9_quality_cascade,
 }
