@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    """A public tokenizer's file; the package that holds it is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, without its lineage.
 

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from threadloom.llm.bpe import round_trip_digests
-from threadloom.llm.common import table
+from threadloom.llm.common import table, vocabulary_path
+from threadloom.llm.html_extract import extract_main_text
 from threadloom.llm.line_dedup import drop_boilerplate
+from threadloom.llm.media_webp import media_columns
 from threadloom.llm.near_dedup import near_duplicates
 from threadloom.llm.packing import pack
 from threadloom.llm.quality_mil import score_quality
@@ -18,13 +21,6 @@ from threadloom.llm.sharding import hilbert_shards
 from threadloom.llm.toxicity_crf import score_toxicity
 
 
-def vocabulary_path() -> str:
-    """The public word-level byte-pair vocabulary; the package that holds it is installed on every machine."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return drop_boilerplate(docs, host="source", text="text")
@@ -60,17 +56,33 @@ def op9_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_filter(docs).select(*names)
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_hyperminhash_dedup": op2_hyperminhash_dedup,
     "op3_hilbert_shards": op3_hilbert_shards,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_attention_quality": op5_attention_quality,
+    "op6_html_main_text": op6_html_main_text,
     "op7_crf_toxicity": op7_crf_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_cascade": op9_quality_cascade,
+    "op10_webp_media": op10_webp_media,
 }
 
+QUERIES["pipeline"] = pipeline
+
 ORACLES: dict[str, str] = {
     "op2_hyperminhash_dedup": r"""
 WITH RECURSIVE w AS (

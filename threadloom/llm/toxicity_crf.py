@@ -292,15 +292,19 @@ def spans_of(text: str, tagged: list[np.ndarray], least: float = 0.5) -> list[tu
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000, train_docs: DataFrame | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000, train_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from ``threshold`` on) and spans (offsets of toxic text).
 
-    The tagger learns on the driver from at most ``per_class`` labelled texts a class.
+    The tagger learns on the driver from at most ``per_class`` labelled texts a class, those
+    of ``train_docs`` if given. ``keep``: further columns of ``docs`` to carry along.
     """
     model = fit_tagger(labelled_sample(train_docs if train_docs is not None else docs, labels, "toxic", per_class))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    carried = [c for c in keep or [] if c != "doc_id"]
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
@@ -308,7 +312,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
                 tagged = model.tag(texts) if model else [[] for _ in texts]
                 scores = [model.score(m) if model else 0.5 for m in tagged]
                 spans = [[{"start": s, "end": e} for s, e in spans_of(t, m)] for t, m in zip(texts, tagged, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind), *b.columns[2:]], names=["doc_id", "_score", "_spans", *carried])
 
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    given = docs.select("doc_id", F.col("text").alias("_text"), *carried)
+    scored = given.mapInArrow(run, "doc_id long, _score double, _spans array<struct<start:int,end:int>>" + extra)
+    own = [F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), F.col("_spans").alias("spans")]
+    return scored.select("doc_id", *own, *carried)
