@@ -1,0 +1 @@
+"""Conversation, library and knowledge-graph analytics as Spark DataFrame operators."""

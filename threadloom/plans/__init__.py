@@ -1,0 +1,11 @@
+"""The data model over the fixture tables, and the registered queries by theme."""
+
+import importlib
+
+THEMES = ("temporal_queries", "graph_queries")
+
+
+def load_all() -> None:
+    """Imports every theme, which registers its queries."""
+    for name in THEMES:
+        importlib.import_module(f"threadloom.plans.{name}")
