@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 #: Unicode's White_Space. str.split() also splits at \x1c to \x1f, which are none.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: What the pre-tokenizer takes as pieces.
+PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _END = 256  # added to the last byte of a piece: symbols are 0 to 511
 
 
@@ -92,7 +94,6 @@ class Vocabulary:
         self._automaton(symbols)
         self._fits: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
-        self._pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
     def _automaton(self, symbols: dict[int, tuple[int, ...]]) -> None:
         """The automaton of all substrings of tokens, grown over the trie of tokens by breadth."""
@@ -240,7 +241,7 @@ class Vocabulary:
 
     def pieces(self, text: str) -> list[str]:
         """Pieces of a text that is already in lower case and in normal form."""
-        return self._pieces.findall(text)
+        return PIECES.findall(text)
 
     def encode_chunk(self, chunk: str) -> bytes:
         """Ids of a chunk without white space, as 32-bit unsigned integers."""
@@ -285,16 +286,23 @@ def chunks_of(text: str) -> list[str]:
     return [c for c in _spaces.split(text) if c] if any(c in text for c in _NOT_SPACE) else text.split()
 
 
+def parts_of(text: str | None, special: Specials) -> list[str | int]:
+    """Chunks of a whole text, and ids of the special strings among them."""
+    out: list[str | int] = []
+    for ordinary, then in special.split(text or ""):
+        out += chunks_of(ordinary)
+        if then is not None:
+            out.append(then)
+    return out
+
+
 def encode_text(text: str | None, special: Specials, seen: Chunks) -> bytes:
     """Ids of a whole text as 32-bit unsigned integers, as the tokenizer's encode without special tokens gives them."""
     if not text:
         return b""
-    out: list[bytes] = []
-    for ordinary, then in special.split(text):
-        out += map(seen.__getitem__, chunks_of(ordinary))
-        if then is not None:
-            out.append(array("I", [then]).tobytes())
-    return b"".join(out)
+    if "<" not in text:
+        return b"".join(map(seen.__getitem__, chunks_of(text)))
+    return b"".join(seen[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in parts_of(text, special))
 
 
 @cache

@@ -13,7 +13,10 @@ columns beside id and text are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,40 +27,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import Chunks, encode_text, vocabulary_specials
+from threadloom.llm.bpe import PIECES, Chunks, Specials, chunks_of, encode_text, vocabulary_specials
 from threadloom.llm.common import cut, spread_rank
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many bins; (length, how many of it) in one bin
 
 
-@cache
-def _library_chunks(path: str) -> tuple[Chunks, object]:
-    from array import array
+class LibraryChunks(Chunks):
+    """Ids of chunks by the tokenizers library, which encodes those not seen yet in batches."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a piece
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
+        super().__init__(lambda c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes(), most=600_000)
+
+    def learn(self, texts: list[str]) -> None:
+        """Encodes the short chunks of plain texts that aren't known yet, many in one call; ends of pieces tell them apart."""
+        new = [c for c in set().union(*map(chunks_of, texts)) - self.keys() if len(c) <= 64]
+        if len(self) + len(new) > self.most:
+            self.clear()
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            [done] = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(done.ids, "<u4")
+            pieces = [1 if c.isalpha() else len(PIECES.findall(c)) for c in part]
+            stops = np.flatnonzero(self.ends[ids])[np.cumsum(pieces) - 1] + 1
+            raw, before = ids.tobytes(), 0
+            for c, stop in zip(part, (4 * stops).tolist(), strict=True):
+                self[c] = raw[before:stop]
+                before = stop
 
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return Chunks(lambda c: array("I", t.encode(c, add_special_tokens=False).ids).tobytes()), vocabulary_specials(path)
+@cache
+def _library_at(path: str) -> tuple[LibraryChunks, Specials]:
+    return LibraryChunks(path), vocabulary_specials(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids followed by ``end_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, special = _library_chunks(tokenizer_path)
+        seen, special = _library_at(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            cols: list[list[int]] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = encode_text(text.as_py(), special, seen) + end
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    for col, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        col.append(v)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                b = whole.slice(first, 500)
+                texts = b.column(1).to_pylist()
+                seen.learn([t for t in texts if t and "<" not in t])
+                cols: list[list[int]] = [[], [], [], [], []]
+                for doc, text in zip(b.column(0).to_pylist(), texts, strict=True):
+                    raw = encode_text(text, special, seen) + end
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        for col, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            col.append(v)
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -14,6 +14,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -157,12 +158,12 @@ def _only_states(pot: np.ndarray, there: np.ndarray, move: np.ndarray) -> np.nda
 class Potentials(dict):
     """exp of the emission of each chunk seen; emptied when full, so that memory stays bounded."""
 
-    def __init__(self, weight: np.ndarray, most: int = 300_000):
+    def __init__(self, weight: np.ndarray, most: int = 600_000):
         super().__init__()
-        self.weight, self.most = weight, most
+        self.weight, self.most = weight.tolist(), most  # a list is faster to look up one by one
 
     def __missing__(self, chunk: str) -> float:
-        out = float(np.exp(np.clip(self.weight[places_of(traits(form_of(chunk)))].sum(), -20, 20)))
+        out = math.exp(min(20.0, max(-20.0, sum(map(self.weight.__getitem__, places_of(traits(form_of(chunk))))))))
         if len(self) >= self.most:
             self.clear()
         if len(chunk) <= 64:
