@@ -67,23 +67,23 @@ def entity_clusters(spark, sf):
 
 _PATHS = """
 , p(node, path, depth) AS (
-  SELECT 'e-3', ['e-3'], 0 UNION ALL
+  SELECT 'e-60', ['e-60'], 0 UNION ALL
   SELECT target_entity_id, list_append(path, target_entity_id), depth + 1 FROM p JOIN relations ON source_entity_id = node
-  WHERE depth < 4 AND node <> 'e-14' AND NOT list_contains(path, target_entity_id)),
-paths AS (SELECT DISTINCT depth, array_to_string(path, ' > ') AS path FROM p WHERE node = 'e-14' ORDER BY depth, path LIMIT 10)
+  WHERE depth < 4 AND node <> 'e-22' AND NOT list_contains(path, target_entity_id)),
+paths AS (SELECT DISTINCT depth, array_to_string(path, ' > ') AS path FROM p WHERE node = 'e-22' ORDER BY depth, path LIMIT 10)
 """
 
 
 @query("entity_paths", over("relations", _PATHS + "SELECT * FROM paths"))
 def entity_paths(spark, sf):
-    return g.simple_paths(Model(spark, sf).relations(), "e-3", "e-14", 4, 10)
+    return g.simple_paths(Model(spark, sf).relations(), "e-60", "e-22", 4, 10)
 
 
 @query("entity_paths_named", over("relations entities", _PATHS + """, s AS (SELECT depth, path, unnest(string_split(path, ' > ')) AS id, generate_subscripts(string_split(path, ' > '), 1) AS k FROM paths)
 SELECT depth, path, string_agg(coalesce(canonical_name, 'Unknown'), ' > ' ORDER BY k) AS names FROM s LEFT JOIN entities USING (id) GROUP BY 1, 2"""))
 def entity_paths_named(spark, sf):
     m = Model(spark, sf)
-    return g.named_path(g.simple_paths(m.relations(), "e-3", "e-14", 4, 10), m.entities())
+    return g.named_path(g.simple_paths(m.relations(), "e-60", "e-22", 4, 10), m.entities())
 
 
 _AROUND = """
