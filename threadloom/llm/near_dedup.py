@@ -8,10 +8,11 @@ registers that agree by chance, which drops hopeless pairs; the rest are confirm
 full sets. Components of the confirmed links follow by contraction.
 
 Groups that share a band are never expanded blindly. Documents with equal sets are one
-class first. Each band group then links its members to one hub, the member whose bands are
-most shared; once those links are confirmed and contracted, only pairs that lie in one band
-group but in different components are left, and these are all checked. Large band groups
-of unlike members are dealt anew by pairs of bands first, which near-duplicates share too.
+class first. Each band group then compares its members with one hub, the member whose bands
+are most shared; once those links are contracted, only pairs that lie in one band group but
+in different components are left. Where both are near the hub, what each adds to the hub
+tells which pairs can be linked at all; where they are far from it, pairs are checked, after
+large groups are dealt anew by pairs of bands, which near-duplicates share too.
 
 Defined results: a null, empty or white-space-only text has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle; rows that repeat an id are one
@@ -136,26 +137,33 @@ def sketches(docs: DataFrame, shingle_words: int, small: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives whose full sets reach the similarity."""
-    size = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b").filter(F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"))
-    # Five standard errors below the threshold, so that no link is lost to the estimate; a
-    # set fills about half as many of the compared registers as it has shingles.
-    p = percent / 100
-    least = F.lit(p) - F.sqrt(F.lit(25 * p * (1 - p)) / F.least(F.col("n_a") / 2, F.col("n_b") / 2, F.lit(float(SKETCH))))
+#: Pairs less similar than this are only called far.
+FAR = 0.2
+
+
+def compared(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle_words: int, least: float) -> DataFrame:
+    """Pairs (a, b) of class representatives with n_a, n_b and ``same``, the size of the intersection of their full sets.
+
+    Pairs whose estimate is five standard errors under ``least`` stay as they are, with
+    ``same`` 0. ``added``: the hashes of b's shingles that a lacks, in order, for pairs that
+    are not far.
+    """
+    side = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+    sized = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    # A set fills about half as many of the compared registers as it has shingles.
+    error = F.sqrt(F.lit(25 * 0.25 if least < 0.5 else 25 * least * (1 - least)) / F.least(F.col("n_a") / 2, F.col("n_b") / 2, F.lit(float(SKETCH))))
 
     @F.pandas_udf("double")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([estimate(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-    hopeful = cut(sized.filter(similar("sketch_a", "sketch_b") >= least).select("a", "b").distinct())
+    rated = cut(sized.select("a", "b", "n_a", "n_b", (similar("sketch_a", "sketch_b") >= F.lit(least) - error).alias("near")).distinct())
     own = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[str, np.ndarray] = {}
-            keep = []
+            sizes, same, added = [], [], []
             for i in range(batch.num_rows):
                 sets = []
                 for c in ("text_a", "text_b"):
@@ -165,13 +173,59 @@ def confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle_words
                             seen.clear()
                         seen[t] = shingle_set(t, shingle_words)
                     sets.append(seen[t])
-                same = len(np.intersect1d(*sets, assume_unique=True))
-                if same and 100 * same >= percent * (len(sets[0]) + len(sets[1]) - same):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                new = np.setdiff1d(sets[1], sets[0], assume_unique=True)
+                sizes.append((len(sets[0]), len(sets[1])))
+                same.append(len(sets[1]) - len(new))
+                far = same[-1] < FAR * (len(sets[0]) + len(new))
+                added.append(new[: 0 if far else None].view(np.int64))
+            n_a, n_b = (pa.array([x[k] for x in sizes], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), n_a, n_b, pa.array(same, pa.int64()), pa.array(added, pa.list_(pa.int64()))], names=["a", "b", "n_a", "n_b", "same", "added"])
+
+    schema = "a long, b long, n_a long, n_b long, same long, added array<long>"
+    full = rated.filter("near").select("a", "b").join(own("a"), "a").join(own("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    far = rated.filter("not near").select("a", "b", "n_a", "n_b", F.lit(0).cast("long").alias("same"), F.array().cast("array<long>").alias("added"))
+    return cut(full.union(far))
 
-    full = hopeful.join(own("a"), "a").join(own("b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(full.mapInArrow(run, "a long, b long").distinct())
+
+def links_of(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.filter(F.expr(f"same > 0 and 100 * same >= {percent} * (n_a + n_b - same)")).select("a", "b").distinct()
+
+
+def through_hubs(stars: DataFrame, part: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of members of one star, in different components, that may reach the similarity.
+
+    Let the hub h have n shingles and share s with a member x and t with a member y. What x
+    and y share lies in h, at most min(s, t), or among the shingles that both add to h.
+    They must share p / (1 + p) of their sizes, so min(s, t) leaves a number of shared
+    additions to be found. Where that is none, one of them is smaller than h, as neither
+    may be linked through h. Else they have one of their first additions in common, by the
+    usual bound on prefixes of an order, and both have that many that others add too.
+    """
+    f = percent / (100 + percent)
+    label = lambda c: part.select(F.col("doc_id").alias(c), F.col("component").alias(f"part_{c}"))
+    spokes = stars.drop("added").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    spokes = spokes.select(F.col("a").alias("hub"), F.col("b").alias("v"), F.col("n_a").alias("n_hub"), F.col("n_b").alias("n"), "same", F.coalesce("part_b", "b").alias("part"), F.coalesce("part_a", "a").alias("hub_part"))
+    out = F.col("part") != F.col("hub_part")
+    some = spokes.groupBy("hub").agg(F.count("*").alias("members"), F.bool_or(out).alias("any_out"), F.min("n").alias("least_n")).filter("members > 1 and any_out").select("hub", "least_n")
+    # ``need``: additions that x shares with any y it is linked to, at least
+    need = F.greatest(F.ceil(F.lit(f) * (F.col("n") + F.greatest(F.col("least_n").cast("double"), F.col("n") * (percent / 100))) - F.col("same") - 1e-6), F.lit(0))
+    spokes = cut(spokes.join(some, "hub").withColumn("need", need).filter("n - same >= need"))
+    added = spokes.join(stars.select(F.col("a").alias("hub"), F.col("b").alias("v"), "added"), ["hub", "v"])
+    firsts = added.select("hub", "v", "part", F.explode(F.slice("added", F.lit(1), F.size("added") - F.greatest(F.col("need"), F.lit(1)).cast("int") + 1)).alias("e"))
+    mixed = lambda df: df.groupBy("hub", "e").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("hub", "e")
+    firsts = cut(firsts.join(mixed(firsts), ["hub", "e"]))
+    met = added.join(firsts.select("hub", "v").distinct(), ["hub", "v"], "left_semi").select("hub", "v", "part", F.explode("added").alias("e"))
+    met = met.join(mixed(met), ["hub", "e"]).groupBy("hub", "v").agg(F.count("*").alias("shared"))
+    able = spokes.join(met, ["hub", "v"]).filter("shared >= need").select("hub", "v", "n", "same", "n_hub", "shared")
+    firsts = firsts.join(able, ["hub", "v"])
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    enough = f"least(x.same, y.same) + least(x.shared, y.shared) >= {f!r} * (x.n + y.n) - 1e-6"
+    by_added = firsts.alias("x").join(firsts.alias("y"), F.expr(f"x.hub = y.hub and x.e = y.e and x.v < y.v and x.part <> y.part and {fits} and {enough}")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    held = spokes.filter(F.expr(f"100 * same >= {percent} * n"))
+    small, loose = held.filter("n < n_hub"), held.filter(out)
+    by_size = loose.alias("x").join(small.alias("y"), F.expr(f"x.hub = y.hub and x.part <> y.part and {fits} and least(x.same, y.same) >= {f!r} * (x.n + y.n) - 1e-6"))
+    by_size = by_size.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+    return by_added.union(by_size).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,23 +266,33 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     hubs = member.groupBy("v").agg(F.sum("size").alias("weight"))
     weighed = member.join(hubs, "v").select("key", "v", "weight")
     hub = weighed.groupBy("key").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("hub"))
-    pair = lambda df, x, y: df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a < b").distinct()
-    first = cut(pair(member.join(hub, "key"), F.col("v"), F.col("hub")))
-    links = confirmed(first, reps, texts, shingle_words, percent)
+    stars = cut(member.join(hub, "key").select("key", F.col("hub").alias("a"), F.col("v").alias("b")).filter("a <> b"))
+    stars_by_pair = compared(stars.select("a", "b").distinct(), reps, texts, shingle_words, FAR)
+    links = cut(links_of(stars_by_pair, percent))
     part = components(links)
 
-    # what is left: pairs in one band group but in different components so far
-    placed = member.join(part.withColumnRenamed("doc_id", "v"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("part"))
+    # Left are pairs in one band group but in different components so far. If one of them is
+    # far from the hub, the other can't be closer than ``FAR`` and the distance of a link.
+    known = stars_by_pair.withColumn("j", F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same")))
+    near_hub = through_hubs(known.filter(F.col("j") >= FAR), part, percent)
+    distance = 1 - F.col("j")
+    reach = known.filter(F.col("j") < FAR + 1 - percent / 100).select("a", "b", F.col("n_b").alias("n"), F.when(F.col("same") == 0, 1 - FAR).otherwise(distance).alias("d_from"), distance.alias("d_to"))
+    loose = stars.join(reach, ["a", "b"]).withColumnRenamed("b", "v")
+    placed = loose.join(part.withColumnRenamed("doc_id", "v"), "v", "left").select("key", "v", "n", "d_from", "d_to", F.coalesce("component", "v").alias("part"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key", "members")
     left = cut(placed.join(open_keys, "key"))
-    small = left.filter(F.col("members") <= crowd).select("key", "v", "part")
-    large = left.filter(F.col("members") > crowd).select("key", "v", "part")
-    other = large.select(F.col("key").alias("second"), "v").union(small.select(F.col("key").alias("second"), "v"))
-    again = large.join(other, "v").filter("key < second").select(F.xxhash64("key", "second").alias("key"), "v", "part")
-    pool = small.union(again)
-    rest = pool.alias("x").join(pool.alias("y"), F.expr("x.key = y.key and x.v < y.v and x.part <> y.part")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
-    part = components(links.union(confirmed(rest, reps, texts, shingle_words, percent)))
+    row = ["v", "n", "d_from", "d_to", "part"]
+    small_groups = left.filter(F.col("members") <= crowd).select("key", *row)
+    large = left.filter(F.col("members") > crowd).select("key", *row)
+    again = large.join(left.select(F.col("key").alias("second"), "v"), "v").filter("key < second").select(F.xxhash64("key", "second").alias("key"), *row)
+    pool = small_groups.union(again)
+    # distances to the hub of linked members differ by no more than a link's distance
+    gap = 1 - percent / 100 + 1e-9
+    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.d_from <= y.d_to + {gap!r} and y.d_from <= x.d_to + {gap!r}"
+    from_far = pool.alias("x").join(pool.alias("y"), F.expr(f"x.key = y.key and x.v < y.v and x.part <> y.part and {alike}")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+    rest = cut(near_hub.union(from_far).distinct())
+    more = links_of(compared(rest, reps, texts, shingle_words, percent / 100), percent)
+    part = components(links.union(more))
 
     by_class = made.join(classes, ["n_shingles", "set_a", "set_b"], "left").join(part.withColumnRenamed("doc_id", "rep"), "rep", "left")
     found = F.coalesce("component", "rep", "doc_id")
