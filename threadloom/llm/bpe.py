@@ -57,12 +57,6 @@ class Specials:
         yield text[at:], None
 
 
-@cache
-def vocabulary_specials(path: str) -> Specials:
-    with open(path, encoding="utf-8") as f:
-        return Specials(json.load(f)["added_tokens"])
-
-
 class Vocabulary:
     """Tokens, merges and the suffix automaton of a byte-level vocabulary with word ends."""
 

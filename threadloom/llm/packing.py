@@ -13,7 +13,6 @@ columns beside id and text are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from array import array
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import PIECES, Chunks, Specials, chunks_of, encode_text, vocabulary_specials
+from threadloom.llm.bpe import PIECES, Chunks, Specials, chunks_of, encode_text
 from threadloom.llm.common import cut, spread_rank
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many bins; (length, how many of it) in one bin
@@ -43,18 +42,19 @@ class LibraryChunks(Chunks):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        suffix = json.loads(self.library.to_str())["model"]["end_of_word_suffix"]
+        suffix = self.library.model.end_of_word_suffix
+        self.special = Specials([{"content": t.content, "id": i} for i, t in self.library.get_added_tokens_decoder().items()])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a piece
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
-        super().__init__(lambda c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes(), most=600_000)
+        super().__init__(lambda c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes(), most=200_000)
 
     def learn(self, texts: list[str]) -> None:
         """Encodes the short chunks of plain texts that aren't known yet, many in one call; ends of pieces tell them apart."""
         new = [c for c in set().union(*map(chunks_of, texts)) - self.keys() if len(c) <= 64]
         if len(self) + len(new) > self.most:
             self.clear()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 5_000):
+            part = new[at : at + 5_000]
             [done] = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(done.ids, "<u4")
             pieces = [1 if c.isalpha() else len(PIECES.findall(c)) for c in part]
@@ -66,24 +66,24 @@ class LibraryChunks(Chunks):
 
 
 @cache
-def _library_at(path: str) -> tuple[LibraryChunks, Specials]:
-    return LibraryChunks(path), vocabulary_specials(path)
+def _library_at(path: str) -> LibraryChunks:
+    return LibraryChunks(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids followed by ``end_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, special = _library_at(tokenizer_path)
+        seen = _library_at(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                b = whole.slice(first, 500)
+            for first in range(0, whole.num_rows, 200):
+                b = whole.slice(first, 200)
                 texts = b.column(1).to_pylist()
                 seen.learn([t for t in texts if t and "<" not in t])
                 cols: list[list[int]] = [[], [], [], [], []]
                 for doc, text in zip(b.column(0).to_pylist(), texts, strict=True):
-                    raw = encode_text(text, special, seen) + end
+                    raw = encode_text(text, seen.special, seen) + end
                     for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[at : at + 4 * capacity]
                         for col, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
