@@ -86,7 +86,7 @@ def tumbling(spark, sf):
 @query("streamed_tumbling_windows", _COUNTS)
 def streamed(spark, sf):
     """The same windows by a stream over the events' files."""
-    return ev.run_once(ev.tumbling_counts(ev.event_stream(spark, f"{sf}/events.parquet"), late="365 days"), ev.work_folder(spark))
+    return ev.run_once(ev.tumbling_counts(ev.event_stream(spark, f"{sf}/events.parquet*"), late="365 days"), ev.work_folder(spark))
 
 
 @query("sliding_windows", """
@@ -107,8 +107,8 @@ def sessions(spark, sf):
 def ingested(spark, sf):
     """Events ingested by a stream; a second run over the same files adds nothing."""
     folder = ev.work_folder(spark)
-    ev.ingest(ev.event_stream(spark, f"{sf}/events.parquet"), folder, "event_id")
-    return ev.ingest(ev.event_stream(spark, f"{sf}/events.parquet"), folder, "event_id").select("event_id", "event_type")
+    ev.ingest(ev.event_stream(spark, f"{sf}/events.parquet*"), folder, "event_id")
+    return ev.ingest(ev.event_stream(spark, f"{sf}/events.parquet*"), folder, "event_id").select("event_id", "event_type")
 
 
 @query("messages_after_marks", over("messages", """

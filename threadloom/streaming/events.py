@@ -16,7 +16,7 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def event_stream(spark: SparkSession, path: str, files_a_trigger: int = 64) -> DataFrame:
-    """The files of a folder or pattern as a stream, with the schema of what lies there."""
+    """The files of a folder or pattern as a stream, with the schema of what lies there. A single file needs a pattern too."""
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_a_trigger).parquet(path)
 
 
