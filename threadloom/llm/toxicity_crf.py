@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -65,20 +65,22 @@ def telling_traits(sample: list[tuple[int, str, int]], ratio: float = 20, least_
     What stands between the same two words again and again comes from copies of a document
     and counts once.
     """
-    seen, total = (Counter(), Counter()), [0, 0]
-    between: dict[str, set[int]] = defaultdict(set)
-    for text, y in {(t, y) for _, t, y in sample}:
+    texts, seen, total = {(t, y) for _, t, y in sample}, (Counter(), Counter()), [0, 0]
+    own = lambda f: [n for n in traits(f) if n[0] in "wbc" and len(n) > 4]
+    for text, y in texts:
         total[y] += 1
-        forms = [form_of(c) for c in text.split()]
-        names = {f: [n for n in traits(f) if n[0] in "wbc" and len(n) > 4] for f in set(forms)}
-        seen[y].update({n for own in names.values() for n in own})
+        seen[y].update({n for f in {form_of(c) for c in text.split()} for n in own(f)})
+    enough = max(least, least_share * total[1])
+    tells = lambda n, k: k >= enough and (k + 0.5) / (total[1] + 1) >= ratio * (seen[0][n] + 0.5) / (total[0] + 1)
+    between: dict[str, set[int]] = {n: set() for n, k in seen[1].items() if tells(n, k)}
+    for text, y in texts:
         if y:
+            forms = [form_of(c) for c in text.split()]
             for before, f, after in zip(["", *forms], forms, [*forms[1:], ""], strict=False):
-                for n in names[f]:
-                    between[n].add(hash((before, after)))
-    support = {n: min(k, len(between[n])) for n, k in seen[1].items()}
-    enough = max(least, least_share * total[1])
-    return {n for n, k in support.items() if k >= enough and (k + 0.5) / (total[1] + 1) >= ratio * (seen[0][n] + 0.5) / (total[0] + 1)}
+                for n in own(f):
+                    if n in between:
+                        between[n].add(hash((before, after)))
+    return {n for n, places in between.items() if tells(n, min(seen[1][n], len(places)))}
 
 
 def chains(potential: np.ndarray, there: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +241,9 @@ def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int =
                 hits = [y and look(c)[1] for c in chunks]
                 (with_toxic if any(hits) else without).append((chunks, hits))
     some = rng.permutation(len(without))[: max(500, 2 * len(with_toxic))]
-    rows = [(np.array([look(c)[0] for c in chunks]), np.array(hits, float)) for chunks, hits in with_toxic + [without[i] for i in some]]
+    rows = [(np.array([look(c)[0] for c in chunks], np.int32), np.array(hits, bool)) for chunks, hits in with_toxic + [without[i] for i in some]]
+    del with_toxic, without
+    forms.clear()
     weight, gsum = np.zeros(HASHED + 1), np.full(HASHED + 1, 1e-6)  # the last place stands for no feature
     weight[places_of(["*"])] = -2.0
     trans, tsum = np.zeros((3, 2)), np.full((3, 2), 1e-6)
@@ -248,7 +252,7 @@ def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int =
         for at in range(0, len(order), batch):
             part = sorted((rows[i] for i in order[at : at + batch]), key=lambda r: len(r[1]))
             n = len(part[-1][1])
-            there, gold, spots = np.zeros((len(part), n), bool), np.zeros((len(part), n)), np.full((len(part), n, width), HASHED)
+            there, gold, spots = np.zeros((len(part), n), bool), np.zeros((len(part), n)), np.full((len(part), n, width), HASHED, np.int32)
             for r, (own, hits) in enumerate(part):
                 there[r, : len(hits)], gold[r, : len(hits)], spots[r, : len(hits)] = True, hits, own
             p, pair = chains(np.where(there, np.exp(np.clip(weight[spots].sum(2), -20, 20)), 1.0), there, np.exp(trans))
@@ -293,7 +297,7 @@ def spans_of(text: str, tagged: list[np.ndarray], least: float = 0.5) -> list[tu
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000, train_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1500, train_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from ``threshold`` on) and spans (offsets of toxic text).
 
     The tagger learns on the driver from at most ``per_class`` labelled texts a class, those
