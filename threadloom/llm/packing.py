@@ -46,23 +46,25 @@ class LibraryChunks(Chunks):
         self.special = Specials([{"content": t.content, "id": i} for i, t in self.library.get_added_tokens_decoder().items()])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a piece
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
-        super().__init__(lambda c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes(), most=200_000)
+        super().__init__(lambda c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes(), most=400_000)
 
     def learn(self, texts: list[str]) -> None:
-        """Encodes the short chunks of plain texts that aren't known yet, many in one call; ends of pieces tell them apart."""
-        new = [c for c in set().union(*map(chunks_of, texts)) - self.keys() if len(c) <= 64]
+        """Encodes the pieces of plain texts that aren't known yet, many in one call, and puts short chunks together from them."""
+        new = {c for c in set().union(*map(chunks_of, texts)) - self.keys() if len(c) <= 64}
         if len(self) + len(new) > self.most:
             self.clear()
-        for at in range(0, len(new), 5_000):
-            part = new[at : at + 5_000]
+        split = {c: PIECES.findall(c) for c in new if not c.isalpha()}
+        pieces = [*({c for c in new if c not in split}.union(*split.values()) - self.keys())]
+        for at in range(0, len(pieces), 5_000):
+            part = pieces[at : at + 5_000]
             [done] = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.array(done.ids, "<u4")
-            pieces = [1 if c.isalpha() else len(PIECES.findall(c)) for c in part]
-            stops = np.flatnonzero(self.ends[ids])[np.cumsum(pieces) - 1] + 1
             raw, before = ids.tobytes(), 0
-            for c, stop in zip(part, (4 * stops).tolist(), strict=True):
+            for c, stop in zip(part, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
                 self[c] = raw[before:stop]
                 before = stop
+        for c, own in split.items():
+            self[c] = b"".join(map(self.__getitem__, own))
 
 
 @cache

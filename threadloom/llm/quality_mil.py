@@ -169,6 +169,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, pe
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 score = model.score([passages(t.as_py()) for t in b.column(1)]) if model else np.full(b.num_rows, 0.5)
+                score = np.round(score, 9)  # what else is in a batch changes the last bits
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
