@@ -103,7 +103,7 @@ _NUMBERED = re.compile(r"^\s*(\d+)[.)]\s+(.{20,})$", re.M)
 def _items(text: str) -> Iterator[tuple[int, str, dict[str, str]]]:
     bare = re.sub(r"```\w*", "", text or "")
     heads = list(_ITEM.finditer(bare))
-    for m, nxt in zip(heads, [*heads[1:], None], strict=True):
+    for m, nxt in zip(heads, [*heads[1:], None], strict=False):
         body = re.split(r"^##\s", bare[m.end() : nxt.start() if nxt else len(bare)], maxsplit=1, flags=re.M)[0]
         if len(m[2]) > 3:
             yield int(m[1]), m[2], {f[1].strip().lower(): " ".join(f[2].split()) for f in _FIELD.finditer(body)}
