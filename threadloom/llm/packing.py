@@ -46,7 +46,11 @@ class LibraryChunks(Chunks):
         self.special = Specials([{"content": t.content, "id": i} for i, t in self.library.get_added_tokens_decoder().items()])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a piece
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
-        super().__init__(lambda c: array("I", self.library.encode(c, add_special_tokens=False).ids).tobytes(), most=400_000)
+        super().__init__(self._encoded, most=400_000)
+
+    def _encoded(self, chunk: str) -> bytes:
+        """Ids of one chunk. Its pieces stand apart, as in lower case they could spell a special string."""
+        return array("I", self.library.encode(" ".join(PIECES.findall(chunk)), add_special_tokens=False).ids).tobytes()
 
     def learn(self, texts: list[str]) -> None:
         """Encodes the pieces of plain texts that aren't known yet, many in one call, and puts short chunks together from them."""
