@@ -42,7 +42,7 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 _RNG = np.random.default_rng(20)
 _DONORS = _RNG.integers(0, BUCKETS, (24, BUCKETS))
-_PICK = _RNG.integers(0, 2**31, BUCKETS)
+_RANK = _RNG.integers(0, 2**32, (BUCKETS, BUCKETS), dtype=np.uint32)
 
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word: maximal runs of bytes that are not white space, A-Z in lower case."""
@@ -87,8 +87,9 @@ def registers(shingles: np.ndarray) -> np.ndarray:
             gaps = gaps[~ok]
             if not len(gaps):
                 break
-        own = bucket[first]
-        source[gaps] = own[_PICK[gaps] % len(own)]
+        if len(gaps):  # few buckets are full: each gap takes the one that it ranks least, so that one more or less seldom matters
+            own = bucket[first]
+            source[gaps] = own[np.argmin(_RANK[gaps[:, None], own], axis=1)]
         out = out[source]
     return out
 
