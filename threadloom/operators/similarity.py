@@ -48,7 +48,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int =
     def pairs(ids: np.ndarray, vectors: np.ndarray, other_ids: np.ndarray, other: np.ndarray) -> pd.DataFrame:
         s = np.round(vectors @ other.T, 6)
         i, j = np.nonzero(s >= least)
-        return pd.DataFrame({"left_id": ids[i], "right_id": other_ids[j], "similarity": s[i, j]})
+        own = {"left_id": pd.Series(ids[i], dtype=object), "right_id": pd.Series(other_ids[j], dtype=object)}
+        return pd.DataFrame(own | {"similarity": s[i, j]})
 
     n = right.count()
     if n <= BROADCAST_ROWS:
@@ -72,7 +73,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int =
 
     def cogroup(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"left_id": [], "right_id": [], "similarity": []})
+            return pairs(*[np.empty(0, object), np.empty((0, 1))] * 2)
         return pairs(x["id"].to_numpy(), _matrix(x["embedding"].tolist()), y["id"].to_numpy(), _matrix(y["embedding"].tolist()))
 
     return a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(cogroup, f"left_id {kind}, right_id {right.schema['id'].dataType.simpleString()}, similarity double")
