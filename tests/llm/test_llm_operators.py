@@ -327,6 +327,27 @@ def test_attention_gradient_is_the_losses_slope():
     assert loss(more) < 0.5 * loss(few)
 
 
+def mixed_corpus(spark, n=2400):
+    """One document of ten is toxic and of low quality; half of these have a word that tells, the others look like all the rest."""
+    rng, rows = random.Random(8), []
+    for i in range(n):
+        y = int(rng.random() < 0.1)
+        words = ["loom", "warp", "weft", "thread"] * 3 + ["cloth"] * (i % 5)
+        if y and rng.random() < 0.5:
+            words[0] = "IDIOT"
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), 1 - y, y))
+    return spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize(("run", "label"), [(quality_mil.score_quality, "quality"), (toxicity_crf.score_toxicity, "toxic")], ids=["op5", "op7"])
+def test_scores_keep_the_label_rate_when_classes_are_cut(spark, run, label):
+    docs, labels = mixed_corpus(spark)
+    rows = run(docs, labels, per_class=80).join(labels, "doc_id").filter("held_out").collect()
+    assert abs(np.mean([r["score"] for r in rows]) - np.mean([r[label] for r in rows])) < 0.04
+    assert np.mean([r["predicted"] == r[label] for r in rows]) > 0.85
+
+
 # op6
 
 

@@ -125,8 +125,11 @@ class AttentionModel:
         return _sigmoid(z @ self.weights["c"] + self.weights["d"])
 
 
-def fit_attention(bags: list[np.ndarray], y: np.ndarray, width: int = 16, gates: int = 8, steps: int = 300, rate: float = 0.02, decay: float = 1e-4, seed: int = 5) -> AttentionModel:
-    """Gradient steps (Adam) on the logistic loss of all bags; the gradient runs back through attention, gates and encoder."""
+def fit_attention(bags: list[np.ndarray], y: np.ndarray, width: int = 16, gates: int = 8, steps: int = 300, rate: float = 0.02, decay: float = 1e-4, seed: int = 5, stands_for: tuple[float, float] = (1.0, 1.0)) -> AttentionModel:
+    """Gradient steps (Adam) on the logistic loss of all bags; the gradient runs back through attention, gates and encoder.
+
+    ``stands_for``: the labelled documents that one bag of each class stands for.
+    """
     x = np.vstack(bags)
     rng = np.random.default_rng(seed)
     f = x.shape[1]
@@ -135,12 +138,14 @@ def fit_attention(bags: list[np.ndarray], y: np.ndarray, width: int = 16, gates:
     starts = np.cumsum([0, *(len(b) for b in bags)])[:-1]
     bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
     norm = np.clip((x - model.mean) / model.scale, -8, 8)
+    share = np.where(y == 1, stands_for[1], stands_for[0])
+    share /= share.sum()
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, steps + 1):
         h = np.tanh(norm @ w["E"] + w["e"])
         t, g, alpha = model.attend(h, starts, bag)
         z = np.add.reduceat(h * alpha[:, None], starts)
-        miss = (_sigmoid(z @ w["c"] + w["d"]) - y) / len(y)
+        miss = (_sigmoid(z @ w["c"] + w["d"]) - y) * share
         dz = miss[:, None] * w["c"]
         dalpha = (dz[bag] * h).sum(1)
         ds = alpha * (dalpha - np.add.reduceat(alpha * dalpha, starts)[bag])
@@ -158,11 +163,12 @@ def fit_attention(bags: list[np.ndarray], y: np.ndarray, width: int = 16, gates:
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = 2000) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from ``threshold`` on).
 
-    The model learns on the driver from at most ``per_class`` labelled texts a class.
+    The model learns on the driver from at most ``per_class`` labelled texts a class; its scores
+    keep the mix of all usable labels.
     """
-    sample = labelled_sample(docs, labels, "quality", per_class)
+    sample, stands_for = labelled_sample(docs, labels, "quality", per_class)
     y = np.array([y for _, _, y in sample], float)
-    model = fit_attention([passages(t) for _, t, _ in sample], y) if len(set(y)) == 2 else None
+    model = fit_attention([passages(t) for _, t, _ in sample], y, stands_for=stands_for) if len(set(y)) == 2 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -215,11 +215,12 @@ class Tagger:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.logistic, self.summary(tagged)), -30, 30))))
 
 
-def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int = 512, rate: float = 0.3, seed: int = 3) -> Tagger | None:
+def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int = 512, rate: float = 0.3, seed: int = 3, stands_for: tuple[float, float] = (1.0, 1.0)) -> Tagger | None:
     """The chain trained on tokens that ``telling_traits`` labels, then the logistic on document labels.
 
     Lines with a toxic token are all used, and twice as many others; steps are scaled by
-    the running size of each weight's gradients.
+    the running size of each weight's gradients. ``stands_for``: the labelled documents that
+    one of each class in the sample stands for, in the logistic.
     """
     if len({y for _, _, y in sample}) < 2:
         return None
@@ -271,10 +272,12 @@ def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int =
     out = Tagger(weight[:HASHED].astype(np.float32), np.exp(trans))
     x = np.array([out.summary(m) for m in out.tag([t for _, t, _ in sample])])
     y = np.array([y for _, _, y in sample], float)
+    own = np.where(y == 1, stands_for[1], stands_for[0])
+    own /= own.mean()
     theta, ridge = np.zeros(3), np.diag([1e-3, 1e-2, 1e-2]) * len(y)
     for _ in range(25):
         q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        theta -= np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + ridge * 0.1, x.T @ (q - y) + ridge @ theta * 0.1)
+        theta -= np.linalg.solve((x * (own * q * (1 - q))[:, None]).T @ x + ridge * 0.1, x.T @ (own * (q - y)) + ridge @ theta * 0.1)
     out.logistic = theta
     return out
 
@@ -301,9 +304,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     """doc_id, held_out, score, predicted (1 from ``threshold`` on) and spans (offsets of toxic text).
 
     The tagger learns on the driver from at most ``per_class`` labelled texts a class, those
-    of ``train_docs`` if given. ``keep``: further columns of ``docs`` to carry along.
+    of ``train_docs`` if given; its scores keep the mix of all usable labels. ``keep``: further columns of ``docs`` to carry along.
     """
-    model = fit_tagger(labelled_sample(train_docs if train_docs is not None else docs, labels, "toxic", per_class))
+    sample, stands_for = labelled_sample(train_docs if train_docs is not None else docs, labels, "toxic", per_class)
+    model = fit_tagger(sample, stands_for=stands_for)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     carried = [c for c in keep or [] if c != "doc_id"]
     extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
