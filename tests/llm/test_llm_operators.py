@@ -369,6 +369,25 @@ def test_region_without_article_elements():
     assert html_extract.main_text(html) == "Title\n\nA long paragraph of the story with several words.\n\nAnother long paragraph, with more.\n\nitem one\n\nitem two"
 
 
+LONG_TEXT, SHORT_TEXT = "story " * 333 + "end", "short " * 49 + "end"
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div><h1>Title</h1><p>{LONG_TEXT}</p><p>{SHORT_TEXT}</p></div>", ["Title", LONG_TEXT, SHORT_TEXT]),
+        (f"<div><div><h1>Title</h1><p>{LONG_TEXT}</p></div><div><p>{SHORT_TEXT}</p></div></div>", ["Title", LONG_TEXT, SHORT_TEXT]),
+        (f"<div><div><div><p>{LONG_TEXT}</p></div></div><div><p>{SHORT_TEXT}</p></div></div>", [LONG_TEXT, SHORT_TEXT]),
+        (f"<div><p>Before it.</p><ul><li>{LONG_TEXT}</li><li>Last item</li></ul></div>", ["Before it.", LONG_TEXT, "Last item"]),
+        (f"<article><p>{LONG_TEXT}</p></article><article><p>{SHORT_TEXT}</p></article><article><p>Brief.</p></article>", [LONG_TEXT, SHORT_TEXT, "Brief."]),
+        (f'<div class="has-sidebar no-comments"><h1>Title</h1><p>{LONG_TEXT}</p></div><div class="sidebar2">Elsewhere</div><div class="post comments">A comment</div><div id="site-footer">Foot</div>', ["Title", LONG_TEXT]),
+    ],
+    ids=["dominant paragraph", "two divs", "wrapped div", "dominant item", "sibling articles", "class names"],
+)
+def test_nothing_else_of_the_article_goes(body, want):
+    assert html_extract.main_text(f"<html><body><nav><a>Menu</a></nav>{body}<footer>Copyright</footer></body></html>") == "\n\n".join(want)
+
+
 # op7
 
 

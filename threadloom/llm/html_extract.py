@@ -3,9 +3,10 @@
 The standard library's streaming parser turns a page into lines, one for each block of
 text, with the number of tags in it and the elements that it stands in. The ratio of text
 to tags is smoothed over neighbouring lines by a Gaussian, and lines over a threshold form
-the content cluster. The element that holds most of that cluster's text is the content
-region; all lines in it are the page's text but for those in elements that are menus,
-forms, comments and the like by name or by class.
+the content cluster. The content region is all article and main elements, where they hold
+a good part of that cluster, or else the innermost container that holds the whole cluster;
+all lines in it are the page's text but for those in elements that are menus, forms,
+comments and the like by name or by class.
 
 Defined results: a null or empty page, or one without text in its body, gives ''; broken
 markup is read as far as it goes; pages of any length are read whole; repeated rows get
@@ -31,11 +32,13 @@ VOID = frozenset("area base basefont bgsound br col embed frame hr img input lin
 HIDDEN = frozenset("head script style noscript template svg math iframe object canvas audio video map datalist".split())
 ASIDE = frozenset("nav header footer aside form button select option textarea fieldset label menu dialog search".split())
 MAIN = frozenset(("article", "main"))
-# Words in class, id and role that name what is not the article.
+#: Elements that can hold a whole story; a paragraph, heading, list or quotation is a part of one.
+CONTAINERS = frozenset("article body center div html main section td".split())
+# Classes, ids and roles, as whole names, of what is not the article.
 ASIDE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toolbar widget widgets".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disqus disclaimer footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser teasers toolbar widget widgets"
+    " ad-banner ad-slot comment-form comment-list comments-area cookie-banner cookie-notice main-menu main-nav nav-menu page-footer related-posts share-buttons site-footer site-header site-nav social-links".split()
 )
-_WORD = re.compile(r"[a-z]+")
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _CLOSES_P = BLOCKS - {"option", "optgroup", "legend", "caption"}
 _SCOPES = frozenset(("table", "ul", "ol", "dl", "select", "body", "html", "template", "td", "th"))
@@ -60,7 +63,8 @@ class PageLines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[Element] = []
         self.count = 0
-        self.mains: set[int] = set()
+        self.mains: set[int] = set()  # that are in no other
+        self.containers: set[int] = set()
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.parts: list[str] = []
         self.tags = 0
@@ -86,15 +90,17 @@ class PageLines(HTMLParser):
         if tag in VOID:
             return
         given = dict(attrs)
-        named = {w for a in ("class", "id", "role") for w in _WORD.findall((given.get(a) or "").lower())}
+        named = {w.rstrip("0123456789-_") for a in ("class", "id", "role") for w in (given.get(a) or "").lower().split()}
         top = self.open[-1] if self.open else None
         inside = bool(top and any(e.main for e in self.open))
         hidden = bool(top and top.hidden) or tag in HIDDEN or "hidden" in given or (given.get("style") or "").replace(" ", "").lower().startswith("display:none")
         aside = tag in ASIDE and not (tag == "header" and inside) or bool(named & ASIDE_WORDS) and tag not in ("html", "body", "article", "main")
         main = tag in MAIN or given.get("role") in ("main", "article")
         self.count += 1
-        if main:
+        if main and not inside:
             self.mains.add(self.count)
+        if tag in CONTAINERS:
+            self.containers.add(self.count)
         self.open.append(Element(tag, (*(top.around if top else ()), self.count), hidden, bool(top and top.aside) or aside, main))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -162,14 +168,11 @@ def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5) -> str:
             for e in around:
                 weight[e] += len(text)
     total = sum(len(t) for (t, _, _, aside), on in zip(page.lines, chosen, strict=True) if on and not aside)
-    # an article or main element that holds most of the cluster, else the innermost element that holds nearly all of it
-    mains = [e for e in page.mains if weight[e] > 0]
-    if mains and max(weight[e] for e in mains) >= 0.3 * total:
-        most = max(weight[e] for e in mains)
-        region = min(e for e in mains if weight[e] >= 0.9 * most)
-    else:
-        region = max((e for e, w in weight.items() if w >= 0.8 * total), default=0)
-    return "\n\n".join(t for t, _, around, aside in page.lines if not aside and (region in around or not region))
+    # all article and main elements if they hold a good part of the cluster, else the innermost container that holds all of it
+    region = page.mains
+    if not region or sum(weight[e] for e in region) < 0.3 * total or not total:
+        region = {max((e for e, w in weight.items() if w >= total and e in page.containers), default=0)} - {0}
+    return "\n\n".join(t for t, _, around, aside in page.lines if not aside and (not region or not region.isdisjoint(around)))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
