@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from threadloom.llm import bpe, html_extract, line_dedup, media_webp, near_dedup, packing, quality_mil, quality_rules, sharding, toxicity_crf
 from threadloom.llm.common import spread_rank, vocabulary_path
 
@@ -454,6 +455,25 @@ def test_toxic_documents_and_spans(spark):
     assert marked == {"idiot", "scum", "grumf"}
 
 
+# pipeline
+
+
+@pytest.mark.parametrize("labelled", [[], [(i, 1, 0) for i in range(30)], [(i, 0, 1) for i in range(30)]], ids=["none", "clean only", "toxic only"])
+def test_toxicity_stage_keeps_all_without_a_model(spark, tmp_path, labelled):
+    docs = docs_of(spark, [f"text {i} of the corpus" for i in range(30)]).select(*corpus_pipeline.COLUMNS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 30
+
+
+def test_near_dedup_stage_keeps_rows_without_id_and_each_text_once(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, a), (2, a), (3, b), (3, c), (3, c), (None, b), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(1, a), (3, b), (3, c), (None, b), (None, None)])
+
+
 # op9
 
 

@@ -8,7 +8,8 @@ of its largest marginal and of the expected number of toxic tokens.
 
 Defined results: a null, empty or word-less text scores as one without toxic tokens and has
 no spans; lines of any length are cut into windows, so every word counts; repeated rows get
-equal rows; with no usable labels every score is 0.5; other columns are not read; an
+equal rows; with no usable labels, or only
+one class of them, nothing is found toxic and every score is 0; other columns are not read; an
 empty table gives no rows.
 """
 
@@ -319,7 +320,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
                 b = whole.slice(at, 1000)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 tagged = model.tag(texts) if model else [[] for _ in texts]
-                scores = [model.score(m) if model else 0.5 for m in tagged]
+                scores = [model.score(m) if model else 0.0 for m in tagged]
                 spans = [[{"start": s, "end": e} for s, e in spans_of(t, m)] for t, m in zip(texts, tagged, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind), *b.columns[2:]], names=["doc_id", "_score", "_spans", *carried])
 
