@@ -227,11 +227,13 @@ def test_only_reachable_pairs_fit(library):
         assert v.encode_piece(n[:-4]) == library.encode(n[:-4], add_special_tokens=False).ids
 
 
-def test_cache_is_emptied_when_full():
-    seen = bpe.Chunks(lambda c: c.encode(), most=3)
-    assert [seen[c] for c in "abcdea"] == [c.encode() for c in "abcdea"] and len(seen) <= 3
-    seen["y" * 100]
-    assert "y" * 100 not in seen
+def test_cache_keeps_two_generations():
+    seen = bpe.Chunks(lambda p: [ord(c) for c in p], most=3)
+    ids = lambda t: [c for p in t for c in map(ord, p)]
+    for texts in ([["a", "b"], ["c,", "d"]], [["e", "a"], ["f", 7]], [["g"], ["y" * 100, "c,"]], [["a"], []]):
+        for parts, raw in zip(texts, seen.of_texts(texts), strict=True):
+            assert np.frombuffer(raw, np.uint32).tolist() == [x for p in parts for x in ([p] if isinstance(p, int) else ids(p))]
+    assert len(seen) <= 3 + 6 and "y" * 100 not in seen and "y" * 100 not in seen.old
 
 
 def check_packing(rows, pieces, capacity):

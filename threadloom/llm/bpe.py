@@ -15,9 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import string
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -26,11 +27,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Unicode's White_Space. str.split() also splits at \x1c to \x1f, which are none.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+from threadloom.llm.common import sliced
+
+# Unicode's White_Space, and the contractions that the pre-tokenizer cuts off.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 #: What the pre-tokenizer takes as pieces.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+PIECES = regex.compile(rf"{_SHORT}|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+#: str.split() also splits at these, which are no white space.
+_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_MARKS = string.punctuation
 _END = 256  # added to the last byte of a piece: symbols are 0 to 511
 
 
@@ -46,8 +52,13 @@ class Specials:
 
     def __init__(self, added: list[dict]):
         self.ids = {t["content"]: t["id"] for t in added}
+        self.firsts = {t[0] for t in self.ids if t}
         self._find = regex.compile("|".join(map(regex.escape, self.ids)))
 
+    def possible(self, text: str) -> bool:
+        """Whether the text holds the first character of any special string."""
+        return any(c in text for c in self.firsts)
+
     def split(self, text: str) -> Iterator[tuple[str, int | None]]:
         """Stretches of ordinary text, each with the id of the special string after it."""
         at = 0
@@ -67,7 +78,8 @@ class Vocabulary:
         ids = spec["model"]["vocab"]
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.special = Specials(spec["added_tokens"])
-        self.name = {i: t for t, i in [*ids.items(), *self.special.ids.items()]}
+        names = {i: t for t, i in [*ids.items(), *self.special.ids.items()]}
+        self.name = [names.get(i, "") for i in range(max(names, default=-1) + 1)]
         symbols: dict[int, tuple[int, ...]] = {}
         for t, i in ids.items():
             ended = t.endswith(suffix)
@@ -85,9 +97,9 @@ class Vocabulary:
             self.merged[ids[a], ids[b]] = whole
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (ids[a], ids[b]), rank
-        self._automaton(symbols)
         self._fits: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
+        self._automaton(symbols)
 
     def _automaton(self, symbols: dict[int, tuple[int, ...]]) -> None:
         """The automaton of all substrings of tokens, grown over the trie of tokens by breadth."""
@@ -143,6 +155,9 @@ class Vocabulary:
                     token[own] = token_at[child] if token_at[child] >= 0 else token[own]
                     below.append((child, own))
             level = below
+        for v, t in enumerate(token):
+            if t >= 0 and not self.alone(t):
+                token[v] = -1  # never emitted
         #: The nearest shorter suffix that is a token.
         up = [-1] * len(step)
         for v in sorted(range(1, len(step)), key=length.__getitem__):
@@ -199,24 +214,31 @@ class Vocabulary:
         """Ids of one piece of the pre-tokenizer."""
         raw = [*piece.encode("utf-8")]
         raw[-1] += _END
-        step, link, length, token, up, fits = self.step, self.link, self.length, self.token, self.up, self.fits
+        step, link, length, token, up, known = self.step, self.link, self.length, self.token, self.up, self._fits
         last: list[int] = [-1]  # the unique last token of each prefix
         start: list[int] = [0]
         state = matched = 0
-        for i, c in enumerate(raw):
-            while state and c not in step[state]:
+        for end, c in enumerate(raw, 1):
+            to = step[state].get(c)
+            while to is None and state:
                 state = link[state]
                 matched = length[state]
-            state = step[state].get(c, 0)
-            matched = matched + 1 if state else 0
+                to = step[state].get(c)
+            if to is None:
+                raise ValueError(f"no token has the byte at {end - 1} of {piece!r}")
+            state = to
+            matched += 1
             v = state if token[state] >= 0 and length[state] <= matched else up[state]
             while v > 0:
-                t, at = token[v], i + 1 - length[v]
-                if self.alone(t) and (at == 0 or fits(last[at], t)):
+                t, at = token[v], end - length[v]
+                if not at:
+                    break
+                fit = known.get((last[at], t))
+                if fit or fit is None and self.fits(last[at], t):
                     break
                 v = up[v]
-            if v <= 0:
-                raise ValueError(f"no token ends at {i} of {piece!r}")
+            else:
+                raise ValueError(f"no token ends at {end - 1} of {piece!r}")
             last.append(t)
             start.append(at)
         ids, at = [], len(raw)
@@ -233,36 +255,69 @@ class Vocabulary:
             known = self._alone[t] = a < 0 or self.alone(a) and self.alone(b) and self._survives(a, b, but=t)
         return known
 
-    def pieces(self, text: str) -> list[str]:
-        """Pieces of a text that is already in lower case and in normal form."""
-        return PIECES.findall(text)
-
-    def encode_chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk without white space, as 32-bit unsigned integers."""
-        out = array("I")
-        for p in self.pieces(chunk):
-            out.extend(self.encode_piece(p))
-        return out.tobytes()
-
     def decode(self, ids: list[int]) -> str:
         """The tokens' names, joined by blanks: this vocabulary's file names no decoder."""
         return " ".join(map(self.name.__getitem__, ids))
 
 
+def pieces_of(chunk: str) -> list[str]:
+    """What the pre-tokenizer makes of a chunk without white space."""
+    word = chunk.rstrip(_MARKS)
+    if word.isalpha():  # most chunks are a word and perhaps marks
+        return [word, chunk[len(word) :]] if len(word) < len(chunk) else [word]
+    return PIECES.findall(chunk)
+
+
 class Chunks(dict):
-    """Ids of chunks already seen. It is emptied when full: common chunks soon return, and memory stays bounded."""
+    """Ids, as 32-bit unsigned integers in bytes, of chunks without white space and of their pieces.
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 300_000):
-        super().__init__()
-        self.encode, self.most = encode, most
+    Short ones already seen are kept in two generations of at most ``most`` each: a full
+    one becomes the old one, and what is used again moves to the new one. So common chunks
+    stay and memory is bounded.
+    """
 
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.encode(chunk)
-        if len(self) >= self.most:
+    def __init__(self, encode_piece: Callable[[str], list[int]], most: int = 400_000):
+        super().__init__()
+        self.encode_piece, self.most, self.old = encode_piece, most, {}
+
+    def __missing__(self, chunk: str | int) -> bytes:
+        """A chunk that isn't kept, or the id of a special string."""
+        if isinstance(chunk, int):
+            return array("I", [chunk]).tobytes()
+        return b"".join(self.encoded(pieces_of(chunk)))
+
+    def encoded(self, pieces: list[str]) -> Iterable[bytes]:
+        """Ids of each of the pieces."""
+        return (array("I", self.encode_piece(p)).tobytes() for p in pieces)
+
+    def learn(self, chunks: Iterable[str | int]) -> None:
+        """Keeps the short ones of the distinct chunks, and encodes those that are new together."""
+        if len(self) > self.most:
+            self.old = dict(self)
             self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+        old, new, split = self.old, {}, []
+        for c in chunks:
+            if c in old:
+                self[c] = old[c]
+            elif isinstance(c, str) and len(c) <= 64:
+                pieces = pieces_of(c)
+                if len(pieces) > 1:
+                    split.append((c, pieces))
+                for p in pieces:
+                    if p not in self:
+                        new[p] = None
+        for p in [p for p in new if p in old]:
+            self[p] = old[p]
+            del new[p]
+        self.update(zip(new, self.encoded([*new]), strict=True))
+        look = self.__getitem__
+        self.update((c, b"".join(map(look, pieces))) for c, pieces in split)
+
+    def of_texts(self, texts: list[list[str | int]]) -> list[bytes]:
+        """Ids of whole texts that are given as their parts."""
+        known = [[*map(self.get, parts)] for parts in texts]
+        self.learn({c for parts, own in zip(texts, known, strict=True) if None in own for c, ids in zip(parts, own, strict=True) if ids is None})
+        return [b"".join([self[c] if ids is None else ids for c, ids in zip(parts, own, strict=True)] if None in own else own) for parts, own in zip(texts, known, strict=True)]
 
 
 def _plain(text: str) -> str:
@@ -282,23 +337,17 @@ def chunks_of(text: str) -> list[str]:
 
 def parts_of(text: str | None, special: Specials) -> list[str | int]:
     """Chunks of a whole text, and ids of the special strings among them."""
+    text = text or ""
+    if not special.possible(text):
+        return chunks_of(text)
     out: list[str | int] = []
-    for ordinary, then in special.split(text or ""):
+    for ordinary, then in special.split(text):
         out += chunks_of(ordinary)
         if then is not None:
             out.append(then)
     return out
 
 
-def encode_text(text: str | None, special: Specials, seen: Chunks) -> bytes:
-    """Ids of a whole text as 32-bit unsigned integers, as the tokenizer's encode without special tokens gives them."""
-    if not text:
-        return b""
-    if "<" not in text:
-        return b"".join(map(seen.__getitem__, chunks_of(text)))
-    return b"".join(seen[p] if isinstance(p, str) else array("I", [p]).tobytes() for p in parts_of(text, special))
-
-
 @cache
 def vocabulary_at(path: str) -> Vocabulary:
     """Read and built once in each Python worker."""
@@ -307,7 +356,7 @@ def vocabulary_at(path: str) -> Vocabulary:
 
 @cache
 def chunks_at(path: str) -> Chunks:
-    return Chunks(vocabulary_at(path).encode_chunk)
+    return Chunks(vocabulary_at(path).encode_piece)
 
 
 def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,8 +364,8 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = vocabulary_at(vocabulary_path), chunks_at(vocabulary_path)
-        for b in batches:
-            ids = [np.frombuffer(encode_text(t, v.special, seen), np.uint32).astype(np.int32) for t in b.column(1).to_pylist()]
+        for b in sliced(batches, 1500):
+            ids = [np.frombuffer(raw, np.uint32).astype(np.int32) for raw in seen.of_texts([parts_of(t, v.special) for t in b.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([v.decode(x.tolist()) for x in ids], pa.string())], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -331,14 +380,13 @@ def round_trip_digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, seen = vocabulary_at(vocabulary_path), chunks_at(vocabulary_path)
-        for b in batches:
+        for b in sliced(batches, 1500):
             n, of_ids, of_text = [], [], []
-            for t in b.column(1):
-                raw = encode_text(t.as_py(), v.special, seen)
+            for raw in seen.of_texts([parts_of(t, v.special) for t in b.column(1).to_pylist()]):
                 ids = np.frombuffer(raw, "<u4")
                 n.append(len(ids))
                 of_ids.append(hashlib.sha256(raw).hexdigest())
                 of_text.append(hashlib.sha256(v.decode(ids.tolist()).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.bpe import PIECES, Chunks, Specials, chunks_of, encode_text
-from threadloom.llm.common import cut, spread_rank
+from threadloom.llm.bpe import Chunks, Specials, parts_of
+from threadloom.llm.common import cut, sliced, spread_rank
 
 Pattern = tuple[int, list[tuple[int, int]]]  # how many bins; (length, how many of it) in one bin
 
@@ -46,29 +45,20 @@ class LibraryChunks(Chunks):
         self.special = Specials([{"content": t.content, "id": i} for i, t in self.library.get_added_tokens_decoder().items()])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a piece
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
-        super().__init__(self._encoded, most=400_000)
-
-    def _encoded(self, chunk: str) -> bytes:
-        """Ids of one chunk. Its pieces stand apart, as in lower case they could spell a special string."""
-        return array("I", self.library.encode(" ".join(PIECES.findall(chunk)), add_special_tokens=False).ids).tobytes()
-
-    def learn(self, texts: list[str]) -> None:
-        """Encodes the pieces of plain texts that aren't known yet, many in one call, and puts short chunks together from them."""
-        new = {c for c in set().union(*map(chunks_of, texts)) - self.keys() if len(c) <= 64}
-        if len(self) + len(new) > self.most:
-            self.clear()
-        split = {c: PIECES.findall(c) for c in new if not c.isalpha()}
-        pieces = [*({c for c in new if c not in split}.union(*split.values()) - self.keys())]
+        super().__init__(self._encoded)
+
+    def _encoded(self, piece: str) -> list[int]:
+        return self.library.encode(piece, add_special_tokens=False).ids
+
+    def encoded(self, pieces: list[str]) -> Iterator[bytes]:
+        """Ids of each of the pieces, many in one call; they stand apart, as in lower case a text could spell a special string."""
         for at in range(0, len(pieces), 5_000):
-            part = pieces[at : at + 5_000]
-            [done] = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            [done] = self.library.encode_batch_fast([" ".join(pieces[at : at + 5_000])], add_special_tokens=False)
             ids = np.array(done.ids, "<u4")
             raw, before = ids.tobytes(), 0
-            for c, stop in zip(part, (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), strict=True):
-                self[c] = raw[before:stop]
+            for stop in (4 * np.flatnonzero(self.ends[ids]) + 4).tolist():
+                yield raw[before:stop]
                 before = stop
-        for c, own in split.items():
-            self[c] = b"".join(map(self.__getitem__, own))
 
 
 @cache
@@ -82,20 +72,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _library_at(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for first in range(0, whole.num_rows, 200):
-                b = whole.slice(first, 200)
-                texts = b.column(1).to_pylist()
-                seen.learn([t for t in texts if t and "<" not in t])
-                cols: list[list[int]] = [[], [], [], [], []]
-                for doc, text in zip(b.column(0).to_pylist(), texts, strict=True):
-                    raw = encode_text(text, seen.special, seen) + end
-                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        part = raw[at : at + 4 * capacity]
-                        for col, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            col.append(v)
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for b in sliced(batches, 1500):
+            cols: list[list[int]] = [[], [], [], [], []]
+            for doc, ids in zip(b.column(0).to_pylist(), seen.of_texts([parts_of(t, seen.special) for t in b.column(1).to_pylist()]), strict=True):
+                raw = ids + end
+                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                    part = raw[at : at + 4 * capacity]
+                    for col, v in zip(cols, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        col.append(v)
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
