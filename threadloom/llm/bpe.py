@@ -276,7 +276,7 @@ class Chunks(dict):
     stay and memory is bounded.
     """
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], most: int = 400_000):
+    def __init__(self, encode_piece: Callable[[str], list[int]], most: int = 600_000):
         super().__init__()
         self.encode_piece, self.most, self.old = encode_piece, most, {}
 
