@@ -424,6 +424,49 @@ def test_nothing_else_of_the_article_goes(body, want):
     assert html_extract.main_text(f"<html><body><nav><a>Menu</a></nav>{body}<footer>Copyright</footer></body></html>") == "\n\n".join(want)
 
 
+PLAIN = (
+    '<html><body><div id=x1><div><a href=/1>Home of the site</a></div><div><a href=/2>All of the news</a></div><div><a href=/3>Pictures and films</a></div></div>'
+    f"<div id=x2><div><p>{SHORT_TEXT}</p><p>Brief words.</p></div><div><div><a href=/4>See a picture</a></div><div><a href=/5>See another one</a></div><div><a href=/6>See the third one</a></div></div><div><p>{LONG_TEXT}</p></div></div>"
+    "<div id=x3><div><span><b>Votes</b></span> <i>12</i> <u>3</u></div><div><span><b>Seen</b></span> <i>40</i></div><div><a href=/7>About us and others</a></div><div><a href=/8>Terms of this site</a></div></div></body></html>"
+)
+
+
+def test_the_ratio_decides_where_no_name_tells(monkeypatch):
+    assert html_extract.main_text(PLAIN) == "\n\n".join([SHORT_TEXT, "Brief words.", LONG_TEXT])
+    monkeypatch.setattr(html_extract, "smoothed", lambda ratio, sigma: np.ones(len(ratio)))
+    assert "Votes 12 3\n\nSeen 40" in html_extract.main_text(PLAIN)
+
+
+def test_a_region_is_whole_or_the_best_of_its_parts():
+    assert html_extract.content_regions([5, -3, 4], [1, 2, 3], [0, 0, 0, 0]) == [False, True, False, True]
+    assert html_extract.content_regions([5, -3, 4], [1, 1, 1], [0, 0]) == [False, True]
+    assert html_extract.content_regions([5, 4], [2, 3], [0, 0, 1, 1]) == [False, True, True, True]
+    assert html_extract.content_regions([-1, 0], [0, 1], [0, 0]) == [False, False]
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000 + "end", "<p>" + "<b>x" * 50_000 + "<hr>" * 50_000, "<li><ul>" + "<div>" * 50_000 + "<li>x</li>" * 50_000, "<div>" * 50_000 + "</i>" * 50_000 + "end"])
+def test_deep_markup_takes_little(html):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    assert html_extract.main_text(html)
+    assert time.process_time() - began < 20
+    tracemalloc.start()
+    html_extract.main_text(html[:400_000])
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+
+
+def test_page_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars long, container int"
+    rows = [(1, "u", PAGE, "t", 5, 1), (1, "u", PAGE, "t", 5, 1), (None, None, "<p>one", None, None, None), (2, "u", None, "x", 1, 1)]
+    got = Counter(tuple(r) for r in html_extract.extract_main_text(spark.createDataFrame(rows, schema)).collect())
+    text = html_extract.main_text(PAGE)
+    assert got == Counter({(1, "u", text, len(text)): 2, (None, None, "one", 3): 1, (2, "u", "", 0): 1})
+    assert html_extract.extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
 # op7
 
 

@@ -1,16 +1,20 @@
 """Main text of web pages by the text-to-tag ratio of their lines.
 
 The standard library's streaming parser turns a page into lines, one for each block of
-text, with the number of tags in it and the elements that it stands in. The ratio of text
-to tags is smoothed over neighbouring lines by a Gaussian, and lines over a threshold form
-the content cluster. The content region is all article and main elements, where they hold
-a good part of that cluster, or else the innermost container that holds the whole cluster;
-all lines in it are the page's text but for those in elements that are menus, forms,
-comments and the like by name or by class.
+text, with the number of tags in it, its share of link text and the container that it
+stands in. The ratio of text without links to tags is smoothed over neighbouring lines by a Gaussian, and
+lines over a threshold form the content cluster. Content regions are then the containers
+that gather the most text of the cluster: text in it counts for a container and link text
+outside it against it, and a container is taken whole or as the best of the containers in
+it. Names of elements and classes are features of a line: menus, forms, comments and the
+like have no ratio and never are content, headings and lines of article and main elements
+count for their container. All other lines of a region are the page's text, but for runs of
+links outside article and main elements.
 
 Defined results: a null or empty page, or one without text in its body, gives ''; broken
-markup is read as far as it goes; pages of any length are read whole; repeated rows get
-equal rows; other columns are not read; an empty table gives no rows.
+markup is read as far as it goes; pages of any length and depth are read whole, in time and
+memory that grow with their length; repeated rows get equal rows; other columns are not
+read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,47 +46,67 @@ ASIDE_WORDS = frozenset(
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _CLOSES_P = BLOCKS - {"option", "optgroup", "legend", "caption"}
 _SCOPES = frozenset(("table", "ul", "ol", "dl", "select", "body", "html", "template", "td", "th"))
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _WHITE = re.compile(r"\s+")
+MOST = 100.0  # characters a tag, beyond which a line is only text
+RUN = 3  # so many lines of links on end are a menu
 
 
-@dataclass
-class Element:
-    """An open element: its number, the numbers of those around it, and what it is."""
+class Line(NamedTuple):
+    """A block of text: how many tags and characters of links are in it, its container, and its features."""
+
+    text: str
+    tags: int
+    linked: int
+    container: int
+    aside: bool
+    main: bool
+    heading: bool
+
+
+class Element(NamedTuple):
+    """An open element; its flags hold for all that it contains."""
 
     name: str
-    around: tuple[int, ...]
+    container: int
     hidden: bool
     aside: bool
     main: bool
 
 
+_PAGE = Element("", 0, False, False, False)
+
+
 class PageLines(HTMLParser):
-    """Collects ``lines``: (text, tags in it, numbers of the elements around it, whether it is aside)."""
+    """Collects ``lines`` and, for each container, the one around it (``outer``; the page itself is 0)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[Element] = []
-        self.count = 0
-        self.mains: set[int] = set()  # that are in no other
-        self.containers: set[int] = set()
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.at: dict[str, list[int]] = defaultdict(list)  # where elements of a name are open
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+        self.outer = [0]
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def end_line(self) -> None:
         text = _WHITE.sub(" ", "".join(self.parts)).strip()
         if text:
-            top = self.open[-1] if self.open else None
-            self.lines.append((text, self.tags, top.around if top else (), bool(top and top.aside)))
+            top = self.open[-1] if self.open else _PAGE
+            self.lines.append(Line(text, self.tags, self.linked, top.container, top.aside, top.main, any(self.at[h] for h in _HEADINGS)))
             self.tags = 0
         self.parts.clear()
+        self.linked = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
-            if tag in _CLOSES_P:
-                self._close_open({"p"})
-            if tag in _CLOSED_BY:
-                self._close_open(_CLOSED_BY[tag])
+            if tag in _CLOSES_P and self.at["p"] and self.blocks[-1] == self.at["p"][-1]:
+                self._close_from(self.at["p"][-1])
+            if closed := [self.at[name][-1] for name in _CLOSED_BY.get(tag, ()) if self.at[name]]:
+                if max(closed) >= (self.scopes[-1] if self.scopes else 0):
+                    self._close_from(max(closed))
             self.end_line()
         elif tag == "br":
             self.parts.append(" ")
@@ -91,47 +115,47 @@ class PageLines(HTMLParser):
             return
         given = dict(attrs)
         named = {w.rstrip("0123456789-_") for a in ("class", "id", "role") for w in (given.get(a) or "").lower().split()}
-        top = self.open[-1] if self.open else None
-        inside = bool(top and any(e.main for e in self.open))
-        hidden = bool(top and top.hidden) or tag in HIDDEN or "hidden" in given or (given.get("style") or "").replace(" ", "").lower().startswith("display:none")
-        aside = tag in ASIDE and not (tag == "header" and inside) or bool(named & ASIDE_WORDS) and tag not in ("html", "body", "article", "main")
+        top = self.open[-1] if self.open else _PAGE
+        hidden = top.hidden or tag in HIDDEN or "hidden" in given or (given.get("style") or "").replace(" ", "").lower().startswith("display:none")
+        aside = tag in ASIDE and not (tag == "header" and top.main) or bool(named & ASIDE_WORDS) and tag not in ("html", "body", "article", "main")
         main = tag in MAIN or given.get("role") in ("main", "article")
-        self.count += 1
-        if main and not inside:
-            self.mains.add(self.count)
+        container = top.container
         if tag in CONTAINERS:
-            self.containers.add(self.count)
-        self.open.append(Element(tag, (*(top.around if top else ()), self.count), hidden, bool(top and top.aside) or aside, main))
+            self.outer.append(container)
+            container = len(self.outer) - 1
+        for stack, own in ((self.at[tag], True), (self.blocks, tag in BLOCKS), (self.scopes, tag in _SCOPES)):
+            if own:
+                stack.append(len(self.open))
+        self.open.append(Element(tag, container, hidden, top.aside or aside, top.main or main))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and tag not in BLOCKS:
             self.handle_endtag(tag)
 
-    def _close_open(self, names: set[str]) -> None:
-        """Ends the nearest open element of these names that no scope shields."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].name in names:
-                self.end_line()
-                del self.open[i:]
-                return
-            if self.open[i].name in _SCOPES or (self.open[i].name in BLOCKS and "p" in names):
-                return
+    def _close_from(self, first: int) -> None:
+        """Ends all elements from the ``first`` on."""
+        if self.blocks and self.blocks[-1] >= first:
+            self.end_line()
+        for e in self.open[first:]:
+            self.at[e.name].pop()
+        for stack in (self.blocks, self.scopes):
+            while stack and stack[-1] >= first:
+                stack.pop()
+        del self.open[first:]
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i].name == tag:
-                if any(e.name in BLOCKS for e in self.open[i:]):
-                    self.end_line()
-                del self.open[i:]
-                return
-        if tag in BLOCKS:
+        if self.at[tag]:
+            self._close_from(self.at[tag][-1])
+        elif tag in BLOCKS:
             self.end_line()
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1].hidden):
             self.parts.append(data)
+            if self.at["a"]:
+                self.linked += len(data.strip())
 
     def close(self) -> None:
         super().close()
@@ -146,33 +170,63 @@ def smoothed(ratio: np.ndarray, sigma: float) -> np.ndarray:
     return full(ratio) / full(np.ones(len(ratio)))
 
 
+def content_regions(weights: list[float], containers: list[int], outer: list[int]) -> list[bool]:
+    """For each container, whether it lies in a content region; ``weights`` are of lines, ``containers`` those they stand in.
+
+    A container is a region if it gathers more than the best regions inside it, or as much
+    as several of them, and if that is more than nothing.
+    """
+    own, inner, parts = [0.0] * len(outer), [0.0] * len(outer), [0] * len(outer)
+    for w, c in zip(weights, containers, strict=True):
+        own[c] += w
+    whole = [False] * len(outer)
+    for c in range(len(outer) - 1, -1, -1):  # inner ones come after outer ones
+        whole[c] = own[c] > 0 and (own[c] > inner[c] or own[c] == inner[c] and parts[c] > 1)
+        best = own[c] if whole[c] else inner[c]
+        if c:
+            own[outer[c]] += own[c]
+            inner[outer[c]] += best
+            parts[outer[c]] += best > 0
+    for c in range(1, len(outer)):
+        whole[c] = whole[c] or whole[outer[c]]
+    return whole
+
+
 def main_text(html: str | None, sigma: float = 1.0, spread: float = 0.5) -> str:
     """The page's main text: blocks in page order, joined by empty lines.
 
     ``spread``: lines belong to the content cluster whose smoothed ratio reaches this many
-    standard deviations of all ratios, or that of the largest.
+    standard deviations of all ratios, or that of the largest, and that reach a quarter of
+    it by themselves.
     """
     if not html:
         return ""
     page = PageLines()
     page.feed(html)
     page.close()
-    if not page.lines:
+    lines = page.lines
+    if not lines:
         return ""
-    ratio = np.array([len(t) / max(1, n) if not aside else 0.0 for t, n, _, aside in page.lines])
+    ratio = np.array([0.0 if x.aside else min(MOST, max(0, len(x.text) - x.linked) / max(1, x.tags)) for x in lines])
     smooth = smoothed(ratio, sigma)
-    chosen = smooth >= min(spread * ratio.std(), smooth.max())
-    weight: dict[int, float] = defaultdict(float)
-    for (text, _, around, aside), on in zip(page.lines, chosen, strict=True):
-        if on and not aside:
-            for e in around:
-                weight[e] += len(text)
-    total = sum(len(t) for (t, _, _, aside), on in zip(page.lines, chosen, strict=True) if on and not aside)
-    # all article and main elements if they hold a good part of the cluster, else the innermost container that holds all of it
-    region = page.mains
-    if not region or sum(weight[e] for e in region) < 0.3 * total or not total:
-        region = {max((e for e, w in weight.items() if w >= total and e in page.containers), default=0)} - {0}
-    return "\n\n".join(t for t, _, around, aside in page.lines if not aside and (not region or not region.isdisjoint(around)))
+    least = min(spread * ratio.std(), smooth.max())
+    cluster = ((smooth >= least) & (4 * ratio >= least)).tolist()
+    menu = [not (x.aside or x.main) and 2 * x.linked > len(x.text) and r < max(least, 1e-9) for x, r in zip(lines, ratio.tolist(), strict=True)]
+    weight = [0.0 if x.aside else -float(len(x.text)) if m else len(x.text) * float(on or x.main or x.heading) for x, on, m in zip(lines, cluster, menu, strict=True)]
+    inside = content_regions(weight, [x.container for x in lines], page.outer)
+    if not any(inside):
+        return "\n\n".join(x.text for x in lines if not x.aside)
+    out, links = [], []
+    for x, m in zip(lines, menu, strict=True):
+        if m and inside[x.container]:
+            links.append(x.text)
+            continue
+        if len(links) < RUN:
+            out += links
+        links = []
+        if inside[x.container] and not x.aside:
+            out.append(x.text)
+    return "\n\n".join(out + links if len(links) < RUN else out)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
