@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from threadloom.llm import bpe, html_extract, line_dedup, media_webp, near_dedup, packing, quality_mil, quality_rules, sharding, toxicity_crf
+from threadloom.llm import bpe, hashing, html_extract, line_dedup, media_webp, near_dedup, packing, quality_mil, quality_rules, sharding, toxicity_crf
 from threadloom.llm.common import spread_rank, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank long, `key` string, hub string"
@@ -354,6 +354,52 @@ def test_quality_model_separates_held_out_documents(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.93
 
 
+def plain_passages(text):
+    """The features by loops, a passage at a time."""
+    raw, words, at = text.encode(), [], 0
+    for w in raw.replace(b"\t", b" ").replace(b"\n", b" ").split(b" "):
+        if w:
+            words.append((at, w))
+        at += len(w) + 1
+    cls = lambda c: next((k for k, own in enumerate(quality_mil._CLASSES) if chr(c) in own), quality_mil.K - 1 if c > 127 else quality_mil.K - 2)
+    seen3, out = set(), []
+    for p in range(0, len(words), 64):
+        own = words[p : p + 64]
+        stretch = raw[own[0][0] if p else 0 : words[p + 64][0] if p + 64 < len(words) else len(raw)]
+        row = [sum(cls(c) == k for c in stretch) / len(stretch) for k in range(quality_mil.K)]
+        sizes = [len(w) for _, w in own]
+        again = []
+        for i in range(p, p + len(own)):
+            key = tuple(w for _, w in words[i : i + 3])
+            again.append(len(key) == 3 and key in seen3)
+            if len(key) == 3:
+                seen3.add(key)
+        local = [own[i][1] in {w for _, w in own[:i]} for i in range(len(own))]
+        same = [i > 0 and words[i][1] == words[i - 1][1] for i in range(p, p + len(own))]
+        row += [np.mean(sizes) / 10, np.std(sizes) / 10, np.mean(same), np.mean(again), np.mean(local)]
+        out.append([*row, np.mean([65 <= w[0] <= 90 for _, w in own]), np.mean([cls(w[-1]) in (5, 6, 7) for _, w in own]), min(2, stretch.count(b"\n") / len(own)), 0.0])
+    return np.array(out)
+
+
+def test_passages_of_long_texts_as_loops(monkeypatch):
+    rng = random.Random(4)
+    text = " ".join(rng.choice(["Loom,", "warp", "é" * rng.randint(1, 9), "x\n", "a b", "#", "W" + "o" * 300]) for _ in range(3000))
+    whole = quality_mil.passages(text)
+    assert np.allclose(whole, plain_passages(text))
+    for module in (quality_mil, hashing):
+        monkeypatch.setattr(module, "STRETCH", 500)
+    assert (quality_mil.passages(text) == whole).all()
+
+
+def test_scores_of_very_long_texts(spark):
+    docs, labels = mixed_corpus(spark, 400)
+    big = " ".join(["loom warp weft thread"] * 150_000)  # over 3 MB in one line
+    rows = docs.union(spark.createDataFrame([(1000, big), (1001, big + "\n" + "y" * 2_000_000)], docs.schema))
+    for run in (quality_mil.score_quality, toxicity_crf.score_toxicity):
+        got = {r["doc_id"]: r["score"] for r in run(rows, labels).collect()}
+        assert len(got) == 402 and 0 <= got[1000] <= 1 and 0 <= got[1001] <= 1
+
+
 def test_attention_gradient_is_the_losses_slope():
     rng = np.random.default_rng(3)
     bags = [rng.normal(size=(rng.integers(1, 5), 6)) for _ in range(12)]
@@ -499,6 +545,17 @@ def test_marginals_as_all_paths():
             assert pair[i, t].sum() == pytest.approx(1) and pair[i, t, 1] + pair[i, t, 3] == pytest.approx(p[i, t])
 
 
+def test_a_long_line_is_one_chain():
+    rng = np.random.default_rng(5)
+    move = np.exp(rng.normal(size=(3, 2)))
+    emissions = [np.exp(rng.normal(size=n) * 2) for n in (2000, 1, 0, 257, 258, 256, 3, 770)]
+    for got, pot in zip(toxicity_crf.marginals(emissions, move), emissions, strict=True):
+        if len(pot):
+            want, _ = toxicity_crf.chains(pot[None], np.ones((1, len(pot)), bool), move)
+            assert got == pytest.approx(want[0])
+        assert len(got) == len(pot)
+
+
 def test_quiet_texts_have_no_marginal_worth_noting():
     rng = np.random.default_rng(4)
     tagger = toxicity_crf.Tagger(np.zeros(toxicity_crf.HASHED, np.float32), np.exp(rng.normal(size=(3, 2))))

@@ -18,8 +18,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+STRETCH = 1 << 20  # bytes that are summed at a time, unless one range is longer
+
+
 def hashes_between(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each range [start, end) of the bytes, from running sums of a random value a byte times a power of its place."""
+    """A hash of each range [start, end) of the bytes, from running sums of a random value a byte times a power of its place.
+
+    The ranges are in order and don't overlap. A hash doesn't depend on where its range
+    lies, so long texts are hashed a stretch of whole ranges at a time.
+    """
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        stop = max(at + 1, int(np.searchsorted(end, start[at] + STRETCH, side="right")))
+        first, last = int(start[at]), int(end[stop - 1])
+        out[at:stop] = _hashed(raw[first:last], start[at:stop] - first, end[at:stop] - first)
+        at = stop
+    return out
+
+
+def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     if len(_powers["up"]) <= len(raw):
         n = max(2 * len(raw), 1 << 16)
         back = np.uint64(pow(int(BASE), -1, 1 << 64))

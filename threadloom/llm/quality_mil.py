@@ -26,7 +26,7 @@ from threadloom.llm.hashing import hashes_between
 from threadloom.llm.labelled import labelled_sample
 
 PASSAGE = 64  # words
-LONGEST = 1 << 20  # bytes that are described at a time
+STRETCH = 1 << 20  # bytes that are counted at a time
 _CLASSES = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".,;:", "!?", "#*$%&|<>", "'\"()[]{}", "-_/\\@+=~^`")
 _CLASS = np.full(256, len(_CLASSES), np.int64)
 _CLASS[128:] = len(_CLASSES) + 1
@@ -45,10 +45,20 @@ def _repeats(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def describe(raw: bytes) -> np.ndarray:
-    """Features of the passages of one stretch of UTF-8, a row each."""
-    b = np.frombuffer(raw, np.uint8)
-    cls = _CLASS[b]
+def byte_counts(b: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Bytes of each class in each of the ranges between neighbouring cuts; few ranges at a time."""
+    out, at = np.empty((len(cuts) - 1, K)), 0
+    while at < len(out):
+        stop = min(len(out), max(at + 1, int(np.searchsorted(cuts, cuts[at] + STRETCH, side="right")) - 1))
+        place = np.repeat(np.arange(stop - at), np.diff(cuts[at : stop + 1]))
+        out[at:stop] = np.bincount(place * K + _CLASS[b[cuts[at] : cuts[stop]]], minlength=(stop - at) * K).reshape(-1, K)
+        at = stop
+    return out
+
+
+def passages(text: str | None) -> np.ndarray:
+    """Features of all passages of a whole text, a row each."""
+    b = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     blank = (b == 32) | ((b >= 9) & (b <= 13))
     edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -58,13 +68,11 @@ def describe(raw: bytes) -> np.ndarray:
         out[0, -1] = 1.0
         return out
     n = -(-w // PASSAGE)
-    first = start[::PASSAGE]
     of_word = np.arange(w) // PASSAGE
     sizes = np.bincount(of_word, minlength=n).astype(float)
     # each byte belongs to the passage whose first word is the last to start at or before it
-    length = np.diff(np.concatenate([[0], first[1:], [len(b)]])).astype(float)
-    of_byte = np.repeat(np.arange(n), length.astype(np.int64))
-    shares = np.bincount(of_byte * K + cls, minlength=n * K).reshape(n, K) / length[:, None]
+    cuts = np.concatenate([[0], start[PASSAGE::PASSAGE], [len(b)]])
+    counts = byte_counts(b, cuts)
     h = hashes_between(b, start, end)
     size = (end - start).astype(float)
     mean = lambda x: np.bincount(of_word, x, n) / sizes
@@ -73,24 +81,10 @@ def describe(raw: bytes) -> np.ndarray:
     again = np.zeros(w)
     again[: len(h3)] = _repeats(h3)
     local = _repeats(h + of_word.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    capital = (cls[start] == 1).astype(float)
-    marked = np.isin(cls[end - 1], (5, 6, 7)).astype(float)
-    lines = np.bincount(of_byte, b == 10, n) / sizes
-    return np.column_stack([shares, mean(size) / 10, np.sqrt(np.maximum(mean(size**2) - mean(size) ** 2, 0)) / 10, mean(same), mean(again), mean(local), mean(capital), mean(marked), np.minimum(lines, 2), np.zeros(n)])
-
-
-def passages(text: str | None) -> np.ndarray:
-    """Features of all passages of a text; very long ones are described a stretch at a time."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    if len(raw) <= LONGEST:
-        return describe(raw)
-    out, at = [], 0
-    while at < len(raw):
-        end = len(raw) if at + LONGEST >= len(raw) else raw.rfind(b" ", at + 1, at + LONGEST)
-        end = at + LONGEST if end < 0 else end
-        out.append(describe(raw[at:end]))
-        at = end
-    return np.vstack(out)
+    capital = (_CLASS[b[start]] == 1).astype(float)
+    marked = np.isin(_CLASS[b[end - 1]], (5, 6, 7)).astype(float)
+    spread = np.sqrt(np.maximum(mean(size**2) - mean(size) ** 2, 0)) / 10
+    return np.column_stack([counts / np.diff(cuts)[:, None], mean(size) / 10, spread, mean(same), mean(again), mean(local), mean(capital), mean(marked), np.minimum(counts[:, 4] / sizes, 2), np.zeros(n)])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:

@@ -4,13 +4,15 @@ Labels mark documents, so tokens are labelled first: a token of a toxic document
 if its form or a prefix of it occurs in toxic documents far more often than in clean ones.
 A two-state chain over lines is trained on these tokens. Forward-backward marginals of all
 tokens of a text then give offending offsets, and a document's score is a logistic function
-of its largest marginal and of the expected number of toxic tokens.
+of its largest marginal and of the expected number of toxic tokens. Marginals under 0.05
+count as nothing in both, by definition; so a text in which no token can reach that, whatever
+its neighbours, needs no chain.
 
 Defined results: a null, empty or word-less text scores as one without toxic tokens and has
-no spans; lines of any length are cut into windows, so every word counts; repeated rows get
-equal rows; with no usable labels, or only
-one class of them, nothing is found toxic and every score is 0; other columns are not read; an
-empty table gives no rows.
+no spans; a line of any length is one chain (only in training are lines cut into stretches of
+256 tokens); repeated rows get equal rows; with no usable labels, or only one class of them,
+nothing is found toxic and every score is 0; other columns are not read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from threadloom.llm.common import held_out
 from threadloom.llm.labelled import labelled_sample
 
 HASHED = 1 << 18
-WINDOW = 256  # tokens of a line that form one chain
+STRETCH = 256  # tokens of a line that are run through at a time
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _CHUNK = re.compile(r"\S+")
 
@@ -53,13 +55,6 @@ def places_of(names: list[str]) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % HASHED for n in names]
 
 
-def lines_of(text: str) -> Iterator[list[str]]:
-    for line in text.split("\n"):
-        chunks = line.split()
-        for at in range(0, len(chunks), WINDOW):
-            yield chunks[at : at + WINDOW]
-
-
 def telling_traits(sample: list[tuple[int, str, int]], ratio: float = 20, least_share: float = 0.01, least: int = 3) -> set[str]:
     """Forms and prefixes at least ``ratio`` times as frequent in toxic documents as in clean ones, in enough of them.
 
@@ -117,45 +112,79 @@ def chains(potential: np.ndarray, there: np.ndarray, move: np.ndarray) -> tuple[
 
 
 def marginals(emissions: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
-    """Marginals of state 1 for chains of any lengths, computed in batches of similar length."""
-    out: list[np.ndarray] = [np.zeros(0)] * len(emissions)
-    order = sorted(range(len(emissions)), key=lambda i: len(emissions[i]))
-    at = 0
-    while at < len(order):
-        own = order[at : at + 1024]
-        at += len(own)
-        n = len(emissions[own[-1]])
-        if not n:
-            continue
-        pot, there = np.ones((len(own), n)), np.zeros((len(own), n), bool)
-        for r, i in enumerate(own):
-            pot[r, : len(emissions[i])] = emissions[i]
-            there[r, : len(emissions[i])] = True
-        p = _only_states(pot, there, move)
-        for r, i in enumerate(own):
-            out[i] = p[r, : len(emissions[i])]
+    """Marginals of state 1 for chains of any lengths.
+
+    All but the first token of a chain form stretches, which are run through side by side.
+    The product of a stretch's steps says what it makes of the odds that come in from
+    either end, so that long chains are joined exactly, a stretch at a time.
+    """
+    (a, c), (d, e) = move[0], move[1]
+    out = [np.empty(len(x)) for x in emissions]
+    parts = [(i, at, x[at : at + STRETCH]) for i, x in enumerate(emissions) for at in range(1, len(x), STRETCH)]
+    first = [move[2, 1] / move[2, 0] * x[0] if len(x) else 0.0 for x in emissions]
+    for i, x in enumerate(emissions):
+        if len(x) == 1:
+            out[i][0] = first[i] / (1 + first[i])
+    before, after = np.array([first[i] for i, *_ in parts]), np.ones(len(parts))
+    long = [k for k, (i, *_) in enumerate(parts) if len(emissions[i]) > STRETCH + 1]
+    if long:
+        steps = dict(zip(long, _products([parts[k][2] for k in long], move), strict=True))
+        for k in long:  # forward, in order of a chain's stretches
+            if parts[k][1] > 1:
+                m, x = steps[k - 1], before[k - 1]
+                before[k] = (m[0, 1] + x * m[1, 1]) / (m[0, 0] + x * m[1, 0])
+        for k in reversed(long):
+            if k + 1 < len(parts) and parts[k + 1][0] == parts[k][0]:
+                m, y = steps[k + 1], after[k + 1]
+                after[k] = (m[1, 0] + m[1, 1] * y) / (m[0, 0] + m[0, 1] * y)
+    for own in _batches([p for *_, p in parts]):
+        pot, there = _padded([parts[k][2] for k in own])
+        odds, x, y = np.empty_like(pot), before[own], after[own]
+        for t in range(len(pot)):
+            x = (c + x * e) / (a + x * d) * pot[t]
+            odds[t] = x
+        for t in range(len(pot) - 1, -1, -1):
+            odds[t] *= y
+            w = pot[t] * y
+            y = np.where(there[t], (d + e * w) / (a + c * w), y)
+        p = (odds / (1 + odds)).T
+        for r, k in enumerate(own):
+            i, at, x = parts[k]
+            out[i][at : at + len(x)] = p[r, : len(x)]
+            if at == 1:
+                q = first[i] * y[r]
+                out[i][0] = q / (1 + q)
     return out
 
 
-def _only_states(pot: np.ndarray, there: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """The marginals of ``chains`` alone, for scoring."""
-    pot, there = np.ascontiguousarray(pot.T), np.ascontiguousarray(there.T)
-    n, b = pot.shape
-    (a, c), (d, e) = move[0], move[1]
-    odds = np.empty((n, b))  # forward odds of state 1
-    x = move[2, 1] / move[2, 0] * pot[0]
-    odds[0] = x
-    for t in range(1, n):
-        x = (c + x * e) / (a + x * d) * pot[t]
-        odds[t] = x
-    y = np.ones(b)  # backward odds
-    for t in range(n - 1, 0, -1):
-        x = odds[t] * y
-        odds[t] = x
-        w = pot[t] * y
-        y = np.where(there[t], (d + e * w) / (a + c * w), y)
-    odds[0] *= y
-    return (odds / (1 + odds)).T
+def _batches(rows: list[np.ndarray], most: int = 1024) -> Iterator[list[int]]:
+    """Indices of rows, sorted by length, some at a time."""
+    order = sorted(range(len(rows)), key=lambda k: len(rows[k]))
+    return (order[at : at + most] for at in range(0, len(order), most))
+
+
+def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as columns of an array, padded by ones, and where they are."""
+    n = max(map(len, rows))
+    pot, there = np.ones((len(rows), n)), np.zeros((len(rows), n), bool)
+    for r, x in enumerate(rows):
+        pot[r, : len(x)], there[r, : len(x)] = x, True
+    return np.ascontiguousarray(pot.T), np.ascontiguousarray(there.T)
+
+
+def _products(rows: list[np.ndarray], move: np.ndarray) -> list[np.ndarray]:
+    """For each stretch, the product of its steps between states, up to a factor."""
+    out = [np.eye(2)] * len(rows)
+    for own in _batches(rows):
+        pot, there = _padded([rows[k] for k in own])
+        m = np.tile(np.eye(2), (len(own), 1, 1))
+        for p, on in zip(pot, there, strict=True):
+            step = m @ move[:2]
+            step[:, :, 1] *= p[:, None]
+            m = np.where(on[:, None, None], step / step.max((1, 2), keepdims=True), m)
+        for r, k in enumerate(own):
+            out[k] = m[r]
+    return out
 
 
 class Potentials(dict):
@@ -199,7 +228,7 @@ class Tagger:
         look, per_text = self.potential.__getitem__, []
         for t in texts:
             loud = max(map(look, t.split()), default=0.0) >= self.quiet
-            per_text.append([np.array([*map(look, chunks)]) for chunks in lines_of(t)] if loud else [])
+            per_text.append([np.array([*map(look, line.split())]) for line in t.split("\n")] if loud else [])
         flat = iter(marginals([e for chain in per_text for e in chain], self.move))
         return [[next(flat) for _ in chain] for chain in per_text]
 
@@ -238,8 +267,9 @@ def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int =
 
     rng, with_toxic, without = np.random.default_rng(seed), [], []
     for _, text, y in sample:
-        for chunks in lines_of(text):
-            if chunks:
+        for line in text.split("\n"):
+            whole = line.split()
+            for chunks in (whole[at : at + STRETCH] for at in range(0, len(whole), STRETCH)):
                 hits = [y and look(c)[1] for c in chunks]
                 (with_toxic if any(hits) else without).append((chunks, hits))
     some = rng.permutation(len(without))[: max(500, 2 * len(with_toxic))]
