@@ -74,6 +74,23 @@ def test_lines_over_the_ratio_of_their_host_go(spark):
     assert got == {0: ("first", 3, 2), 1: ("second", 2, 1), 2: ("", 1, 1), 3: ("third\n\nfoot", 3, 0), 4: ("menu\nfourth", 2, 0), 5: ("fifth", 1, 0), 6: ("x", 1, 0), 7: (None, 0, 0)}
 
 
+@pytest.mark.parametrize("most", [0, 10**6], ids=["dealt by host", "broadcast"])
+def test_hot_hosts_and_clashing_names(spark, most):
+    rows = [(i, "hot" if i % 3 else f"h{i % 5}", f"menu {i % 2}\nline {i}\n\nfoot", 1, 2, 3, "k") for i in range(3000)] + [(i, "hot", "same page\nfoot", 1, 2, 3, "k") for i in range(3000, 4000)]
+    df = spark.createDataFrame(rows, "doc_id int, source string, text string, _in int, _keys int, lines_in int, host string")
+    got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(df, broadcast_keys=most).collect()}
+    seen, total = defaultdict(set), Counter(r[1] for r in rows)
+    for r in rows:
+        for line in r[2].split("\n"):
+            seen[r[1], line].add(r[0])
+    assert len(got) == 4000
+    for r in rows:
+        lines = r[2].split("\n")
+        kept = [x for x in lines if not x or len(seen[r[1], x]) < 3 or len(seen[r[1], x]) <= 0.05 * total[r[1]]]
+        out = got[r[0]]
+        assert (out["text"], out["lines_in"], out["lines_dropped"], out["_in"], out["_keys"], out["host"]) == ("\n".join(kept), len(lines), len(lines) - len(kept), 1, 2, "k")
+
+
 # op2
 
 
@@ -638,11 +655,36 @@ def test_counts_as_a_plain_loop(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
-def test_order_changes_work_and_no_verdict(spark, sf):
+def test_order_changes_no_verdict(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     counted = quality_rules.with_counts(docs)
     verdicts = [{r["doc_id"]: r["x"] for r in counted.select("doc_id", quality_rules.cascade(rules).isNull().alias("x")).collect()} for rules in (list(quality_rules.RULES), quality_rules.order_rules(docs))]
     assert verdicts[0] == verdicts[1] and {True, False} == set(verdicts[0].values())
+    assert {r["doc_id"] for r in quality_rules.passing(docs).collect()} == {d for d, ok in verdicts[0].items() if ok}
+
+
+def test_counts_are_made_only_where_no_earlier_rule_rejects(spark, monkeypatch):
+    """A count that fails on what an earlier rule rejects is never made for it."""
+    docs = docs_of(spark, ["few words", None, "enough words " * 40 + " ".join(map(str, range(90)))])
+    broken = {**quality_rules.COUNTS, "n_dup_lines": lambda t: F.when(F.length(t) < 20, F.raise_error(F.lit("made"))).otherwise(0)}
+    monkeypatch.setattr(quality_rules, "COUNTS", broken)
+    rules = {r.name: r for r in quality_rules.RULES}
+    first = [rules["few_words"], rules["repeated_lines"]]
+    text = F.coalesce("text", F.lit(""))
+    assert [r["doc_id"] for r in docs.filter(quality_rules.cascade(first, text).isNull()).collect()] == [2]
+    with pytest.raises(Exception, match="made"):
+        docs.filter(quality_rules.cascade(first[::-1], text).isNull()).collect()
+
+
+def test_rules_that_reject_more_a_second_come_first(spark):
+    docs = docs_of(spark, ["a few words"] * 300)
+    assert quality_rules.order_rules(docs)[0].name == "few_words"
+
+
+def test_names_of_results_in_the_input(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 5, 6, 7)], "doc_id long, text string, _words string, words_ int, n_words int, kept int")
+    [row] = quality_rules.quality_filter(docs).collect()
+    assert (row["n_words"], row["kept"], row["_words"], row["words_"]) == (2, False, "x", 5)
 
 
 # op10

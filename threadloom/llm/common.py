@@ -29,12 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, without its lineage.
 
     The folder is the one in ``spark.checkpoint.dir``; a local one is made only where
-    the session names none, as in tests.
+    the session names none and runs on this machine alone, as in tests.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -45,6 +47,17 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield b.slice(at, rows)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own, which no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text: Column) -> Column:
     """Array of the maximal runs of characters that are not WORD_SPACE."""
     blanks = F.translate(text, WORD_SPACE, " " * len(WORD_SPACE))

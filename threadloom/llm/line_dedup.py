@@ -5,7 +5,8 @@ exceeds a ratio. Lines are compared after trimming; blank lines are never boiler
 
 Defined results: a null text stays null with 0 lines; a text whose lines all go becomes
 ''; rows with a null host form one host; a page that repeats a line counts once; repeated
-rows are pages of their own; extra columns pass through; an empty table gives no rows.
+rows are pages of their own; extra columns pass through, but for ones named lines_in or
+lines_dropped, which are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import cut, fresh
+
+BROADCAST = 500_000  # line keys (8 bytes each) that may travel to every machine
+
 
 def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
@@ -33,22 +38,34 @@ def boilerplate_lines(pages: DataFrame, host: str, text: str, ratio: float, min_
     return counts.join(totals, "host").filter(F.col("pages_with_line") > F.col("host_pages") * F.lit(ratio))
 
 
-def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 3) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 3, broadcast_keys: int = BROADCAST) -> DataFrame:
     """``pages`` with boilerplate lines cut from ``text``, and ``lines_in`` and ``lines_dropped``.
 
-    ``min_pages``: a line on fewer pages of its host is never boilerplate. The lines of a
-    host are few (at most mean lines of a page / ratio), so they travel as one array a host;
-    Spark broadcasts them where they are small and else splits hot hosts at run time.
+    ``min_pages``: a line on fewer pages of its host is never boilerplate. On a host of
+    few pages each line exceeds the ratio by itself, and two copies of a page would
+    make all its lines boilerplate; hence three.
+
+    The boilerplate of a host (at most mean lines of a page / ratio) travels as one array. If
+    all these arrays hold no more than ``broadcast_keys`` lines, they are sent to every
+    task and texts aren't shuffled. Else pages meet them by host, and a host with more than
+    a thousandth of all pages is dealt over several tasks, each with its array.
     """
-    found = boilerplate_lines(pages, host, text, ratio, min_pages).groupBy(F.col("host").alias("_host")).agg(F.collect_set("line_key").alias("_keys"))
-    joined = pages.join(found, F.coalesce(F.col(host).cast("string"), F.lit("\0")) == F.col("_host"), "left")
+    found = cut(boilerplate_lines(pages, host, text, ratio, min_pages))
+    own_host, keys, salt, row = fresh(pages, "host_", "keys_", "salt_", "row_")
+    arrays = found.groupBy(F.col("host").alias(own_host)).agg(F.collect_set("line_key").alias(keys), F.first("host_pages").alias(salt))
+    given = pages.withColumn(own_host, F.coalesce(F.col(host).cast("string"), F.lit("\0")))
+    if found.count() <= broadcast_keys:
+        joined = given.join(F.broadcast(arrays.drop(salt)), own_host, "left")
+    else:
+        share = max(1, pages.count() // 1000)
+        arrays = arrays.withColumn(salt, F.ceil(F.col(salt) / share).cast("int"))
+        hot = arrays.filter(F.col(salt) > 1).select(own_host, salt)  # a thousand hosts at most
+        dealt = given.join(F.broadcast(hot), own_host, "left").withColumn(salt, F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col(salt)), F.lit(0)))
+        joined = dealt.join(arrays.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.col(salt).cast("long") - 1))), [own_host, salt], "left").drop(salt)
     lines = F.split(F.col(text), "\n")
-    rest = F.when(F.col("_keys").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_keys"), _key(x))))
-    out = joined.withColumns({"_in": lines, "_out": rest})
-    return out.withColumns(
-        {
-            text: F.array_join("_out", "\n"),
-            "lines_in": F.coalesce(F.size("_in"), F.lit(0)),
-            "lines_dropped": F.when(F.col("_in").isNull(), 0).otherwise(F.size("_in") - F.size("_out")),
-        }
-    ).withColumn("lines_in", F.greatest("lines_in", F.lit(0))).drop("_host", "_keys", "_in", "_out")
+    rest = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(keys), _key(x))))
+    done = joined.withColumn(row, F.struct(lines.alias("given"), rest.alias("rest")))
+    out, n = done.drop(own_host, keys), lambda c: F.coalesce(F.size(F.col(row)[c]), F.lit(0))
+    null = F.col(row)["given"].isNull()
+    out = out.withColumns({text: F.array_join(F.col(row)["rest"], "\n"), "lines_in": F.when(null, 0).otherwise(n("given")), "lines_dropped": F.when(null, 0).otherwise(n("given") - n("rest"))})
+    return out.select(*[c for c in pages.columns if c not in ("lines_in", "lines_dropped")], "lines_in", "lines_dropped")
