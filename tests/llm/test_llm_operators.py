@@ -663,17 +663,15 @@ def test_order_changes_no_verdict(spark, sf):
     assert {r["doc_id"] for r in quality_rules.passing(docs).collect()} == {d for d, ok in verdicts[0].items() if ok}
 
 
-def test_counts_are_made_only_where_no_earlier_rule_rejects(spark, monkeypatch):
-    """A count that fails on what an earlier rule rejects is never made for it."""
+def test_counts_are_made_only_where_no_earlier_rule_rejects(spark):
+    """A condition that raises on what an earlier rule rejects is never reached for it."""
     docs = docs_of(spark, ["few words", None, "enough words " * 40 + " ".join(map(str, range(90)))])
-    broken = {**quality_rules.COUNTS, "n_dup_lines": lambda t: F.when(F.length(t) < 20, F.raise_error(F.lit("made"))).otherwise(0)}
-    monkeypatch.setattr(quality_rules, "COUNTS", broken)
-    rules = {r.name: r for r in quality_rules.RULES}
-    first = [rules["few_words"], rules["repeated_lines"]]
-    text = F.coalesce("text", F.lit(""))
-    assert [r["doc_id"] for r in docs.filter(quality_rules.cascade(first, text).isNull()).collect()] == [2]
+    few = quality_rules.RULES[0]
+    trap = quality_rules.Rule("trap", lambda c: F.when(c["n_repeat_words"] + c["n_words"] < 20, F.raise_error(F.lit("made")).cast("boolean")).otherwise(False))
+    left = quality_rules.not_failing(docs, [few, trap])
+    assert [r["doc_id"] for r in left.collect()] == [2] and left.columns == docs.columns
     with pytest.raises(Exception, match="made"):
-        docs.filter(quality_rules.cascade(first[::-1], text).isNull()).collect()
+        quality_rules.not_failing(docs, [trap, few]).collect()
 
 
 def test_rules_that_reject_more_a_second_come_first(spark):
