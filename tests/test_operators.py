@@ -126,9 +126,19 @@ def test_front_matter_and_headings(spark):
 
 
 def test_transcripts(spark):
-    rows = [(1, "Ada (00:01):\nHello there.\nBob (01:02:03):\n\nAda (01:03):\nMore words here."), (2, "No speaker at all"), (3, "")]
+    rows = [
+        (1, "# Title\n\nAda L. (00:00:01):\nHello there!\n## Part\nBob (01:02:03):\n\nAda L. (00:01:03): More words here.\n\nAnd more."),
+        (2, "# A heading\nNo speaker at all (0:10):"),
+        (3, ""),
+        (4, "plain words\nEve (00:00:09):\nText"),
+    ]
     got = [(r["k"], r["chunk_index"], r["speaker"], r["clock"], r["text"]) for r in docs.speaker_turns(spark.createDataFrame(rows, "k int, text string"), "k").orderBy("k", "chunk_index").collect()]
-    assert got == [(1, 0, "Ada", "00:01", "Hello there."), (1, 1, "Ada", "01:03", "More words here."), (2, 0, "Unknown", "0:00", "No speaker at all")]
+    assert got == [
+        (1, 0, "Ada L.", "00:00:01", "Hello there!"),
+        (1, 1, "Ada L.", "00:01:03", "More words here.\n\nAnd more."),
+        (2, 0, "Unknown", "00:00:00", "No speaker at all (0:10):"),
+        (4, 0, "plain words\nEve", "00:00:09", "Text"),
+    ]
 
 
 def test_packed_paragraphs_as_a_plain_loop(spark):
@@ -219,15 +229,22 @@ def unit(rows):
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def test_similarity_join_by_broadcast_and_by_blocks(spark, monkeypatch):
+def test_similarity_join_by_broadcast_and_by_blocks(spark):
     df, rows = random_vectors(spark, 60, 1)
     u = np.round(unit(rows) @ unit(rows).T, 6)
     want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(u >= 0.4), strict=True)}
-    pairs = lambda: {(r["left_id"], r["right_id"]) for r in similarity.similar_pairs(df, df, 0.4, block=16).collect()}
-    assert pairs() == want
-    monkeypatch.setattr(similarity, "BROADCAST_ROWS", 10)
+    pairs = lambda **how: {(r["left_id"], r["right_id"]) for r in similarity.similar_pairs(df, df, 0.4, block=16, **how).collect()}
     assert pairs() == want
+    assert pairs(values=0) == want
     assert similarity.similar_pairs(df.limit(0), df, 0.4).count() == 0
+    kind, place = {r[0]: r[1] for r in rows}, {r[0]: i for i, r in enumerate(rows)}
+    column = df.columns[1]
+    for values in (0, 10**6):
+        assert pairs(values=values, kind=column) == {(a, b) for a, b in want if kind[a] == kind[b]}
+        best = similarity.best_per(similarity.similar_pairs(df, df, 0.0, values=values, block=16, k=2), "left_id", 2, "right_id").collect()
+        for a in kind:
+            order = sorted((b for b in kind if u[place[a], place[b]] >= 0), key=lambda b: (-u[place[a], place[b]], b))
+            assert [r["right_id"] for r in sorted(best, key=lambda r: r["rank"]) if r["left_id"] == a] == order[:2]
 
 
 @pytest.mark.parametrize("rule", ["leader", "sweep"])

@@ -30,7 +30,16 @@ def cut_at_sentence(text: Column, n: int, share: float = 0.8) -> Column:
     """At most n characters, cut after the last full stop or line end if that lies beyond a share of n."""
     head = F.substring(text, 1, n)
     place = F.greatest(last_place(head, "."), last_place(head, "\n"))
-    return F.when(F.length(text) <= n, text).when(place > n * share, F.substring(head, F.lit(1), place)).otherwise(head)
+    return F.when(F.length(text) <= n, text).when(place - 1 > n * share, F.substring(head, F.lit(1), place)).otherwise(head)
+
+
+#: What stands at the end of a text that was cut.
+CUT_NOTE = "\n\n[Message truncated due to length]"
+
+
+def cut_for_embedding(text: Column, n: int = 6000) -> Column:
+    """A text of at most n characters as it is, else what ``cut_at_sentence`` leaves of it, with a note."""
+    return F.when(F.length(text) <= n, text).otherwise(F.concat(cut_at_sentence(text, n), F.lit(CUT_NOTE)))
 
 
 def tokens_by_quarter(text: Column) -> Column:
@@ -48,9 +57,14 @@ def trace_ids(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?i)#\s*@trace-id:\s*(\S+)"), 1)
 
 
-def title_words(title: Column, stop: tuple[str, ...], longer_than: int = 3) -> Column:
-    """Distinct lower-case words of a title without punctuation, stop words and short words."""
-    words = F.split(F.regexp_replace(F.lower(title), r"[^a-z0-9\s]", ""), r"\s+")
+# Words of titles that don't count, and the marks that are cut off a word's ends.
+TITLE_STOP = ("the", "a", "an", "is", "are", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "how", "what", "when", "where", "why", "which", "who", "not", "this", "that", "it", "its", "use", "using", "used")
+TITLE_MARKS = r"""[.,!?;:()\[\]{}"'`\-_/\\]+"""
+
+
+def title_words(title: Column, stop: tuple[str, ...] = TITLE_STOP, longer_than: int = 3) -> Column:
+    """Distinct lower-case words of a title, without marks at their ends, stop words and short words."""
+    words = F.transform(F.split(F.lower(title), r"\s+"), lambda w: F.regexp_replace(w, f"^{TITLE_MARKS}|{TITLE_MARKS}$", ""))
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) > longer_than) & ~w.isin(*stop)))
 
 

@@ -36,8 +36,10 @@ def problem_solution_patterns(relations: DataFrame, entities: DataFrame, least:
     p, s = ("source_entity_id", "target_entity_id") if direction == "as_coded" else ("target_entity_id", "source_entity_id")
     problems = entities.filter("entity_type = 'problem'").select(F.col("id").alias("problem_id"), F.col("canonical_name").alias("problem"))
     cures = entities.filter(F.col("entity_type").isin("tool", "pattern")).select(F.col("id").alias("solution_id"), F.col("canonical_name").alias("solution"), F.col("entity_type").alias("solution_type"))
+    # as coded, edges are counted; as documented, their occurrences are
+    count = F.count("*") if direction == "as_coded" else F.sum("occurrence_count")
     edges = relations.filter("relation_type = 'SOLVES'").select(F.col(p).alias("problem_id"), F.col(s).alias("solution_id"), "occurrence_count")
-    out = edges.join(problems, "problem_id").join(cures, "solution_id").groupBy("problem_id", "problem", "solution_id", "solution", "solution_type").agg(F.sum("occurrence_count").alias("occurrences"))
+    out = edges.join(problems, "problem_id").join(cures, "solution_id").groupBy("problem_id", "problem", "solution_id", "solution", "solution_type").agg(count.alias("occurrences"))
     out = out.filter(F.col("occurrences") >= least).withColumn("confidence", F.least(F.col("occurrences") / 5, F.lit(1.0)))
     return out if limit is None else out.orderBy(F.desc("occurrences"), "problem_id", "solution_id").limit(limit)
 
@@ -57,9 +59,7 @@ def missing_links(mentions: DataFrame, relations: DataFrame, entities: DataFrame
     ta, tb = F.col("a_type"), F.col("b_type")
     suggest = (
         F.when((ta == "problem") & tb.isin("tool", "pattern") | (tb == "problem") & ta.isin("tool", "pattern"), "SOLVES")
-        .when((ta == "tool") & (tb == "tool"), "USED_WITH")
-        .when((ta == "pattern") & (tb == "pattern"), "ALTERNATIVE_TO")
-        .when((ta == "concept") | (tb == "concept"), "ENABLES")
+        .when((ta == "concept") & tb.isin("tool", "pattern"), "IMPLEMENTS")
         .otherwise("USED_WITH")
     )
     out = together.join(joined, ["a", "b"], "left_anti").join(kind("a"), "a").join(kind("b"), "b")

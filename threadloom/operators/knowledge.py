@@ -16,18 +16,25 @@ def graph_stats(entities: DataFrame, mentions: DataFrame, relations: DataFrame)
 
 
 def stats_for_source(entities: DataFrame, mentions: DataFrame, relations: DataFrame, source: str) -> DataFrame:
-    """One row of counts for 'user', 'expert' or 'both'.
+    """(metric, value) for 'user', 'expert' or 'both': totals, and entities by type.
 
-    Entities count by their source type (those of both belong to either), mentions and
-    relations by their own source or that of an entity they join to.
+    Entities count by their source type alone. A mention or relation counts for a user by its
+    own source or that of an entity that it joins to; for an expert likewise (an unknown
+    source is an expert's), but not by an entity if its own source is the user; for both
+    if an entity that it joins to is of both.
     """
-    own = entities.filter(F.col("source_type") == "both") if source == "both" else entities.filter(F.col("source_type").isin(source, "both"))
+    own = entities.filter(F.col("source_type") == source)
     ids = own.select("id", F.lit(True).alias("_own"))
+    known = entities.select("id", (F.col("source_type") == source).alias("_own"))
+    given = {"user": F.col("source") == "user", "expert": F.col("source").isin("expert", "unknown"), "both": F.lit(False)}[source]
+    by_entity = F.coalesce(F.col("source") != "user", F.lit(True)) if source == "expert" else F.lit(True)
     flagged = mentions.join(ids.withColumnRenamed("id", "entity_id"), "entity_id", "left")
-    m = flagged.filter((F.col("source") == source) | F.col("_own")).agg(F.count("*").alias("mentions"))
-    ends = relations.join(ids.select(F.col("id").alias("source_entity_id"), F.col("_own").alias("_a")), "source_entity_id", "left").join(ids.select(F.col("id").alias("target_entity_id"), F.col("_own").alias("_b")), "target_entity_id", "left")
-    r = ends.filter((F.col("source") == source) | F.col("_a") & F.col("_b")).agg(F.count("*").alias("relations"))
-    return own.agg(F.lit(source).alias("source"), F.count("*").alias("entities")).crossJoin(m).crossJoin(r)
+    ends = relations.join(known.select(F.col("id").alias("source_entity_id"), F.col("_own").alias("_a")), "source_entity_id", "left").join(known.select(F.col("id").alias("target_entity_id"), F.col("_own").alias("_b")), "target_entity_id", "left")
+    joined = F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") | F.col("_b"))
+    rows = {"entities": own, "mentions": flagged.filter(given | F.col("_own") & by_entity), "relations": ends.filter(given | joined & by_entity)}
+    totals = [df.agg(F.lit(name).alias("metric"), F.count("*").alias("value")) for name, df in rows.items()]
+    by = own.groupBy(F.concat(F.lit("type:"), "entity_type").alias("metric")).agg(F.count("*").alias("value"))
+    return totals[0].unionAll(totals[1]).unionAll(totals[2]).unionAll(by)
 
 
 def stats_by_source(mentions: DataFrame, relations: DataFrame) -> DataFrame:
@@ -133,8 +140,16 @@ def export_closure(mentions: DataFrame, relations: DataFrame, entities: DataFram
     return entities.join(ids, "id", "left_semi")
 
 
-def episode_edges(mentions: DataFrame, episodes: DataFrame, entities: DataFrame) -> DataFrame:
-    """REFERENCES_EPISODE edges from entities to the episodes whose chunks mention them, one each."""
-    found = mentions.withColumn("slug", expert_slug(F.col("message_id"))).filter("slug is not null").join(episodes.select("slug", F.col("entity_id").alias("episode")), "slug")
-    known = found.join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
-    return known.groupBy("entity_id", "episode").agg(F.count("*").alias("occurrence_count")).select(F.col("entity_id").alias("source_entity_id"), F.col("episode").alias("target_entity_id"), F.lit("REFERENCES_EPISODE").alias("relation_type"), "occurrence_count")
+def episode_edges(mentions: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """New REFERENCES_EPISODE edges from an episode to each conversation about it, one a message.
+
+    Message ids hold the episode's slug; both ends must be entities, and edges that are there
+    already are left out.
+    """
+    found = mentions.select("message_id", expert_slug(F.col("message_id")).alias("slug")).filter("slug is not null").distinct()
+    edges = found.select(F.concat(F.lit("episode-"), "slug").alias("source_entity_id"), F.concat(F.lit("conv-"), "message_id").alias("target_entity_id"), F.col("message_id").alias("source_message_id"))
+    for end in ("source_entity_id", "target_entity_id"):
+        edges = edges.join(entities.select(F.col("id").alias(end)), end, "left_semi")
+    there = relations.filter("relation_type = 'REFERENCES_EPISODE'").select("source_entity_id", "target_entity_id")
+    new = edges.join(there, ["source_entity_id", "target_entity_id"], "left_anti")
+    return new.select("source_entity_id", "target_entity_id", F.lit("REFERENCES_EPISODE").alias("relation_type"), "source_message_id", F.lit(1).cast("long").alias("occurrence_count"))

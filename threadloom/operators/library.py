@@ -134,8 +134,15 @@ def pruned_categories(categories: DataFrame, gone: DataFrame, drop_empty: bool)
     return out.filter(F.size("item_ids") > 0) if drop_empty else out
 
 
-def word_shifts(items: DataFrame, words: Column, recent: Column, older: Column, high: int = 3, low: int = 1) -> DataFrame:
-    """Words whose count moved between two periods: declining (many before, few now) and emerging."""
-    counted = items.select(F.explode(words).alias("word"), recent.alias("_r"), older.alias("_o")).groupBy("word").agg(F.count_if("_r").alias("recent"), F.count_if("_o").alias("older"))
+def word_shifts(items: DataFrame, words: Column, recent: Column, older: Column, high: int = 3, low: int = 1, least_items: int = 10, limit: int = 5) -> DataFrame:
+    """Words of titles whose count moved between two periods: declining (many before, few now) and emerging.
+
+    Archived items don't count, and fewer than ``least_items`` others give nothing. The first
+    ``limit`` are returned: declining ones before emerging ones, more frequent ones first.
+    """
+    live = items.filter(F.coalesce(F.col("status") != "archived", F.lit(True)))
+    enough = live.agg(F.count("*").alias("_items")).filter(F.col("_items") >= least_items)
+    counted = live.select(F.explode(words).alias("word"), recent.alias("_r"), older.alias("_o")).groupBy("word").agg(F.count_if("_r").alias("recent"), F.count_if("_o").alias("older"))
     shift = F.when((F.col("older") >= high) & (F.col("recent") <= low), "declining").when((F.col("recent") >= high) & (F.col("older") <= low), "emerging")
-    return counted.withColumn("shift", shift).filter("shift is not null")
+    found = counted.withColumn("shift", shift).filter("shift is not null").join(F.broadcast(enough), how="left_semi")
+    return found.orderBy("shift", F.desc(F.greatest("recent", "older")), "word").limit(limit)

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 from threadloom.functions.vectors import cosine
 
-#: Most rows on the side of a similarity join that is sent to every task; larger sides are joined block by block.
-BROADCAST_ROWS = 20_000
+#: Most numbers (rows times dimensions) of a side that is sent to every task, 32 MB; beyond that, both sides are joined block by block.
+BROADCAST_VALUES = 4_000_000
 
 
 def top_k(df: DataFrame, query_vector: list[float] | Column, k: int, least: float = 0.0, where: Column | None = None, tie: str = "id") -> DataFrame:
@@ -34,49 +34,60 @@ def _matrix(rows: list) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, least: float, block: int = 2048) -> DataFrame:
-    """(left_id, right_id, similarity) of all pairs from ``left`` and ``right`` (id, embedding) that reach ``least``.
+class _Side:
+    """Ids, kinds and unit vectors of some rows."""
 
-    The right side is cut into blocks of unit vectors, one row each; every partition of the
-    left side meets them one at a time and multiplies matrices. Up to BROADCAST_ROWS right
-    rows travel to every task at once; larger sides are joined block by block, with the
-    left side dealt to the blocks. Nothing but pairs that reach the threshold is emitted.
-    """
-    left, right = (d.filter("embedding is not null").select("id", "embedding") for d in (left, right))
-    kind = left.schema["id"].dataType.simpleString()
+    def __init__(self, rows: pd.DataFrame):
+        self.ids = rows["id"].to_numpy(dtype=object)
+        self.kinds = rows["kind"].to_numpy(dtype=object)
+        self.vectors = _matrix(rows["embedding"].tolist()) if len(rows) else np.empty((0, 1))
+
+
+def _pairs(a: _Side, b: _Side, least: float, k: int | None, by_kind: bool, block: int = 2048) -> Iterator[pd.DataFrame]:
+    """Pairs of a and b that reach ``least``, of one kind if asked for; with ``k`` only those no worse than the k best of each a in a block of b."""
+    for at in range(0, len(b.ids) if len(a.ids) else 0, block):
+        ids, kinds = b.ids[at : at + block], b.kinds[at : at + block]
+        s = np.round(a.vectors @ b.vectors[at : at + block].T, 6)
+        if by_kind:
+            s[a.kinds[:, None] != kinds] = -np.inf
+        floor = np.partition(s, -k, axis=1)[:, -k, None] if k and k < s.shape[1] else least
+        i, j = np.nonzero((s >= least) & (s >= floor))
+        yield pd.DataFrame({"left_id": pd.Series(a.ids[i], dtype=object), "right_id": pd.Series(ids[j], dtype=object), "similarity": s[i, j]})
 
-    def pairs(ids: np.ndarray, vectors: np.ndarray, other_ids: np.ndarray, other: np.ndarray) -> pd.DataFrame:
-        s = np.round(vectors @ other.T, 6)
-        i, j = np.nonzero(s >= least)
-        own = {"left_id": pd.Series(ids[i], dtype=object), "right_id": pd.Series(other_ids[j], dtype=object)}
-        return pd.DataFrame(own | {"similarity": s[i, j]})
 
-    n = right.count()
-    if n <= BROADCAST_ROWS:
-        rows = right.collect()
-        other_ids = np.array([r["id"] for r in rows], dtype=object)
-        other = _matrix([r["embedding"] for r in rows]) if rows else None
+def similar_pairs(left: DataFrame, right: DataFrame, least: float, kind: str | None = None, k: int | None = None, values: int = BROADCAST_VALUES, block: int = 4096) -> DataFrame:
+    """(left_id, right_id, similarity) of all pairs from ``left`` and ``right`` (id, embedding) that reach ``least``.
+
+    ``kind``: a column in which both must agree. ``k``: pairs that can't be among the k best
+    of their left row may be left out. If the smaller side has no more than ``values``
+    numbers, it is sent to every task, and the other is read where it lies. Else rows of
+    both are dealt to blocks of about ``block``, and each pair of blocks is one small task.
+    """
+    which = F.col(kind).cast("string") if kind else F.lit("")
+    sides = [d.filter("embedding is not null").select("id", which.alias("kind"), "embedding") for d in (left, right)]
+    schema = f"left_id {left.schema['id'].dataType.simpleString()}, right_id {right.schema['id'].dataType.simpleString()}, similarity double"
+    rows, dims = zip(*(d.agg(F.count("*"), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first() for d in sides), strict=True)
+    small = int(rows[1] > rows[0]) ^ 1  # place of the smaller side
+    if rows[small] * dims[small] <= values:
+        own = left.sparkSession.sparkContext.broadcast(_Side(pd.DataFrame(sides[small].collect(), columns=["id", "kind", "embedding"])))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                if other is None or not len(b):
-                    continue
-                own = _matrix(b["embedding"].tolist())
-                for at in range(0, len(other), block):
-                    yield pairs(b["id"].to_numpy(), own, other_ids[at : at + block], other[at : at + block])
+                pair = [_Side(b), _Side(b)]
+                pair[small] = own.value
+                yield from _pairs(*pair, least, k, kind is not None)
 
-        return left.mapInPandas(run, f"left_id {kind}, right_id {right.schema['id'].dataType.simpleString()}, similarity double")
+        return sides[1 - small].mapInPandas(run, schema)
 
-    blocks = -(-n // block)
-    a = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    b = right.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    n = [max(1, -(-r // block)) for r in rows]
+    dealt = lambda d, own, other: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n[own == "j"])).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n[other == "j"] - 1))))
+    a, b = dealt(sides[0], "i", "j").groupBy("i", "j"), dealt(sides[1], "j", "i").groupBy("i", "j")
 
     def cogroup(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
-            return pairs(*[np.empty(0, object), np.empty((0, 1))] * 2)
-        return pairs(x["id"].to_numpy(), _matrix(x["embedding"].tolist()), y["id"].to_numpy(), _matrix(y["embedding"].tolist()))
+        found = [*_pairs(_Side(x), _Side(y), least, k, kind is not None)]
+        return pd.concat(found) if found else pd.DataFrame({"left_id": [], "right_id": [], "similarity": []}, dtype=object)
 
-    return a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(cogroup, f"left_id {kind}, right_id {right.schema['id'].dataType.simpleString()}, similarity double")
+    return a.cogroup(b).applyInPandas(cogroup, schema)
 
 
 def best_per(pairs: DataFrame, key: str, k: int, tie: str) -> DataFrame:
@@ -89,35 +100,32 @@ def cross_matches(entities: DataFrame, least: float, k: int) -> DataFrame:
     """For each user entity its k most similar expert entities."""
     user = entities.filter(F.col("source_type").isin("user", "both"))
     expert = entities.filter("source_type = 'expert'")
-    return best_per(similar_pairs(user, expert, least), "left_id", k, "right_id").select(F.col("left_id").alias("user_entity_id"), F.col("right_id").alias("expert_entity_id"), "similarity", "rank")
+    return best_per(similar_pairs(user, expert, least, k=k), "left_id", k, "right_id").select(F.col("left_id").alias("user_entity_id"), F.col("right_id").alias("expert_entity_id"), "similarity", "rank")
 
 
 def same_type_pairs(entities: DataFrame, least: float) -> DataFrame:
     """Pairs of entities of one type that are similar enough to be one."""
-    kind = entities.select("id", "entity_type")
-    out = similar_pairs(entities, entities, least).filter("left_id < right_id")
-    a, b = kind.select(F.col("id").alias("left_id"), F.col("entity_type").alias("entity_type")), kind.select(F.col("id").alias("right_id"), F.col("entity_type").alias("right_type"))
-    return out.join(a, "left_id").join(b, "right_id").filter("entity_type = right_type").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "entity_type", "similarity")
+    out = similar_pairs(entities, entities, least, kind="entity_type").filter("left_id < right_id")
+    return out.join(entities.select(F.col("id").alias("left_id"), "entity_type"), "left_id").select(F.col("left_id").alias("a"), F.col("right_id").alias("b"), "entity_type", "similarity")
 
 
 def library_matches(new: DataFrame, library: DataFrame, least: float = 0.85) -> DataFrame:
-    """For each new item the most similar library item of its type that isn't archived, if similar enough."""
-    live = library.filter("status <> 'archived'")
-    out = similar_pairs(new, live, least)
-    ta, tb = new.select(F.col("id").alias("left_id"), F.col("item_type")), live.select(F.col("id").alias("right_id"), F.col("item_type").alias("_type"))
-    return best_per(out.join(ta, "left_id").join(tb, "right_id").filter("item_type = _type"), "left_id", 1, "right_id").select(F.col("left_id").alias("new_id"), F.col("right_id").alias("item_id"), "item_type", "similarity")
+    """For each new item the most similar other library item of its type that isn't archived, if similar enough."""
+    out = similar_pairs(new, library.filter("status <> 'archived'"), least, kind="item_type", k=2).filter("left_id <> right_id")
+    best = best_per(out, "left_id", 1, "right_id").join(new.select(F.col("id").alias("left_id"), "item_type"), "left_id")
+    return best.select(F.col("left_id").alias("new_id"), F.col("right_id").alias("item_id"), "item_type", "similarity")
 
 
 def topic_filter(topics: DataFrame, library: DataFrame, least: float = 0.75) -> DataFrame:
     """Topics with their most similar library item and whether that covers them."""
-    best = best_per(similar_pairs(topics, library.filter("status <> 'archived'"), least), "left_id", 1, "right_id")
+    best = best_per(similar_pairs(topics, library.filter("status <> 'archived'"), least, k=1), "left_id", 1, "right_id")
     out = topics.select("id").join(best.select(F.col("left_id").alias("id"), F.col("right_id").alias("item_id"), "similarity"), "id", "left")
     return out.withColumn("covered", F.col("item_id").isNotNull())
 
 
 def multi_query(messages: DataFrame, queries: DataFrame, k: int, least: float) -> DataFrame:
     """Chats that hold one of the k best messages of any query, with their best similarity and how many queries found them."""
-    hits = best_per(similar_pairs(queries, messages, least), "left_id", k, "right_id")
+    hits = best_per(similar_pairs(queries, messages, least, k=k), "left_id", k, "right_id")
     chats = hits.join(messages.select(F.col("id").alias("right_id"), "chat_id"), "right_id")
     return chats.groupBy("chat_id").agg(F.max("similarity").alias("best"), F.countDistinct("left_id").alias("queries"), F.count("*").alias("hits"))
 
@@ -132,7 +140,7 @@ def mean_vectors(df: DataFrame, key: str, digits: int = 6) -> DataFrame:
 
 def semantic_edges(conversations: DataFrame, episodes: DataFrame, least: float = 0.75, k: int = 5) -> DataFrame:
     """Edges from each conversation to its k most similar episodes, with the similarity as confidence and evidence."""
-    best = best_per(similar_pairs(conversations, episodes, least), "left_id", k, "right_id")
+    best = best_per(similar_pairs(conversations, episodes, least, k=k), "left_id", k, "right_id")
     return best.select(
         F.col("left_id").alias("source_entity_id"),
         F.col("right_id").alias("target_entity_id"),

@@ -87,13 +87,13 @@ def evolution_matrix(mentions: DataFrame, entity_ids: list[str], grain: str) ->
 
 
 def trending(mentions: DataFrame, entities: DataFrame, as_of_ms: int, recent_months: int = 3, history_months: int = 6, entity_type: str | None = None, limit: int = 20) -> DataFrame:
-    """Entities by the change of their mentions: recent months against the months before.
+    """Entities by the change of their mentions: recent months, from the start of this one on backwards, against the months before.
 
     Score: the relative change in per cent; 100 for entities without history that are
     mentioned now, 0 for those never mentioned, which stay in as stable.
     """
     now = F.timestamp_millis(F.lit(as_of_ms))
-    edge = lambda n: F.to_date(F.add_months(F.to_date(now), -n))
+    edge = lambda n: F.to_date(F.add_months(F.trunc(F.to_date(now), "month"), -n))
     day = day_of(F.col("ts_ms"))
     some = entities if entity_type is None else entities.filter(F.col("entity_type") == entity_type)
     joined = some.join(mentions.select(F.col("entity_id").alias("id"), "ts_ms"), "id", "left")

@@ -27,34 +27,34 @@ def entity_relations(spark, sf):
     return g.entity_relations(m.relations(), m.entities(), "e-3")
 
 
-def _patterns(direction: str, p: str, s: str) -> None:
+def _patterns(direction: str, p: str, s: str, count: str) -> None:
     @query(f"problem_solution_patterns_{direction}", over("relations entities", f"""
-SELECT a.id AS problem_id, a.canonical_name AS problem, b.id AS solution_id, b.canonical_name AS solution, b.entity_type AS solution_type, sum(occurrence_count)::BIGINT AS occurrences,
-       least(sum(occurrence_count) / 5, 1.0)::DOUBLE AS confidence
+SELECT a.id AS problem_id, a.canonical_name AS problem, b.id AS solution_id, b.canonical_name AS solution, b.entity_type AS solution_type, {count} AS occurrences,
+       least({count} / 5, 1.0)::DOUBLE AS confidence
 FROM relations r JOIN entities a ON a.id = r.{p} JOIN entities b ON b.id = r.{s}
-WHERE relation_type = 'SOLVES' AND a.entity_type = 'problem' AND b.entity_type IN ('tool', 'pattern') GROUP BY ALL HAVING sum(occurrence_count) >= 1"""))
+WHERE relation_type = 'SOLVES' AND a.entity_type = 'problem' AND b.entity_type IN ('tool', 'pattern') GROUP BY ALL HAVING {count} >= 1"""))
     def patterns(spark, sf):
         m = Model(spark, sf)
         return g.problem_solution_patterns(m.relations(), m.entities(), 1, direction)
 
 
-_patterns("as_coded", "source_entity_id", "target_entity_id")
-_patterns("documented", "target_entity_id", "source_entity_id")
+_patterns("as_coded", "source_entity_id", "target_entity_id", "count(*)")
+_patterns("documented", "target_entity_id", "source_entity_id", "sum(occurrence_count)::BIGINT")
 
 
 @query("missing_links", over("mentions relations entities", """
 , d AS (SELECT DISTINCT message_id, entity_id FROM mentions),
-t AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared FROM d x JOIN d y ON x.message_id = y.message_id AND x.entity_id < y.entity_id GROUP BY 1, 2 HAVING count(*) >= 3)
+t AS (SELECT x.entity_id AS a, y.entity_id AS b, count(*) AS shared FROM d x JOIN d y ON x.message_id = y.message_id AND x.entity_id < y.entity_id GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT t.a, t.b, shared, ea.canonical_name AS a_name, ea.entity_type AS a_type, eb.canonical_name AS b_name, eb.entity_type AS b_type,
   CASE WHEN (ea.entity_type = 'problem' AND eb.entity_type IN ('tool', 'pattern')) OR (eb.entity_type = 'problem' AND ea.entity_type IN ('tool', 'pattern')) THEN 'SOLVES'
-       WHEN ea.entity_type = 'tool' AND eb.entity_type = 'tool' THEN 'USED_WITH' WHEN ea.entity_type = 'pattern' AND eb.entity_type = 'pattern' THEN 'ALTERNATIVE_TO'
-       WHEN ea.entity_type = 'concept' OR eb.entity_type = 'concept' THEN 'ENABLES' ELSE 'USED_WITH' END AS suggested_relation, least(shared / 10, 1.0)::DOUBLE AS confidence
+       WHEN ea.entity_type = 'tool' AND eb.entity_type = 'tool' THEN 'USED_WITH' WHEN ea.entity_type = 'pattern' AND eb.entity_type = 'pattern' THEN 'USED_WITH'
+       WHEN ea.entity_type = 'concept' AND eb.entity_type IN ('tool', 'pattern') THEN 'IMPLEMENTS' ELSE 'USED_WITH' END AS suggested_relation, least(shared / 10, 1.0)::DOUBLE AS confidence
 FROM t JOIN entities ea ON ea.id = t.a JOIN entities eb ON eb.id = t.b
 WHERE NOT EXISTS (SELECT 1 FROM relations r WHERE least(source_entity_id, target_entity_id) = t.a AND greatest(source_entity_id, target_entity_id) = t.b)
 ORDER BY shared DESC, t.a, t.b LIMIT 500"""))
 def missing_links(spark, sf):
     m = Model(spark, sf)
-    return g.missing_links(m.mentions(), m.relations(), m.entities(), 3, 500)
+    return g.missing_links(m.mentions(), m.relations(), m.entities(), 2, 500)
 
 
 @query("entity_clusters", over("relations", """
@@ -161,6 +161,6 @@ def graph_source_filter(spark, sf):
 
 
 @query("entity_search", over("entities", """
-SELECT id, canonical_name, entity_type, mention_count FROM entities WHERE canonical_name ILIKE '%1%' ORDER BY mention_count DESC, id LIMIT 50"""))
+SELECT id, canonical_name, entity_type, mention_count FROM entities WHERE canonical_name ILIKE '%AN%' ORDER BY mention_count DESC, id LIMIT 50"""))
 def entity_search(spark, sf):
-    return Model(spark, sf).entities().filter(F.col("canonical_name").ilike("%1%")).orderBy(F.desc("mention_count"), "id").limit(50).select("id", "canonical_name", "entity_type", "mention_count")
+    return Model(spark, sf).entities().filter(F.col("canonical_name").ilike("%AN%")).orderBy(F.desc("mention_count"), "id").limit(50).select("id", "canonical_name", "entity_type", "mention_count")

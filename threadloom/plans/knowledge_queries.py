@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import expert_slug
 from threadloom.operators import knowledge as k
 from threadloom.plans.model import Model, over
 from threadloom.registry import query
@@ -20,12 +21,16 @@ def graph_stats(spark, sf):
 
 
 def _stats(source: str) -> None:
-    own = "source_type = 'both'" if source == "both" else f"source_type IN ('{source}', 'both')"
+    given = {"user": "source = 'user'", "expert": "source IN ('expert', 'unknown')", "both": "false"}[source]
+    other = "source IS DISTINCT FROM 'user'" if source == "expert" else "true"
 
     @query(f"graph_stats_{source}", over("entities mentions relations", f"""
-, own AS (SELECT id FROM entities WHERE {own})
-SELECT '{source}' AS source, (SELECT count(*) FROM own) AS entities, (SELECT count(*) FROM mentions WHERE source = '{source}' OR entity_id IN (FROM own)) AS mentions,
-       (SELECT count(*) FROM relations WHERE source = '{source}' OR (source_entity_id IN (FROM own) AND target_entity_id IN (FROM own))) AS relations"""))
+, own AS (SELECT id FROM entities WHERE source_type = '{source}')
+SELECT 'entities' AS metric, count(*) AS value FROM own
+UNION ALL SELECT 'mentions', count(*) FROM mentions WHERE {given} OR (entity_id IN (FROM own) AND {other})
+UNION ALL SELECT 'relations', count(*) FROM relations WHERE {given} OR ({other} AND source_entity_id IN (SELECT id FROM entities) AND target_entity_id IN (SELECT id FROM entities)
+  AND (source_entity_id IN (FROM own) OR target_entity_id IN (FROM own)))
+UNION ALL SELECT 'type:' || entity_type, count(*) FROM entities WHERE source_type = '{source}' GROUP BY 1"""))
     def stats(spark, sf):
         m = Model(spark, sf)
         return k.stats_for_source(m.entities(), m.mentions(), m.relations(), source)
@@ -104,11 +109,11 @@ def breakdown(spark, sf):
     return k.with_breakdown(m.entities(), m.mentions())
 
 
-_MAP = ", map AS (SELECT id AS source_id, 'e-' || (n - 50) AS target_id FROM entities WHERE n >= 90)"
+_MAP = ", map AS (SELECT id AS source_id, 'e-' || (n - 5) AS target_id FROM entities WHERE n % 10 = 9)"
 
 
 def _mapping(m: Model):
-    return m.entities().filter("n >= 90").select(F.col("id").alias("source_id"), F.concat(F.lit("e-"), F.col("n") - 50).alias("target_id"))
+    return m.entities().filter("n % 10 = 9").select(F.col("id").alias("source_id"), F.concat(F.lit("e-"), F.col("n") - 5).alias("target_id"))
 
 
 @query("merged_entities", over("entities", _MAP + """
@@ -163,12 +168,17 @@ def export_closure(spark, sf):
     return k.export_closure(m.mentions().filter("source = 'expert'"), m.relations().filter("source = 'expert'"), m.entities()).select("id", "canonical_name")
 
 
-@query("episode_edges", over("expert_mentions entities", f"""
-SELECT m.entity_id AS source_entity_id, e.entity_id AS target_entity_id, 'REFERENCES_EPISODE' AS relation_type, count(*) AS occurrence_count
-FROM (SELECT *, {_SLUG} AS slug FROM expert_mentions) m JOIN episodes e USING (slug) WHERE m.entity_id IN (SELECT id FROM entities) GROUP BY 1, 2"""))
+@query("episode_edges", over("expert_mentions", f"""
+SELECT DISTINCT 'episode-' || slug AS source_entity_id, 'conv-' || message_id AS target_entity_id, 'REFERENCES_EPISODE' AS relation_type, message_id AS source_message_id, 1::BIGINT AS occurrence_count
+FROM (SELECT *, {_SLUG} AS slug, split_part(id, '-', 2)::BIGINT AS n FROM expert_mentions) WHERE slug IN (SELECT slug FROM episodes) AND n % 3 <> 0 AND n % 5 <> 0"""))
 def episode_edges(spark, sf):
+    """Two thirds of the conversations are entities, a fifth of the edges are there."""
     m = Model(spark, sf)
-    return k.episode_edges(m.expert_mentions(), m.episodes(), m.entities())
+    mentions, n = m.expert_mentions(), F.split_part("id", F.lit("-"), F.lit(2)).cast("long")
+    convs = mentions.filter(n % 3 != 0).select(F.concat(F.lit("conv-"), "message_id").alias("id")).distinct()
+    known = m.episodes().select(F.concat(F.lit("episode-"), "slug").alias("id")).unionAll(convs)
+    there = mentions.filter(n % 5 == 0).select(F.concat(F.lit("episode-"), expert_slug(F.col("message_id"))).alias("source_entity_id"), F.concat(F.lit("conv-"), "message_id").alias("target_entity_id"), F.lit("REFERENCES_EPISODE").alias("relation_type"))
+    return k.episode_edges(mentions, known, there)
 
 
 @query("earliest_latest_message", over("messages", "SELECT workspace, arg_min(message_id, (ts_ms, message_id)) AS earliest, arg_max(message_id, (ts_ms, message_id)) AS latest, count(*) AS messages FROM messages GROUP BY 1"))

@@ -9,7 +9,6 @@ from threadloom.operators import library as lib
 from threadloom.plans.model import Model, over
 from threadloom.registry import query
 
-STOP = ("that", "this", "with", "from", "have", "your")
 _CARD = ["id", "title", "item_type", "status", "occurrence", "last_seen"]
 _COLS = ", ".join(_CARD)
 
@@ -66,11 +65,11 @@ def theme_summaries(spark, sf):
 
 
 @query("merged_items", over("items", """
-, g AS (SELECT *, 'g' || (n % 40) AS grp FROM items WHERE n % 3 = 0)
+, g AS (SELECT *, 'g' || (n // 3) AS grp FROM items)
 SELECT grp, arg_max(id, (occurrence, -n)) AS id, arg_max(title, (occurrence, -n)) AS title, sum(occurrence)::BIGINT AS occurrence, min(first_seen) AS first_seen, max(last_seen) AS last_seen,
        array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags, count(*) AS merged FROM g GROUP BY 1"""))
 def merged_items(spark, sf):
-    return lib.merged(_items(spark, sf).filter("n % 3 = 0").withColumn("grp", F.concat(F.lit("g"), F.col("n") % 40)), "grp")
+    return lib.merged(_items(spark, sf).withColumn("grp", F.concat(F.lit("g"), F.expr("n div 3"))), "grp")
 
 
 @query("backfilled_source_dates", over("items", """
@@ -102,18 +101,21 @@ def upserted_library(spark, sf):
     return lib.upserted(old, new, matches).select("id", "occurrence", "source_start_date", "source_end_date", "last_seen")
 
 
-_WORDS = "unnest(list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^a-z0-9\\s]', '', 'g'), '\\s+'), lambda w: length(w) > 3 AND w NOT IN ('that', 'this', 'with', 'from', 'have', 'your')))) AS word"
+_MARKS = "[.,!?;:()\\[\\]{}\"''`\\-_/\\\\]+"
+_WORDS = f"""unnest(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(title), '\\s+'), lambda w: regexp_replace(w, '^{_MARKS}|{_MARKS}$', '', 'g')), lambda w: length(w) > 3 AND w NOT IN
+  ('the', 'a', 'an', 'is', 'are', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by', 'from', 'as', 'how', 'what', 'when', 'where', 'why', 'which', 'who', 'not', 'this', 'that', 'it', 'its', 'use', 'using', 'used')))) AS word"""
 
 
 @query("title_word_counts", over("items", f"SELECT word, count(*) AS titles FROM (SELECT {_WORDS} FROM items) GROUP BY 1"))
 def title_word_counts(spark, sf):
-    return _items(spark, sf).select(F.explode(title_words(F.col("title"), STOP)).alias("word")).groupBy("word").agg(F.count("*").alias("titles"))
+    return _items(spark, sf).select(F.explode(title_words(F.col("title"))).alias("word")).groupBy("word").agg(F.count("*").alias("titles"))
 
 
 @query("temporal_word_shifts", over("items", f"""
-, w AS (SELECT {_WORDS}, first_seen FROM items),
-c AS (SELECT word, count(*) FILTER (first_seen >= '2025-01') AS recent, count(*) FILTER (first_seen >= '2024-06' AND first_seen < '2025-01') AS older FROM w GROUP BY 1)
-SELECT * FROM (SELECT *, CASE WHEN older >= 3 AND recent <= 1 THEN 'declining' WHEN recent >= 3 AND older <= 1 THEN 'emerging' END AS shift FROM c) WHERE shift IS NOT NULL"""))
+, w AS (SELECT {_WORDS}, coalesce(last_seen, first_seen) AS seen FROM items WHERE status <> 'archived'),
+c AS (SELECT word, count(*) FILTER (seen >= '2025-01') AS recent, count(*) FILTER (seen >= '2024-06' AND seen < '2025-01') AS older FROM w GROUP BY 1)
+SELECT * FROM (SELECT *, CASE WHEN older >= 3 AND recent <= 1 THEN 'declining' WHEN recent >= 3 AND older <= 1 THEN 'emerging' END AS shift FROM c) WHERE shift IS NOT NULL
+ORDER BY shift, greatest(recent, older) DESC, word LIMIT 5"""))
 def temporal_shifts(spark, sf):
-    seen = F.col("first_seen")
-    return lib.word_shifts(_items(spark, sf), title_words(F.col("title"), STOP), seen >= "2025-01", (seen >= "2024-06") & (seen < "2025-01"))
+    seen = F.coalesce("last_seen", "first_seen")
+    return lib.word_shifts(_items(spark, sf), title_words(F.col("title")), seen >= "2025-01", (seen >= "2024-06") & (seen < "2025-01"))

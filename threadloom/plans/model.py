@@ -14,7 +14,6 @@ RELATION_TYPES = ("SOLVES", "CAUSES", "ENABLES", "PART_OF", "USED_WITH", "ALTERN
 SOURCES = ("editor", "terminal", "workspace_docs", "expert")
 ITEM_TYPES = ("idea", "insight", "use_case")
 EPOCH_MS = 1704067200000  # 2024-01-01
-ENTITIES = 97
 
 
 def pick(values: tuple[str, ...], n: Column) -> Column:
@@ -66,7 +65,7 @@ class Model:
         """Which message mentions which entity, when, and from which source."""
         return self.table("lineitem").select(
             F.concat_ws("-", F.lit("mn"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
-            F.concat(F.lit("e-"), F.col("l_partkey") % ENTITIES).alias("entity_id"),
+            F.concat(F.lit("e-"), "l_partkey").alias("entity_id"),
             F.concat(F.lit("msg-"), "l_orderkey").alias("message_id"),
             (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1000).cast("long").alias("ts_ms"),
             pick(("user", "expert", "user"), F.col("l_orderkey")).alias("source"),
@@ -74,7 +73,7 @@ class Model:
 
     def entities(self) -> DataFrame:
         """Entities with counts and dates taken from their mentions."""
-        named = self.table("part").groupBy((F.col("p_partkey") % ENTITIES).alias("n")).agg(F.min("p_name").alias("canonical_name"), F.max("p_brand").alias("brand"))
+        named = self.table("part").select(F.col("p_partkey").alias("n"), F.col("p_name").alias("canonical_name"), F.col("p_brand").alias("brand"))
         seen = self.mentions().groupBy("entity_id").agg(
             F.count("*").alias("mention_count"),
             F.min("ts_ms").alias("first_seen"),
@@ -97,7 +96,7 @@ class Model:
 
     def relations(self) -> DataFrame:
         """Typed directed edges between entities that follow each other in an order."""
-        line = self.table("lineitem").filter("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % ENTITIES).alias("e")).groupBy("l_orderkey", "l_linenumber").agg(F.min("e").alias("e"))
+        line = self.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("e")).groupBy("l_orderkey", "l_linenumber").agg(F.min("e").alias("e"))
         nxt = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("e").alias("f"))
         return (
             line.join(nxt, ["l_orderkey", "l_linenumber"])
@@ -123,8 +122,8 @@ class Model:
         return self.table("documents").select(
             F.concat(F.lit("item-"), "doc_id").alias("id"),
             F.col("doc_id").alias("n"),
-            F.substring("text", 1, 60).alias("title"),
-            F.substring("text", 1, 300).alias("description"),
+            F.substring_index("text", "\n", 1).alias("title"),
+            F.col("text").alias("description"),
             pick(ITEM_TYPES, F.col("doc_id")).alias("item_type"),
             F.when(F.col("doc_id") % 10 == 0, "archived").when(F.col("doc_id") % 10 == 1, "implemented").otherwise("active").alias("status"),
             (F.col("doc_id") % 5 + 1).alias("occurrence"),
@@ -164,7 +163,7 @@ class Model:
         return docs.join(slug, "n", "left").select(
             F.concat(F.lit("x-"), "doc_id").alias("id"),
             F.concat(F.lit("expert-"), F.coalesce("slug", F.lit("no-such")), F.lit("-"), F.col("doc_id")).alias("message_id"),
-            F.concat(F.lit("e-"), F.col("doc_id") % ENTITIES).alias("entity_id"),
+            F.concat(F.lit("e-"), F.col("doc_id") + 1).alias("entity_id"),
         )
 
     def conversations(self) -> DataFrame:
@@ -197,13 +196,13 @@ SQL = {
     "embedded_messages": """
   SELECT m.*, v.embedding FROM messages m LEFT JOIN embeddings v ON v.vec_id = m.vec_place % (SELECT count(*) FROM embeddings)""",
     "mentions": f"""
-  SELECT 'mn-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'e-' || (l_partkey % {ENTITIES}) AS entity_id,
+  SELECT 'mn-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'e-' || l_partkey AS entity_id,
          'msg-' || l_orderkey AS message_id, epoch_ms(l_shipdate) AS ts_ms, ['user', 'expert', 'user'][l_orderkey % 3 + 1] AS source FROM lineitem""",
     "entities": f"""
   SELECT 'e-' || n AS id, n, canonical_name, {_list(ENTITY_TYPES)}[n % 7 + 1] AS entity_type, [lower(canonical_name), brand] AS aliases,
          ['user', 'expert', 'both'][n % 3 + 1] AS source_type, (n % 10) / 10 AS confidence, coalesce(mention_count, 0) AS mention_count, first_seen, last_seen,
          coalesce(user_count, 0) AS user_count, coalesce(expert_count, 0) AS expert_count
-  FROM (SELECT p_partkey % {ENTITIES} AS n, min(p_name) AS canonical_name, max(p_brand) AS brand FROM part GROUP BY 1)
+  FROM (SELECT p_partkey AS n, p_name AS canonical_name, p_brand AS brand FROM part)
   LEFT JOIN (SELECT entity_id, count(*) AS mention_count, min(ts_ms) AS first_seen, max(ts_ms) AS last_seen, count(*) FILTER (source = 'user') AS user_count,
                     count(*) FILTER (source = 'expert') AS expert_count FROM mentions GROUP BY 1) ON entity_id = 'e-' || n""",
     "embedded_entities": """
@@ -212,11 +211,11 @@ SQL = {
   SELECT 'r-' || e || '-' || f AS id, 'e-' || e AS source_entity_id, 'e-' || f AS target_entity_id, {_list(RELATION_TYPES)}[(e + f) % 9 + 1] AS relation_type,
          'msg-' || o AS message_id, occurrence_count, ((e * 7 + f) % 11) / 10 AS confidence, ['user', 'expert', 'user'][o % 3 + 1] AS source
   FROM (SELECT a.e, b.e AS f, count(*) AS occurrence_count, min(a.l_orderkey) AS o
-        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey % {ENTITIES}) AS e FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2) a
-        JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey % {ENTITIES}) AS e FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, 2) b
+        FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS e FROM lineitem GROUP BY 1, 2) a
+        JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS e FROM lineitem GROUP BY 1, 2) b
           ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1 WHERE a.e <> b.e GROUP BY 1, 2)""",
     "items": f"""
-  SELECT 'item-' || doc_id AS id, doc_id AS n, left(text, 60) AS title, left(text, 300) AS description, {_list(ITEM_TYPES)}[doc_id % 3 + 1] AS item_type,
+  SELECT 'item-' || doc_id AS id, doc_id AS n, split_part(text, chr(10), 1) AS title, text AS description, {_list(ITEM_TYPES)}[doc_id % 3 + 1] AS item_type,
          CASE doc_id % 10 WHEN 0 THEN 'archived' WHEN 1 THEN 'implemented' ELSE 'active' END AS status, doc_id % 5 + 1 AS occurrence,
          CASE WHEN doc_id % 6 <> 5 THEN 'cat-' || (doc_id % 6) END AS category_id,
          CASE WHEN doc_id % 17 <> 0 THEN s END AS source_start_date, CASE WHEN doc_id % 17 <> 0 THEN e END AS source_end_date,
@@ -231,7 +230,7 @@ SQL = {
   SELECT 'episode-' || s_suppkey AS entity_id, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g')) AS slug, s_name AS guest_name,
          DATE '2020-01-01' + (s_suppkey % 1500)::INT AS published_date, s_suppkey AS n FROM supplier""",
     "expert_mentions": f"""
-  SELECT 'x-' || doc_id AS id, 'expert-' || coalesce(slug, 'no-such') || '-' || doc_id AS message_id, 'e-' || (doc_id % {ENTITIES}) AS entity_id
+  SELECT 'x-' || doc_id AS id, 'expert-' || coalesce(slug, 'no-such') || '-' || doc_id AS message_id, 'e-' || (doc_id + 1) AS entity_id
   FROM documents LEFT JOIN episodes ON episodes.n = doc_id % 80 + 1""",
     "convs": """
   SELECT 'conv-' || message_id AS id, message_id AS conversation_id, entity_count, message_count, first_ts, last_ts, source_type,

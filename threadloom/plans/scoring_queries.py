@@ -14,12 +14,25 @@ def _q(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
 
-_HAS = {n: f"regexp_matches(lower(coalesce(text, '')), {_q(p)})" for n, p in (("t", sc.TECHNICAL), ("p", sc.PROBLEM), ("s", sc.SOLUTION), ("c", sc.COMPARE), ("m", sc.METRIC), ("f", sc.FRAMEWORK))}
-_NAMES = f"len(list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), {_q(sc.NAMES)}, 1), lambda n: n NOT IN ({', '.join(map(_q, sc.NOT_NAMES))}))))"
-_QUALITY = f"""round(least(1.0, CASE WHEN {_NAMES} >= 3 THEN 0.30 ELSE 0 END + CASE WHEN {_HAS['t']} THEN 0.15 ELSE 0 END
-  + CASE WHEN {_HAS['p']} AND {_HAS['s']} THEN 0.35 WHEN {_HAS['p']} OR {_HAS['s']} THEN 0.15 ELSE 0 END + CASE WHEN {_HAS['c']} THEN 0.20 ELSE 0 END
-  + CASE WHEN {_HAS['m']} THEN 0.15 ELSE 0 END + CASE WHEN {_HAS['f']} AND {_NAMES} >= 2 THEN 0.10 ELSE 0 END)::DOUBLE, 6)"""
-_ASCII = "text NOT SIMILAR TO '.*[^\\x00-\\x7F].*'"
+#: Letters beyond ASCII as a digit, which borders of words treat alike.
+_PLAIN = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '0', 'g')"
+_LOW = "lower(coalesce(text, ''))"
+
+
+def _holds(words: str) -> str:
+    return "(" + " OR ".join(f"contains({_LOW}, {_q(w)})" for w in words.split("|")) + ")"
+
+
+_PROBLEM = _holds("problem|challenge|issue|bottleneck|pain point|struggle|difficulty|obstacle|blocker|friction|bug|error|failure|broken|slow")
+_SOLUTION = _holds("solved|built|implemented|fixed|optimized|approach|pattern|technique|strategy|framework|tool|library|architecture|design|algorithm")
+_COMPARE = _holds("vs|versus|compared to|alternative|instead of|trade-off|pros and cons|better than|worse than|different from|similar to")
+_FRAMEWORK = _holds("framework|methodology|approach|pattern|system|model|principle|technique|strategy|method")
+_TECHNICAL = f"(regexp_matches({_PLAIN}, '\\b[a-z]+[A-Z][a-zA-Z]*\\b') OR regexp_matches({_PLAIN}, '\\b[a-z]+-[a-z]+(-[a-z]+)*\\b') OR regexp_matches({_PLAIN}, '\\b[A-Z_]{{3,}}\\b') OR regexp_matches({_PLAIN}, '\\b\\w+\\.\\w+\\b'))"
+_METRIC = "regexp_matches(coalesce(text, ''), '\\d+%|\\d+x|\\$\\d+|\\d+,\\d+|\\d+\\.\\d+x')"
+_NAMES = f"len(list_filter(regexp_extract_all({_PLAIN}, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*\\b'), lambda n: lower(n) NOT IN ('i', 'the', 'a', 'an', 'in', 'on', 'at', 'to')))"
+_QUALITY = f"""round(least(1.0, CASE WHEN {_NAMES} >= 3 THEN 0.30 ELSE 0 END + CASE WHEN {_TECHNICAL} THEN 0.15 ELSE 0 END
+  + CASE WHEN {_PROBLEM} AND {_SOLUTION} THEN 0.35 WHEN {_PROBLEM} OR {_SOLUTION} THEN 0.15 ELSE 0 END + CASE WHEN {_COMPARE} THEN 0.20 ELSE 0 END
+  + CASE WHEN {_METRIC} THEN 0.15 ELSE 0 END + CASE WHEN {_NAMES} >= 2 AND {_FRAMEWORK} THEN 0.10 ELSE 0 END)::DOUBLE, 6)"""
 
 
 @query("chunk_quality", f"SELECT conv_id, turn, quality, quality >= 0.30 AS index FROM (SELECT *, {_QUALITY} AS quality FROM conversations)")
@@ -34,33 +47,49 @@ def chunk_quality_by_role(spark, sf):
     return sc.quality_summary(sc.chunk_quality(Model(spark, sf).table("conversations")), "role")
 
 
-@query("sponsor_hits", "SELECT conv_id, turn, " + " + ".join(f"regexp_matches(lower(text), {_q(p)})::INT" for p in sc.SPONSOR) + " AS hits FROM conversations")
+_SPONSOR = (
+    "this episode is brought to you by|sponsored by|brought to you by|today''s sponsor|special thanks to our sponsor|check out \\w+ at|use code \\w+ for|get \\d+% off"
+    "|sign up.*free trial|visit \\w+\\.com\\/\\w+|head to \\w+\\.com|go to \\w+\\.com|promo code|discount code|free trial at|links in the show notes"
+).split("|")
+_READ = "CASE turn % 5 WHEN 0 THEN 'This episode is brought to you by Loom. Go to loom.com, use code WARP for more. ' WHEN 1 THEN 'Get 20% off, links in the show notes. ' ELSE '' END || text"
+
+
+@query("sponsor_hits", f"SELECT conv_id, turn, {' + '.join(f"regexp_matches(regexp_replace(lower(t), '[^\\x00-\\x7F]', '_', 'g'), '{p}')::INT" for p in _SPONSOR)} AS hits FROM (SELECT *, {_READ} AS t FROM conversations)")
 def sponsor_hits(spark, sf):
-    return Model(spark, sf).table("conversations").select("conv_id", "turn", sc.sponsor_hits(F.col("text")).alias("hits"))
+    """Messages, some with an advertisement before them."""
+    read = F.when(F.col("turn") % 5 == 0, "This episode is brought to you by Loom. Go to loom.com, use code WARP for more. ").when(F.col("turn") % 5 == 1, "Get 20% off, links in the show notes. ").otherwise("")
+    return Model(spark, sf).table("conversations").select("conv_id", "turn", sc.sponsor_hits(F.concat(read, "text")).alias("hits"))
 
 
-@query("validated_entities", f"""
-WITH c AS (SELECT p_name AS name, ['tool', 'person', 'concept'][p_partkey % 3 + 1] AS entity_type, CASE WHEN p_partkey % 4 <> 0 THEN 'about ' || p_name || ' and more' ELSE 'nothing' END AS chunk FROM part
-           UNION ALL SELECT w, 'person', 'it and Thing and 12.5 and We' FROM (VALUES ('it'), ('Thing'), ('12.5'), ('We'), (''), ('and thing and')) t(w))
+@query("validated_entities", """
+WITH n AS (SELECT p_partkey AS k, p_name AS name FROM part UNION ALL SELECT p_partkey, split_part(p_name, ' ', 1) FROM part
+           UNION ALL SELECT p_partkey, ['it', 'Thing', '12.5', 'We', '', 'Ab', 'data', 'a b c d e f', 'x-y', 'Loom', '--'][p_partkey % 11 + 1] FROM part),
+c AS (SELECT name, ['tool', 'person', 'concept', 'pattern', 'workflow'][k // 11 % 5 + 1] AS entity_type, CASE WHEN k % 4 <> 0 THEN 'about ' || name || ' and more' ELSE 'nothing' END AS chunk FROM n),
+w AS (SELECT *, lower(trim(name)) AS low, len(list_filter(regexp_split_to_array(name, '\\s+'), lambda x: x <> '')) AS words, regexp_matches(name, '^\\p{Lu}') AS up FROM c)
 SELECT name, entity_type, reason, reason IS NULL AS valid FROM (SELECT *, CASE
-  WHEN NOT contains(lower(chunk), lower(trim(name))) THEN 'not_in_chunk' WHEN lower(trim(name)) IN ({', '.join(map(_q, sc.GENERIC))}) THEN 'too_generic'
-  WHEN len(list_filter(regexp_split_to_array(lower(trim(name)), '\\s+'), lambda w: w <> '')) NOT BETWEEN 1 AND 5 THEN 'too_long'
-  WHEN lower(trim(name)) IN ({', '.join(map(_q, sc.PRONOUNS))}) THEN 'pronoun'
-  WHEN entity_type = 'person' AND NOT regexp_matches(trim(name), '^[A-Z]') THEN 'type_rule' WHEN entity_type = 'concept' AND length(trim(name)) < 4 THEN 'type_rule'
-  WHEN regexp_matches(lower(trim(name)), '^[\\d\\s.,%$-]+$') THEN 'numeric' END AS reason FROM c)""")
+  WHEN NOT contains(lower(chunk), low) THEN 'not_in_chunk'
+  WHEN low IN ('thing', 'stuff', 'it', 'this', 'that', 'way', 'method', 'approach', 'process', 'system', 'solution', 'idea', 'concept', 'strategy', 'code', 'feature', 'app', 'product', 'user', 'data', 'file', 'project', 'i', 'you', 'we', 'they', 'the', 'a', 'an') THEN 'too_generic'
+  WHEN words > 5 THEN 'too_long' WHEN words = 0 THEN 'empty' WHEN low IN ('i', 'you', 'we', 'they', 'it', 'this', 'that', 'the', 'a', 'an') THEN 'pronoun_or_article'
+  WHEN entity_type = 'tool' AND NOT up AND NOT regexp_matches(name, '[A-Z._-]') THEN 'tool_not_proper_noun'
+  WHEN entity_type = 'concept' AND length(name) < 4 AND words = 1 THEN 'concept_too_short'
+  WHEN entity_type = 'concept' AND words = 1 AND NOT up AND length(name) < 6 THEN 'concept_not_substantial'
+  WHEN entity_type = 'person' AND NOT up THEN 'person_not_capitalized' WHEN entity_type = 'pattern' AND words = 1 AND length(name) < 6 THEN 'pattern_not_descriptive'
+  WHEN regexp_matches(name, '^[\\d\\s_.-]+$') THEN 'only_numbers_symbols' END AS reason FROM w)""")
 def validated(spark, sf):
-    part = Model(spark, sf).table("part").select(
-        F.col("p_name").alias("name"),
-        F.element_at(F.array(F.lit("tool"), F.lit("person"), F.lit("concept")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("entity_type"),
-        F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("about "), "p_name", F.lit(" and more"))).otherwise("nothing").alias("chunk"),
-    )
-    odd = spark.createDataFrame([(w, "person", "it and Thing and 12.5 and We") for w in ("it", "Thing", "12.5", "We", "", "and thing and")], part.schema)
-    return sc.validated_entities(part.unionAll(odd)).select("name", "entity_type", "reason", "valid")
+    part = Model(spark, sf).table("part")
+    odd = F.array(*map(F.lit, ("it", "Thing", "12.5", "We", "", "Ab", "data", "a b c d e f", "x-y", "Loom", "--")))
+    k = F.col("p_partkey")
+    named = [part.select(k.alias("k"), n.alias("name")) for n in (F.col("p_name"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.get(odd, (k % 11).cast("int")))]
+    names = named[0].unionAll(named[1]).unionAll(named[2])
+    kinds = F.array(*map(F.lit, ("tool", "person", "concept", "pattern", "workflow")))
+    chunk = F.when(F.col("k") % 4 != 0, F.concat(F.lit("about "), "name", F.lit(" and more"))).otherwise("nothing")
+    rows = names.select("name", F.get(kinds, F.expr("cast(k div 11 % 5 as int)")).alias("entity_type"), chunk.alias("chunk"))
+    return sc.validated_entities(rows).select("name", "entity_type", "reason", "valid")
 
 
 @query("signal_scores", over("messages", f"""
 , r AS (SELECT *, CASE WHEN message_type <> lag(message_type) OVER (PARTITION BY chat_id ORDER BY ts_ms, message_id) THEN 1 ELSE 0 END AS t FROM messages),
-c AS (SELECT chat_id, count(*) AS n, sum(t) AS t, sum(len(string_split(text, '```')) - 1) AS fences, sum(length(text)) AS chars, {' + '.join(f"bool_or(contains(lower(text), '{w}'))::INT" for w in sc.ERROR_WORDS)} AS errors FROM r GROUP BY 1)
+c AS (SELECT chat_id, count(*) AS n, sum(t) AS t, sum(len(string_split(text, '```')) - 1) AS fences, sum(length(text)) + count(*) - 1 AS chars, {' + '.join(f"bool_or(contains(lower(text), '{w}'))::INT" for w in ('error', 'exception', 'failed', 'traceback', 'typeerror', 'valueerror'))} AS errors FROM r GROUP BY 1)
 SELECT chat_id, n AS messages, round((least(10.0, n * 0.5) + CASE WHEN n > 1 THEN t / (n - 1) * 5 ELSE 0 END + least(5.0, fences * 0.5) + least(3.0, errors * 0.5) + least(5.0, log10(greatest(chars, 1))))::DOUBLE, 2) AS signal FROM c"""))
 def signal(spark, sf):
     return sc.signal_scores(Model(spark, sf).messages())
@@ -92,7 +121,7 @@ def token_estimates(spark, sf):
 
 @query("cost_estimates", over("messages", """
 , c AS (SELECT chat_id, ['small', 'large', 'other'][min(vec_place) % 3 + 1] AS model, sum(length(text)) AS chars, count(*) AS n FROM messages GROUP BY 1)
-SELECT chat_id, model, round(((floor(chars / 3.5) + 500) * CASE model WHEN 'small' THEN 0.15 WHEN 'large' THEN 3.0 ELSE 5.0 END / 1e6 + n * 300 * CASE model WHEN 'small' THEN 0.6 ELSE 15.0 END / 1e6)::DOUBLE, 4) AS cost FROM c"""))
+SELECT chat_id, model, round(((floor(chars / 3.5) + 500)::DECIMAL(14, 0) * CASE model WHEN 'small' THEN 0.15 WHEN 'large' THEN 3.0 ELSE 5.0 END::DECIMAL(6, 2) + (n * 300)::DECIMAL(14, 0) * CASE model WHEN 'small' THEN 0.6 ELSE 15.0 END::DECIMAL(6, 2)) * 0.000001::DECIMAL(7, 6), 4)::DOUBLE AS cost FROM c"""))
 def costs(spark, sf):
     c = Model(spark, sf).messages().groupBy("chat_id").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n"), F.min("vec_place").alias("k"))
     c = c.withColumn("model", F.element_at(F.array(F.lit("small"), F.lit("large"), F.lit("other")), (F.col("k") % 3 + 1).cast("int")))
@@ -112,8 +141,8 @@ def identifiers(spark, sf):
 
 
 @query("documents_cut_for_embedding", """
-WITH h AS (SELECT doc_id, text, left(text, 600) AS head FROM documents),
+WITH h AS (SELECT doc_id, text, left(text, 600) AS head, chr(10) || chr(10) || '[Message truncated due to length]' AS note FROM documents),
 p AS (SELECT *, greatest(CASE WHEN contains(head, '.') THEN 601 - instr(reverse(rpad(head, 600, ' ')), '.') ELSE 0 END, CASE WHEN contains(head, chr(10)) THEN 601 - instr(reverse(rpad(head, 600, ' ')), chr(10)) ELSE 0 END) AS at FROM h)
-SELECT doc_id, md5(CASE WHEN length(text) <= 600 THEN text WHEN "at" > 480 THEN left(head, "at") ELSE head END) AS cut_md5 FROM p""".replace(" AS at", ' AS "at"'))
+SELECT doc_id, md5(CASE WHEN length(text) <= 600 THEN text WHEN "at" - 1 > 480 THEN left(head, "at") || note ELSE head || note END) AS cut_md5 FROM p""".replace(" AS at", ' AS "at"'))
 def cut_documents(spark, sf):
-    return Model(spark, sf).table("documents").select("doc_id", F.md5(tx.cut_at_sentence(F.col("text"), 600)).alias("cut_md5"))
+    return Model(spark, sf).table("documents").select("doc_id", F.md5(tx.cut_for_embedding(F.col("text"), 600)).alias("cut_md5"))

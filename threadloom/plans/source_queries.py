@@ -66,13 +66,14 @@ def packed_chunks(spark, sf):
 
 
 @query("speaker_turns", """
-SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chunk_index, 'Speaker ' || upper(role[1]) || role[2:] AS speaker
-FROM conversations WHERE regexp_matches(text, '\\S')""")
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS chunk_index, 'Speaker ' || upper(role[1]) || role[2:] AS speaker, '00:00:' || lpad((turn % 60)::VARCHAR, 2, '0') AS clock
+FROM conversations""")
 def speaker_turns(spark, sf):
     """Conversations written as transcripts and split into turns again."""
-    line = F.concat(F.lit("Speaker "), F.initcap("role"), F.lit(" (0:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit("):\n"), F.col("text"))
+    said = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit("")), F.lit("!"))
+    line = F.concat(F.lit("Speaker "), F.initcap("role"), F.lit(" (00:00:"), F.lpad((F.col("turn") % 60).cast("string"), 2, "0"), F.lit("):\n"), said)
     t = Model(spark, sf).table("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("x")))), lambda x: x["x"]), "\n").alias("text"))
-    return docs.speaker_turns(t, "conv_id").select("conv_id", "chunk_index", "speaker")
+    return docs.speaker_turns(t, "conv_id").select("conv_id", "chunk_index", "speaker", "clock")
 
 
 _COUNTS = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"

@@ -106,7 +106,7 @@ def evolution_matrix(spark, sf):
 
 
 @query("trending_entities", over("mentions entities", f"""
-, c AS (SELECT e.id, canonical_name, entity_type, count(*) FILTER (d >= DATE '2001-06-09') AS r, count(*) FILTER (d >= DATE '2000-12-09' AND d < DATE '2001-06-09') AS h
+, c AS (SELECT e.id, canonical_name, entity_type, count(*) FILTER (d >= DATE '2001-06-01') AS r, count(*) FILTER (d >= DATE '2000-12-01' AND d < DATE '2001-06-01') AS h
         FROM entities e LEFT JOIN (SELECT entity_id, {_DAY} AS d FROM mentions) ON entity_id = e.id GROUP BY ALL)
 SELECT id, canonical_name, entity_type, r AS recent_count, h AS history_count, round(CASE WHEN h > 0 THEN (r - h) / h * 100 WHEN r > 0 THEN 100.0 ELSE 0.0 END, 6) AS trend_score,
        CASE WHEN (h > 0 AND r > h * 1.2) OR (h = 0 AND r > 0) THEN 'rising' WHEN h > 0 AND r < h * 0.8 THEN 'declining' ELSE 'stable' END AS trend_direction
@@ -129,9 +129,9 @@ def temporal_chains(spark, sf):
 @query("context_windows", over("messages", """
 , w AS (SELECT *, array_agg(message_id) OVER (PARTITION BY chat_id ORDER BY ts_ms, message_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS b,
                array_agg(message_id) OVER (PARTITION BY chat_id ORDER BY ts_ms, message_id ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS a FROM messages)
-SELECT message_id, chat_id, coalesce(array_to_string(b, ','), '') AS before, coalesce(array_to_string(a, ','), '') AS after FROM w WHERE length(text) % 5 = 0"""))
+SELECT message_id, chat_id, coalesce(array_to_string(b, ','), '') AS before, coalesce(array_to_string(a, ','), '') AS after FROM w"""))
 def context_windows(spark, sf):
-    return t.context_windows(Model(spark, sf).messages(), F.length("text") % 5 == 0)
+    return t.context_windows(Model(spark, sf).messages(), F.lit(True))
 
 
 @query("size_budget_prefix", over("messages", """

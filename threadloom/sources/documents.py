@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import cut_at_sentence
 
-SKIPPED_FOLDERS = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv")
+# Folders that are never read, and the marks and leaders of comments that are to do.
+SKIPPED_FOLDERS = (
+    "node_modules .next dist build .git __pycache__ .cache .turbo coverage .nyc_output vendor .venv venv env .env .tox eggs *.egg-info .mypy_cache .pytest_cache .ruff_cache"
+    " e2e-results test-results playwright-report .vercel .netlify .amplify data"
+).split()
 TODO = r"(?://|#|/\*|\*|<!--)\s*(TODO|FIXME|HACK|NOTE|XXX|OPTIMIZE|WARNING)\b[:\s]*(.*)"
 
 
@@ -58,23 +62,27 @@ def without_front_matter(text: Column) -> Column:
 
 
 def without_headings(text: Column) -> Column:
-    """The text without lines that start with '#'."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.startswith(F.ltrim(x), F.lit("#"))), "\n")
+    """The text without lines that start with '#', and without white space at its ends."""
+    return F.regexp_replace(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.startswith(x, F.lit("#"))), "\n"), r"^\s+|\s+$", "")
 
 
-_TURN = r"(?m)^([A-Z][^\n(]{0,80}?) \((\d{1,2}:\d{2}(?::\d{2})?)\):"
+# Fixed value: what begins a speaker's turn.
+_TURN = r"(?mU)^([\w\s.'\-+]+?)\s*\((\d{2}:\d{2}:\d{2})\):\s*"
 
 
 def speaker_turns(texts: DataFrame, key: str) -> DataFrame:
-    """Turns of a transcript: (key, chunk_index, speaker, clock, text, words). Without marked turns all is one of 'Unknown'; empty turns are left out."""
+    """Turns of a transcript without its headings: (key, chunk_index, speaker, clock, text, words). Without marked turns all is one of 'Unknown' at 00:00:00; empty turns are left out."""
+    given = texts.withColumn("text", without_headings(F.col("text")))
     t = F.col("text")
-    marks = F.regexp_extract_all(t, F.lit(_TURN), 0)
-    parts = F.slice(F.split(t, _TURN), 2, F.greatest(F.size(marks), F.lit(1)))
-    turns = F.when(F.size(marks) > 0, F.arrays_zip(marks.alias("mark"), parts.alias("body"))).otherwise(F.array(F.struct(F.lit("Unknown (0:00):").alias("mark"), t.alias("body"))))
+    speakers, clocks = (F.regexp_extract_all(t, F.lit(_TURN), k) for k in (1, 2))
+    parts = F.slice(F.split(t, _TURN), 2, F.greatest(F.size(speakers), F.lit(1)))
+    alone = F.array(F.struct(F.lit("Unknown").alias("who"), F.lit("00:00:00").alias("clock"), t.alias("body")))
+    turns = F.when(F.size(speakers) > 0, F.arrays_zip(speakers.alias("who"), clocks.alias("clock"), parts.alias("body"))).otherwise(alone)
     words = lambda b: F.size(F.filter(F.split(b, r"\s+"), lambda w: w != ""))
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     kept = F.filter(turns, lambda x: words(x["body"]) > 0)
-    out = texts.select(key, F.posexplode(kept).alias("chunk_index", "x"))
-    return out.select(key, "chunk_index", F.regexp_extract("x.mark", r"^(.*) \(", 1).alias("speaker"), F.regexp_extract("x.mark", r"\((.*)\):$", 1).alias("clock"), F.trim(F.regexp_replace("x.body", r"^\s+|\s+$", "")).alias("text"), words(F.col("x.body")).alias("words"))
+    out = given.select(key, F.posexplode(kept).alias("chunk_index", "x"))
+    return out.select(key, "chunk_index", trimmed(F.col("x.who")).alias("speaker"), F.col("x.clock").alias("clock"), trimmed(F.col("x.body")).alias("text"), words(F.col("x.body")).alias("words"))
 
 
 def packed_paragraphs(df: DataFrame, key: list[str], max_words: int = 600) -> DataFrame:
