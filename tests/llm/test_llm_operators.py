@@ -696,6 +696,36 @@ def test_payloads_come_back(text):
     assert media_webp.load(media).tobytes() == payload and media == media_webp.store(payload)
 
 
+def test_long_payloads_are_one_image(monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 40)).astype(np.uint8)) for _ in range(300)]
+    text = b"\n".join(words[i] for i in rng.integers(0, 300, 60_000)) + "é".encode() * 99
+    payload = text + bytes(-len(text) % 64)
+    payload += bytes(64 * (1 - len(payload) // 64 % 2))
+    assert len(payload) > 64 * media_webp.ROWS
+    media = media_webp.store(payload)
+    assert media.count(b"RIFF") == 1 and media_webp.load(media).tobytes() == payload
+    assert media_webp.decode(media)[0] == 128
+    small = media_webp.store(payload[: 64 * 3000])
+    monkeypatch.setattr(media_webp, "STRETCH", 1000)
+    assert media_webp.load(small).tobytes() == payload[: 64 * 3000]
+
+
+#: Two by two pixels by hand, from the format's description: simple codes for green 0 and 255, for red, blue and distance 0, for alpha 255.
+HAND = [(1, 14), (1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1), (1, 1), (1, 1), (0, 1), (0, 1), (255, 8)] + [(1, 1), (0, 1), (0, 1), (0, 1)] * 2 + [(1, 1), (0, 1), (1, 1), (255, 8)] + [(1, 1), (0, 1), (0, 1), (0, 1)] + [(0, 1), (1, 1), (1, 1), (0, 1)]
+
+
+def test_an_image_made_by_hand():
+    value = n = 0
+    for v, k in HAND:
+        value |= v << n
+        n += k
+    body = b"\x2f" + value.to_bytes(-(-n // 8), "little")
+    data = b"RIFF" + (12 + len(body) + len(body) % 2).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + bytes(len(body) % 2)
+    width, height, p = media_webp.decode(data)
+    assert (width, height, [hex(x) for x in p.tolist()]) == (2, 2, ["0xff000000", "0xff00ff00", "0xff00ff00", "0xff000000"])
+
+
 def test_all_bytes_and_small_palettes_come_back():
     rng = np.random.default_rng(7)
     for colours in (1, 2, 3, 4, 5, 16, 17, 100, 256):

@@ -7,9 +7,13 @@ repeated lines and zero runs become back-references, and one prefix code is fitt
 image. Where only the green channel carries bits, as in these images, prefix codes are decoded
 for all bit positions at once and the chain of symbols is followed in strides.
 
-Defined results: a null or empty payload is one row of 64 zero samples; very long ones are
-stored as several images of at most 4096 rows one after the other; equal payloads give equal
-bytes; damaged images raise ValueError; other columns are not read; an empty table gives no
+A text's samples choose none of predictor, cross-colour and colour cache: after subtract-green
+and the palette only one channel is left, and neighbouring bytes of text don't predict each
+other. ``decode`` inverts them wherever an image has them.
+
+Defined results: a null or empty payload is one row of 64 zero samples; a payload of more
+than 16,383 rows is one wider image, with zeros up to a whole number of rows and its length in
+a chunk of its own; equal payloads give equal bytes; damaged images raise ValueError; other columns are not read; an empty table gives no
 rows.
 """
 
@@ -26,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROW, ROWS = 64, 4096
+ROW, ROWS = 64, 16_383  # the format allows so many rows
+STRETCH = 1 << 17  # bytes of a stream that are decoded at a time
+REACH = (1 << 20) - 120  # the longest distance of a back-reference
 LIMIT = 12  # bits of the longest code that the encoder makes
 # Fixed values of the format: order of code length codes, and the offsets (x, y) of near distances.
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -65,9 +71,11 @@ class Code:
                 self.length[code :: 1 << n] = n
 
     def read(self, r: Reader) -> int:
+        if self.only >= 0:
+            return self.only
         at = r.peek(self.bits)
-        r.at += int(self.length[at])
-        return int(self.symbol[at])
+        r.at += self.length.item(at)
+        return self.symbol.item(at)
 
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -285,21 +293,32 @@ def read_pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
 
 
 def _green_pixels(r: Reader, width: int, height: int, codes: list[Code]) -> np.ndarray:
-    """Pixels of which only green takes bits: symbols for all bit positions at once, then their chain."""
+    """Pixels of which only green takes bits, a stretch of the stream at a time."""
     green, red, blue, alpha, far = codes
     n, base = width * height, alpha.only << 24 | red.only << 16 | blue.only
     if green.only >= 0:
         if green.only >= 256:
             raise ValueError("a back-reference beyond the image")
         return np.full(n, base | green.only << 8, np.uint32)
-    skip = r.at >> 3
-    raw = np.frombuffer(r.data, np.uint8)[skip:].astype(np.uint32)
+    out, done = np.empty(n, np.uint8), 0
+    while done < n:
+        before = r.at
+        done = _green_stretch(r, width, green, far, out, done)
+        if r.at > r.end or r.at == before:
+            raise ValueError("the image ends too early")
+    return out.astype(np.uint32) << 8 | np.uint32(base)
+
+
+def _green_stretch(r: Reader, width: int, green: Code, far: Code, out: np.ndarray, done: int) -> int:
+    """Symbols for all bit positions of a stretch at once, then their chain; fills ``out`` from ``done`` on and says how far."""
+    n, skip = len(out), r.at >> 3
+    raw = np.frombuffer(r.data, np.uint8)[skip : skip + STRETCH + 10].astype(np.uint32)
     wide = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     peeks = (wide[:, None] >> np.arange(8, dtype=np.uint32)).ravel()  # 17 bits at least from each position
     ends = len(peeks)
-    at = peeks & np.uint32((1 << green.bits) - 1)
-    symbol = green.symbol[at]
-    nxt = np.arange(ends, dtype=np.int64) + green.length[at]
+    limit = min(ends - 1, 8 * STRETCH)  # a symbol and its extra bits take less than the 64 bits that lie beyond it
+    symbol = green.symbol[peeks & np.uint32((1 << green.bits) - 1)]
+    nxt = np.arange(ends, dtype=np.int64) + green.length[peeks & np.uint32((1 << green.bits) - 1)]
     copies = np.flatnonzero(symbol >= 256)
     if len(copies):
         extra = np.maximum(symbol[copies] - 256 - 2 >> 1, 0)
@@ -308,12 +327,12 @@ def _green_pixels(r: Reader, width: int, height: int, codes: list[Code]) -> np.n
         nxt[copies] = p + far.length[d] + np.maximum(far.symbol[d] - 2 >> 1, 0)
     np.minimum(nxt, ends - 1, out=nxt)
     stride, leap = 1, nxt
-    while stride < 16 and n > 512:
+    while stride < 16 and n - done > 512:
         leap = leap[leap]
         stride *= 2
-    starts, p, jump, last = [], r.at - 8 * skip, memoryview(leap), ends - 1
-    total = 0
-    while p < last and total < n:
+    starts, p, jump = [], r.at - 8 * skip, memoryview(leap)
+    total = done
+    while p < limit and total < n:
         starts.append(p)
         p = jump[p]
         total += stride
@@ -323,11 +342,9 @@ def _green_pixels(r: Reader, width: int, height: int, codes: list[Code]) -> np.n
         for _ in range(stride - 1):
             steps.append(nxt[steps[-1]])
         chain = np.stack(steps, 1).ravel()
+        chain = chain[: np.searchsorted(chain, limit)]
     found = symbol[chain]
-    out = np.empty(n, np.uint8)
-    jumps = np.flatnonzero(found >= 256)
-    done = before = 0
-    limit = r.end - 8 * skip
+    jumps, before = np.flatnonzero(found >= 256), 0
     for j in jumps.tolist():
         k = min(j - before, n - done)
         out[done : done + k] = found[before : before + k]
@@ -350,10 +367,9 @@ def _green_pixels(r: Reader, width: int, height: int, codes: list[Code]) -> np.n
     k = min(len(found) - before, n - done)
     out[done : done + k] = found[before : before + k]
     used = before + k
-    if done + k < n or used and int(nxt[chain[used - 1]]) > limit:
-        raise ValueError("the image ends too early")
-    r.at = int(nxt[chain[used - 1]]) + 8 * skip
-    return out.astype(np.uint32) << 8 | np.uint32(base)
+    if used:
+        r.at = int(nxt[chain[used - 1]]) + 8 * skip
+    return done + k
 
 
 def _channels(p: np.ndarray) -> np.ndarray:
@@ -440,10 +456,10 @@ def cross_coloured(p: np.ndarray, width: int, blocks: np.ndarray, bits: int, inv
 
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     """Width, height and ARGB pixels of a lossless WebP file."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
+    image = _chunks(data).get(b"VP8L", b"")
+    if len(image) < 5 or image[0] != 0x2F:
         raise ValueError("not a lossless WebP image")
-    size = struct.unpack("<I", data[16:20])[0]
-    r = Reader(data[21 : 20 + size])
+    r = Reader(image[1:])
     width, height = r.bits(14) + 1, r.bits(14) + 1
     r.bits(1)
     if r.bits(3):
@@ -535,8 +551,10 @@ def _repeated_lines(raw: bytes, least: int = 16) -> list[tuple[int, int, int]]:
     body = raw.rstrip(b"\0")
     for line in body.split(b"\n"):
         if len(line) >= least:
-            known = seen.setdefault(line, at)
-            if known != at:
+            known = seen.get(line, at)
+            if known == at or at - known > REACH:
+                seen[line] = at
+            else:
                 out += [(at + i, min(4096, len(line) - i), at - known) for i in range(0, len(line), 4096)]
         at += len(line) + 1
     zeros = len(raw) - len(body)
@@ -545,12 +563,12 @@ def _repeated_lines(raw: bytes, least: int = 16) -> list[tuple[int, int, int]]:
     return out
 
 
-def encode_samples(raw: bytes) -> bytes:
-    """Bytes, a multiple of 64 and at most 64 * 4096, as a grey lossless WebP image of 64 columns."""
-    height = len(raw) // ROW
+def encode_samples(raw: bytes, width: int = ROW) -> bytes:
+    """Bytes, a multiple of the width, as a grey lossless WebP image."""
+    height = len(raw) // width
     samples = np.frombuffer(raw, np.uint8)
     values = np.flatnonzero(np.bincount(samples, minlength=256))
-    w = _header(ROW, height)
+    w = _header(width, height)
     w.bits(1, 1)
     w.bits(SUBTRACT_GREEN, 2)
     w.bits(1, 1)
@@ -692,23 +710,43 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + bytes(-len(raw) % ROW or (0 if raw else ROW))
 
 
+def _chunk(name: bytes, body: bytes) -> bytes:
+    return name + struct.pack("<I", len(body)) + body + bytes(len(body) % 2)
+
+
 def store(payload: bytes) -> bytes:
-    """One image for each 64 * 4096 bytes of the payload, one after the other."""
-    return b"".join(encode_samples(payload[i : i + ROW * ROWS]) for i in range(0, len(payload), ROW * ROWS))
+    """A payload as one image of 64 columns; if that is too high, as a wider one with its length beside it."""
+    rows = len(payload) // ROW
+    if rows <= ROWS:
+        return encode_samples(payload)
+    width = ROW * -(-rows // ROWS)
+    image = encode_samples(payload + bytes(-len(payload) % width), width)
+    height = -(-len(payload) // width)
+    canvas = bytes(4) + struct.pack("<I", width - 1)[:3] + struct.pack("<I", height - 1)[:3]
+    body = b"WEBP" + _chunk(b"VP8X", canvas) + image[12:] + _chunk(b"PLEN", struct.pack("<Q", len(payload)))
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def _chunks(media: bytes) -> dict[bytes, bytes]:
+    """The chunks of a WebP file by name."""
+    if len(media) < 20 or media[:4] != b"RIFF" or media[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    out, at = {}, 12
+    while at + 8 <= len(media):
+        size = struct.unpack("<I", media[at + 4 : at + 8])[0]
+        out[media[at : at + 4]] = media[at + 8 : at + 8 + size]
+        at += 8 + size + size % 2
+    return out
 
 
 def load(media: bytes) -> np.ndarray:
-    """Samples of stored images: all grey channels must agree, and the first is returned."""
-    out, at = [], 0
-    while at < len(media):
-        size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        p = decode(media[at : at + size])[2]
-        grey = (p & 0xFF).astype(np.uint8)
-        if (p != (grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(_BLACK))).any():
-            raise ValueError("not a grey image")
-        out.append(grey)
-        at += size
-    return np.concatenate(out)
+    """Samples of a stored image: all grey channels must agree, and the first is returned."""
+    p = decode(media)[2]
+    grey = (p & 0xFF).astype(np.uint8)
+    if (p != (grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(_BLACK))).any():
+        raise ValueError("not a grey image")
+    length = _chunks(media).get(b"PLEN")
+    return grey if length is None else grey[: struct.unpack("<Q", length)[0]]
 
 
 def feature_of(samples: np.ndarray) -> str:
