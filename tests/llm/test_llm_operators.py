@@ -204,7 +204,7 @@ def test_components_take_the_least_id(spark, kind, monkeypatch):
     monkeypatch.setattr(near_dedup, "cut", lambda df, f=near_dedup.cut: written.append(1) or f(df))
     got = {r["doc_id"]: r["component"] for r in near_dedup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == plain_components(pairs)
-    assert (len(written) - 3) // 2 < 20  # rounds
+    assert (len(written) - 3) // 2 < 25  # two tables a round, and a few more
 
 
 # op3

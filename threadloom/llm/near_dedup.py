@@ -271,8 +271,9 @@ def components(edges: DataFrame) -> DataFrame:
         to = lambda c: steps[-1].select(F.col("a").alias(c), F.col("p").alias(f"new_{c}"))
         both = cut(both.join(to("a"), "a").join(to("b"), "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b")).filter("a <> b").distinct())
     root = labels.withColumn("root", F.col("doc_id"))
-    for step in steps:
+    for n, step in enumerate(steps, 1):
         root = root.join(step.select(F.col("a").alias("root"), "p"), "root", "left").select("doc_id", F.coalesce("p", "root").alias("root"))
+        root = cut(root) if n % 4 == 0 else root  # plans of many joins take the driver's memory
     root = cut(root)
     return cut(root.join(root.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("doc_id", "component"))
 
@@ -287,11 +288,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     small = -(-percent // (100 - percent)) - 1 if percent < 100 else 2**62
     made = cut(sketches(docs, shingle_words, small))  # read several times, so that texts are hashed once
     digest = ["n_shingles", "set_a", "set_b"]
-    classes = made.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    classes = cut(made.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     # an id with several sets links their classes
     set_of = F.struct(*digest)
     several = made.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(set_of).alias("lo"), F.max(set_of).alias("hi")).filter("lo < hi").select("doc_id")
-    same_id = cut(made.join(several, "doc_id", "left_semi").join(classes, digest).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct())
+    several = cut(several)
+    same_id = made.join(several, "doc_id", "left_semi").join(classes, digest).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     reps = made.filter("bands is not null and doc_id is not null").join(classes.select(*digest, F.col("rep").alias("doc_id")), ["doc_id", *digest], "left_semi")
     reps = cut(reps.dropDuplicates(["doc_id", *digest]).select("doc_id", "n_shingles", "bands", "sketch"))
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"))
@@ -303,8 +305,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     hub = weighed.groupBy("key").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("hub"))
     stars = cut(member.join(hub, "key").select("key", F.col("hub").alias("a"), F.col("v").alias("b")).filter("a <> b"))
     stars_by_pair = compared(stars.select("a", "b").distinct(), reps, texts, shingle_words, FAR)
-    links = cut(links_of(stars_by_pair, percent).union(same_id))
-    part = components(links)
+    links = links_of(stars_by_pair, percent)
+    part = components(links if several.isEmpty() else links.union(same_id))
 
     # Left are pairs in one band group but in different components so far. If one of them is
     # far from the hub, the other can't be closer than ``FAR`` and the distance of a link.
@@ -323,11 +325,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.d_from <= y.d_to + {gap!r} and y.d_from <= x.d_to + {gap!r}"
     from_far = pool.alias("x").join(pool.alias("y"), F.expr(f"x.key = y.key and x.v < y.v and x.part <> y.part and {alike}")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
     rest = cut(near_hub.union(from_far).distinct())
-    more = links_of(compared(rest, reps, texts, shingle_words, percent / 100), percent)
-    part = components(links.union(more))
+    more = cut(links_of(compared(rest, reps, texts, shingle_words, percent / 100), percent))
+    if not more.isEmpty():  # few, and only between components: these are joined, not their members
+        of = lambda c: part.select(F.col("doc_id").alias(c), F.col("component").alias(f"part_{c}"))
+        ends = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("part_a", "a").alias("a"), F.coalesce("part_b", "b").alias("b"))
+        joined = components(ends).withColumnRenamed("doc_id", "old")
+        known = part.select("doc_id", F.col("component").alias("old")).join(joined, "old", "left").select("doc_id", F.coalesce("component", "old").alias("component"))
+        alone = joined.join(part.select(F.col("component").alias("old")), "old", "left_anti").select(F.col("old").alias("doc_id"), "component")
+        part = cut(known.union(alone))
 
     # Classes with over a thousandth of all rows are at most a thousand and travel by broadcast, so that no task gets a large one whole.
-    label = classes.join(part.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*digest, "size", F.coalesce("component", "rep").alias("component_id"))
+    label = cut(classes.join(part.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*digest, "size", F.coalesce("component", "rep").alias("component_id")))
     share = made.count() // 1000
     row = ["doc_id", "n_shingles", "component_id"]
     met = made.select("doc_id", *digest).join(F.broadcast(label.filter(F.col("size") > share).drop("size")), digest, "left")
