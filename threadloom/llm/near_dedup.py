@@ -318,13 +318,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     placed = loose.join(part.withColumnRenamed("doc_id", "v"), "v", "left").select("key", "v", "n", "d_from", "d_to", F.coalesce("component", "v").alias("part"))
     open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
     left = cut(placed.join(open_keys, "key"))
-    pool = left.join(left.select(F.col("key").alias("second"), "v"), "v").filter("key < second").select(F.xxhash64("key", "second").alias("key"), "v", "n", "d_from", "d_to", "part")
-    pool = cut(pool.join(pool.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key"), "key"))
-    # distances to the hub of linked members differ by no more than a link's distance
-    gap = 1 - percent / 100 + 1e-9
-    alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.d_from <= y.d_to + {gap!r} and y.d_from <= x.d_to + {gap!r}"
-    from_far = pool.alias("x").join(pool.alias("y"), F.expr(f"x.key = y.key and x.v < y.v and x.part <> y.part and {alike}")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
-    rest = cut(near_hub.union(from_far).distinct())
+    if not left.isEmpty():
+        pool = cut(left.join(left.select(F.col("key").alias("second"), "v"), "v").filter("key < second").select(F.xxhash64("key", "second").alias("key"), "v", "n", "d_from", "d_to", "part"))
+        # distances to the hub of linked members differ by no more than a link's distance
+        gap = 1 - percent / 100 + 1e-9
+        alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.d_from <= y.d_to + {gap!r} and y.d_from <= x.d_to + {gap!r}"
+        near_hub = near_hub.union(pool.alias("x").join(pool.alias("y"), F.expr(f"x.key = y.key and x.v < y.v and x.part <> y.part and {alike}")).select(F.col("x.v").alias("a"), F.col("y.v").alias("b")))
+    rest = cut(near_hub.distinct())
     more = cut(links_of(compared(rest, reps, texts, shingle_words, percent / 100), percent))
     if not more.isEmpty():  # few, and only between components: these are joined, not their members
         of = lambda c: part.select(F.col("doc_id").alias(c), F.col("component").alias(f"part_{c}"))
