@@ -11,10 +11,11 @@ Groups that share a band are never expanded blindly. Documents with equal sets a
 class first. Each band group then compares its members with one hub, the member whose bands
 are most shared; once those links are contracted, only pairs that lie in one band group but
 in different components are left. Where both are near the hub, what each adds to the hub
-tells which pairs can be linked at all; where they are far from it, members are dealt anew by
-pairs of bands, and pairs that share two are checked. Of 64 bands, a pair at 0.85 shares fewer
-than two with a chance of 4 in 100 million (none: 2 in a billion), a pair at 0.8 with one of 1
-in 10,000 (none: 8 in a million).
+tells which pairs can be linked at all; where they are far from it, pairs are checked, after
+groups of more than ``crowd`` members are dealt anew by pairs of bands. So pairs in small
+groups must share one of 64 bands, and those in large groups two: a pair at 0.85 fails that
+with a chance of 2 in a billion and of 4 in 100 million, a pair at 0.8 with one of 8 in a
+million and of 1 in 10,000.
 
 Defined results: a null, empty or white-space-only text has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle; rows that repeat an id are one
@@ -278,10 +279,11 @@ def components(edges: DataFrame) -> DataFrame:
     return cut(root.join(root.groupBy("root").agg(F.min("doc_id").alias("component")), "root").select("doc_id", "component"))
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, crowd: int = 48) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links), kept (it is that id).
 
-    Links: 100 * intersection >= percent * union of the shingle sets.
+    Links: 100 * intersection >= percent * union of the shingle sets. ``crowd``: band groups
+    of more members that are still unlinked are dealt anew by pairs of bands.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # sets of so few shingles that one more or less breaks the threshold are linked to equal sets only
@@ -316,10 +318,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     reach = known.filter(F.col("j") < FAR + 1 - percent / 100).select("a", "b", F.col("n_b").alias("n"), F.when(F.col("same") == 0, 1 - FAR).otherwise(distance).alias("d_from"), distance.alias("d_to"))
     loose = stars.join(reach, ["a", "b"]).withColumnRenamed("b", "v")
     placed = loose.join(part.withColumnRenamed("doc_id", "v"), "v", "left").select("key", "v", "n", "d_from", "d_to", F.coalesce("component", "v").alias("part"))
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key")
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select("key", "members")
     left = cut(placed.join(open_keys, "key"))
     if not left.isEmpty():
-        pool = cut(left.join(left.select(F.col("key").alias("second"), "v"), "v").filter("key < second").select(F.xxhash64("key", "second").alias("key"), "v", "n", "d_from", "d_to", "part"))
+        row = ["v", "n", "d_from", "d_to", "part"]
+        large = left.filter(F.col("members") > crowd).select("key", *row)
+        again = large.join(left.select(F.col("key").alias("second"), "v"), "v").filter("key < second").select(F.xxhash64("key", "second").alias("key"), *row)
+        pool = left.filter(F.col("members") <= crowd).select("key", *row).union(again)
         # distances to the hub of linked members differ by no more than a link's distance
         gap = 1 - percent / 100 + 1e-9
         alike = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and x.d_from <= y.d_to + {gap!r} and y.d_from <= x.d_to + {gap!r}"
