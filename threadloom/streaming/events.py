@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a local one where that is unset, as in tests."""
+    """A new folder that all executors share: under ``spark.checkpoint.dir``, or a local one where that is unset and all runs on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-")
 
 
