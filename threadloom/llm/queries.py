@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from threadloom.llm.bpe import round_trip_digests
 from threadloom.llm.common import table, vocabulary_path
+from threadloom.llm.conversation_repair import repaired_conversations
 from threadloom.llm.html_extract import extract_main_text
 from threadloom.llm.line_dedup import drop_boilerplate
 from threadloom.llm.media_webp import media_columns
@@ -19,6 +20,7 @@ from threadloom.llm.quality_mil import score_quality
 from threadloom.llm.quality_rules import quality_filter
 from threadloom.llm.sharding import hilbert_shards
 from threadloom.llm.toxicity_crf import score_toxicity
+from threadloom.llm.vector_codes import vector_codes
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,14 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op13_gnat_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -79,11 +89,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_webp_media": op10_webp_media,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_gnat_vector_codes": op13_gnat_vector_codes,
 }
 
 QUERIES["pipeline"] = pipeline
 
+#: One round of the codebooks in SQL: nearest entries, then means of their parts; @: the round.
+_ROUND = """
+a@ AS MATERIALIZED (
+  SELECT x.vec, x.p, x.v, min(list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 16 + b.e) AS best
+  FROM part x JOIN b@ b ON x.p = b.p GROUP BY x.vec, x.p, x.v),
+m@ AS MATERIALIZED (
+  SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
+  FROM (SELECT p, best % 16 AS e, i, sum(v[i]) AS s, count(*) AS n FROM a@, range(1, 1 + len(v)) t(i) GROUP BY ALL) GROUP BY p, e),"""
+
 ORACLES: dict[str, str] = {
+    "op13_gnat_vector_codes": """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS vec, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+part AS MATERIALIZED (SELECT vec, p, q[p * (len(q) // 8) + 1 : (p + 1) * (len(q) // 8)] AS v FROM kept, range(8) t(p)),
+b0 AS MATERIALIZED (SELECT p, vec - 1 AS e, v FROM part WHERE vec <= 16),"""
+    + "".join(_ROUND.replace("@", str(r)) + f"\nb{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN m{r} m USING (p, e))," for r in range(6))
+    + _ROUND.replace("@", "6").split("m6 AS")[0]
+    + """
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b6),
+coded AS (SELECT vec, string_agg(printf('%02x', (best % 16)::INT), '' ORDER BY p) AS code, sum(best // 16)::BIGINT AS error FROM a6 GROUP BY vec)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec), books""",
     "op2_hyperminhash_dedup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
