@@ -12,6 +12,7 @@ from threadloom.llm.bpe import round_trip_digests
 from threadloom.llm.common import table, vocabulary_path
 from threadloom.llm.conversation_repair import repaired_conversations
 from threadloom.llm.html_extract import extract_main_text
+from threadloom.llm.jaccard_join import jaccard_components
 from threadloom.llm.line_dedup import drop_boilerplate
 from threadloom.llm.media_webp import media_columns
 from threadloom.llm.near_dedup import near_duplicates
@@ -66,6 +67,10 @@ def op10_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle_words=5, percent=80)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired_conversations(table(spark, sf_dir, "conversations"))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_cascade": op9_quality_cascade,
     "op10_webp_media": op10_webp_media,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_gnat_vector_codes": op13_gnat_vector_codes,
 }
@@ -104,7 +110,25 @@ m@ AS MATERIALIZED (
   SELECT p, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v
   FROM (SELECT p, best % 16 AS e, i, sum(v[i]) AS s, count(*) AS n FROM a@, range(1, 1 + len(v)) t(i) GROUP BY ALL) GROUP BY p, e),"""
 
+_LINKS = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n FROM sets),
+sh AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a)
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_jaccard_join": _LINKS
+    + """
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)) AS component_id
+FROM n LEFT JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n""",
     "op13_gnat_vector_codes": """
 WITH kept AS MATERIALIZED (
   SELECT row_number() OVER (ORDER BY vec_id) AS vec, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
