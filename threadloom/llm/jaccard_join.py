@@ -18,9 +18,10 @@ first. Then regions are joined in two levels:
 2. Documents far from all pivots form the remaining region, which is cut by their rarest
    shingles: in an order of shingles that puts those frequent in the sample last, a linked
    pair shares one of the first n - ceil(t n) + 1. Each group of documents that share such
-   a shingle takes as its pivot the member that shares most, and is joined like a region:
-   exact distances to the pivot, links through it, then pairs whose distances differ by no
-   more than the reach, and whose places in the order leave enough shingles to share.
+   a shingle takes as its pivot the member of least id, as others do that it is in, and is joined like a region:
+   exact distances to the pivot for those that may be linked to it by their sizes and the
+   places of what they share in the order, links through it, then pairs that may be linked
+   so, and whose distances, where known, differ by no more than the reach.
 
 Whatever is left is confirmed on full sets. Only pairs between components so far are left,
 as components are what is asked for; none between linked ones is needed. Large regions and
@@ -49,7 +50,7 @@ from threadloom.llm.common import cut
 from threadloom.llm.hashing import BASE, mix
 from threadloom.llm.near_dedup import components, shingle_set
 
-SAMPLE, LONGEST = 2048, 4096
+SAMPLE, LONGEST = 1024, 4096
 SAFE = 1e-9  # distances are compared with so much room
 BLOCK = 512  # members of a region or group that meet another block at a time
 CHUNK = 512  # members that meet a copy of their pivot's text
@@ -108,12 +109,12 @@ def sampled(docs: DataFrame, k: int, least: int) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_set(t.as_py(), k) for t in b.column(1)]
-            rows = [(h.as_py(), s.view(np.int64)) for h, s in zip(b.column(0), sets) if least <= len(s) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["h", "shingles"])
+            rows = [(h.as_py(), s.tobytes()) for h, s in zip(b.column(0), sets) if least <= len(s) <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], names=["h", "shingles"])
 
     texts = docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(some), "h").groupBy("h").agg(F.min("text").alias("text"))
-    rows = texts.select("h", "text").mapInArrow(run, "h long, shingles array<long>").collect()
-    return [np.array(r["shingles"], np.int64).view(np.uint64) for r in sorted(rows, key=lambda r: r["h"])]
+    rows = texts.select("h", "text").mapInArrow(run, "h long, shingles binary").collect()
+    return [np.frombuffer(r["shingles"], np.uint64) for r in sorted(rows, key=lambda r: r["h"])]
 
 
 def measured(docs: DataFrame, pivots: Pivots, k: int, percent: int, small: int) -> DataFrame:
@@ -186,14 +187,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
             cols = [pa.array([r[j] for r in rows], pa.int64()) for j in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *cols], names=["a", "b", "n_a", "n_b", "same"])
 
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    texts = cut(texts.join(F.broadcast(wanted) if wanted.count() <= IDS else wanted, "doc_id", "left_semi"))
     own = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b").join(own("b"), "b")
+    dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
     pivots = chunks.join(own("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "text_a")
+    dealt = dealt.join(own("b"), "b")
     full = dealt.join(pivots, ["a", "chunk"]).select("a", "b", "text_a", "text_b")
     return cut(full.mapInArrow(run, "a long, b long, n_a long, n_b long, same long"))
 
 
+def able(x: str, y: str, percent: int) -> str:
+    """SQL: two rows of a group may be linked, by their sizes n and the places of their first common shingle.
+
+    Nothing before those places is shared, so what is left of either set must hold all that is.
+    """
+    share = f"{percent} * ({x}.n + {y}.n)"
+    return " and ".join(f"{100 + percent} * ({z}.n - {z}.place) >= {share}" for z in (x, y)) + f" and {100 + percent} * least({x}.n, {y}.n) >= {share}"
+
+
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(F.expr(f"same > 0 and 100 * same >= {percent} * (n_a + n_b - same)")).select("a", "b").distinct()
 
@@ -257,11 +270,12 @@ def _close(rows: tuple[list[dict], list[dict]], percent: int) -> pa.RecordBatch:
 def group_pairs(member: DataFrame, known: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) that share one of their first shingles, of different components, that may be linked.
 
-    ``member``: key, v, n, place, size and the group's pivot; ``known``: (a, b, n_a, n_b, same) of pivots a.
+    ``member``: key, v, n, place and ``pivot``, a row of the group's pivot; ``known``: (a, b, n_a, n_b, same) of pivots a.
     """
     reach = 1 - percent / 100 + SAFE
     far = 1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))
-    rows = member.filter("v <> pivot").join(known.select(F.col("a").alias("pivot"), F.col("b").alias("v"), far.alias("far")), ["pivot", "v"])
+    distance = known.select(F.col("a").alias("hub"), F.col("b").alias("v"), far.alias("far"))
+    rows = member.withColumn("hub", F.col("pivot.v")).filter("v <> hub").join(distance, ["hub", "v"], "left")
     rows = rows.join(part.withColumnRenamed("doc_id", "v"), "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component")
     open_keys = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("left")).filter("lo < hi").select("key", F.ceil(F.col("left") / BLOCK).cast("int").alias("blocks"))
     rows = cut(rows.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
@@ -269,9 +283,7 @@ def group_pairs(member: DataFrame, known: DataFrame, part: DataFrame, percent: i
     # block pairs (i <= j) of a group: each row goes to as many cells as there are blocks
     left = rows.select(*cols, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
     right = rows.select(*cols, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
-    share = f"{percent} * (x.n + y.n)"
-    able = f"{100 + percent} * (x.n - x.place) >= {share} and {100 + percent} * (y.n - y.place) >= {share} and {100 + percent} * least(x.n, y.n) >= {share}"
-    met = F.expr(f"x.key = y.key and x.i = y.i and x.j = y.j and (x.i < x.j or x.v < y.v) and x.part <> y.part and abs(x.far - y.far) <= {reach!r} and {able}")
+    met = F.expr(f"x.key = y.key and x.i = y.i and x.j = y.j and (x.i < x.j or x.v < y.v) and x.part <> y.part and coalesce(abs(x.far - y.far) <= {reach!r}, true) and {able('x', 'y', percent)}")
     return left.alias("x").join(right.alias("y"), met).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
 
 
@@ -303,15 +315,15 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     links = through.join(F.broadcast(roots), "p").select(F.col("v").alias("a"), F.col("root").alias("b")).filter("a <> b")
 
     # Second level: groups that share one of their first shingles.
-    keyed = reps.select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), F.posexplode("keys").alias("place", "key"))
-    member = cut(keyed.withColumn("size", F.count("*").over(Window.partitionBy("key"))).filter("size > 1"))
-    weights = member.groupBy("v").agg(F.sum("size").alias("weight"))
-    weighed = member.join(weights, "v").select("key", "v", "weight")
-    pivot = weighed.groupBy("key").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("pivot"))
-    member = cut(member.join(pivot, "key"))
-    wanted = cut(member.select("v").union(regions.join(F.broadcast(regions.groupBy("p").count().filter("count > 1")), "p", "left_semi").select("v")).distinct().withColumnRenamed("v", "doc_id"))
-    texts = cut(docs.join(F.broadcast(wanted) if wanted.count() <= IDS else wanted, "doc_id", "left_semi").distinct())
-    stars = member.filter("v <> pivot").select(F.col("pivot").alias("a"), F.col("v").alias("b")).distinct()
+    packed = F.shiftleft("n_shingles", 32) + F.col("place")  # a row of three numbers is shuffled
+    keyed = reps.select("doc_id", "n_shingles", F.posexplode("keys").alias("place", "key")).select("key", F.col("doc_id").alias("v"), packed.alias("packed"))
+    group = Window.partitionBy("key")
+    met = keyed.withColumn("first", F.min(F.struct("v", "packed")).over(group)).withColumn("last", F.max("v").over(group)).filter("first.v < last")
+    parts = lambda c: (F.shiftright(c, 32).alias("n"), F.col(c).bitwiseAND(F.lit(2**32 - 1)).alias("place"))
+    member = cut(met.select("key", "v", *parts("packed"), F.struct("first.v", *parts("first.packed")).alias("pivot")))
+    once = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    texts = docs if once else docs.distinct()
+    stars = cut(member.alias("x").filter(F.expr(f"x.v <> x.pivot.v and {able('x', 'x.pivot', percent)}")).select(F.col("x.pivot.v").alias("a"), F.col("x.v").alias("b")).distinct())
     known = confirmed(stars, texts, shingle_words)
     links = links.union(linked(known, percent))
     part = components(links if several.isEmpty() else links.union(same_id))
@@ -319,7 +331,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     # Both levels: what isn't linked through a pivot yet.
     label = part.select(F.col("doc_id").alias("v"), F.col("component"))
     main = roots.join(label.withColumnRenamed("v", "root"), "root", "left").select("p", F.coalesce("component", "root").alias("main"))
-    placed = regions.join(label, "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component").join(F.broadcast(main), "p", "left")
+    placed = regions.join(label, "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component").join(main, "p", "left")
     rest = cut(region_pairs(placed, percent).union(group_pairs(member, known, part, percent)).distinct())
     more = linked(confirmed(rest, texts, shingle_words), percent)
     if not more.isEmpty():  # few, and only between components: these are joined, not their members
