@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates, text, vectors
-from threadloom.operators import cluster, graph, knowledge, library, similarity, temporal
+from threadloom.operators import cluster, graph, knowledge, library, rounds, similarity, temporal
 from threadloom.sources import documents as docs
 from threadloom.sources import logs
 
@@ -247,35 +247,71 @@ def test_similarity_join_by_broadcast_and_by_blocks(spark):
             assert [r["right_id"] for r in sorted(best, key=lambda r: r["rank"]) if r["left_id"] == a] == order[:2]
 
 
-@pytest.mark.parametrize("rule", ["leader", "sweep"])
-def test_clusters_as_plain_loops(spark, rule):
-    df, rows = random_vectors(spark, 60, 2)
-    want = set()
-    for part in ("p", "q"):
-        own = [r for r in rows if r[1] == part]
-        u = unit(own)
-        if rule == "leader":
-            leaders = []
-            for i in range(len(own)):
-                best = max(((round(float(u[k] @ u[i]), 9), -k) for k in leaders), default=(-1, 0))
-                k = -best[1] if best[0] >= 0.3 else i
-                leaders += [i] * (k == i)
-                want.add((part, own[i][0], own[k][0]))
+def looped(u, least, rule):
+    """Leaders in order, as a plain loop finds them; the leader of each row."""
+    leaders, out = [], []
+    for i in range(len(u)):
+        near = [k for k in leaders if round(float(u[k] @ u[i]), 6) >= least]
+        if not near:
+            leaders.append(i)
+            out.append(i)
         else:
-            free = list(range(len(own)))
-            while free:
-                i = free[0]
-                took = [j for j in free if j == i or round(float(u[i] @ u[j]), 9) >= 0.3]
-                want |= {(part, own[j][0], own[i][0]) for j in took}
-                free = [j for j in free if j not in took]
-    assert {tuple(r) for r in cluster.clustered(df, "part", rule, least=0.3).collect()} == want
-
-
-def test_density_clusters(spark):
-    rows = [(f"a{i}", "p", [1.0, i * 0.01]) for i in range(4)] + [(f"b{i}", "p", [i * 0.01, 1.0]) for i in range(3)] + [("z", "p", [-1.0, -1.0])]
-    df = spark.createDataFrame(rows, "id string, part string, embedding array<float>")
-    got = {r["id"]: r["cluster"] for r in cluster.clustered(df, "part", "density", eps=0.05, least=3).collect()}
-    assert {got[f"a{i}"] for i in range(4)} == {"a0"} and {got[f"b{i}"] for i in range(3)} == {"b0"} and got["z"] is None
+            out.append(max(near, key=lambda k: (round(float(u[k] @ u[i]), 6), -k)) if rule == "leader" else near[0])
+    return out
+
+
+@pytest.mark.parametrize("rule, rows, least, how", [("leader", 120, 0.3, {}), ("sweep", 120, 0.3, {}), ("leader", 120, 0.3, {"values": 0, "block": 32}), ("leader", 3000, 0.85, {"values": 0, "block": 1000}), ("sweep", 3000, 0.85, {})])
+def test_clusters_as_plain_loops(spark, rule, rows, least, how):
+    rng = np.random.default_rng(rows)
+    vectors = rng.normal(size=(rows, 6)).round(3)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(rows + 1, None)], "id long, embedding array<double>")
+    u = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    run = {"leader": cluster.leader_clusters, "sweep": cluster.sweep_clusters}[rule]
+    got = {r["id"]: r["cluster"] for r in run(df, least, **how).collect()}
+    want = looped(u, least, rule)
+    assert got == dict(enumerate(want))
+    if rows == 120:
+        kept = {r["id"] for r in cluster.without_duplicates(df, least, **how).collect()}
+        assert kept == {i for i, k in enumerate(want) if i == k} | {rows + 1}
+        assert run(df.limit(0), least).count() == 0
+
+
+def test_density_clusters_as_a_plain_search(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 8))
+    vectors = np.concatenate([centres[rng.integers(0, 6, 150)] + rng.normal(size=(150, 8)) * 0.45, rng.normal(size=(50, 8))]).round(3)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(999, None)], "id long, embedding array<double>")
+    for eps, least, scale in ((0.1, 4, False), (0.2, 6, True), (0.05, 3, False)):
+        x = (vectors - vectors.mean(0)) / vectors.std(0) if scale else vectors
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        near = np.round(u @ u.T, 6) >= 1 - eps
+        core, label = near.sum(1) >= least, [None] * len(u)
+        for i in range(len(u)):
+            if core[i] and label[i] is None:
+                todo, label[i] = [i], i
+                while todo:
+                    for j in np.flatnonzero(near[todo.pop()]):
+                        if label[j] is None:
+                            label[j] = i
+                            todo += [j] if core[j] else []
+        got = cluster.density_clusters(cluster.standardised(df) if scale else df, eps, least).collect()
+        assert {r["id"]: r["cluster"] for r in got} == dict(enumerate(label)) and {r["id"] for r in got if r["core"]} == set(np.flatnonzero(core))
+
+
+def test_components_and_turns(spark):
+    edges = [(i, i + 1) for i in range(0, 200)] + [(300, 301), (301, 300), (305, 305), (400, 7)] + [(500, 500 + k) for k in range(1, 50)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["id"]: r["component"] for r in rounds.components(df).collect()}
+    assert all(got[i] == 0 for i in [*range(201), 400]) and got[301] == 300 and got[549] == 500 and 305 not in got
+    assert rounds.components(df.limit(0)).count() == 0
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r["id"] for r in rounds.turned_away(path).collect()} == set(range(1, 21, 2))
+
+
+def test_cluster_names(spark):
+    rows = [("c", 1, "The Parser, (parser) of logs"), ("c", 2, "fast PARSER for logs 2024"), ("c", 3, None), ("d", 1, "to be or"), ("e", 1, ""), ("f", 1, "Zeta alpha 2024 1999")]
+    got = {r["cluster"]: r["name"] for r in cluster.cluster_names(spark.createDataFrame(rows, "cluster string, place int, title string")).collect()}
+    assert got == {"c": "Parser & Logs & 2024", "d": "to be or", "e": "Unknown", "f": "1999 & 2024 & Zeta"}
 
 
 def test_merge_keeps_all_occurrences(spark):

@@ -1,11 +1,9 @@
-"""Registered queries over sources, streams, clusters and incremental loads."""
+"""Registered queries over sources, streams and incremental loads."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadloom.operators import cluster as cl
-from threadloom.operators import similarity as s
 from threadloom.plans.model import Model, over
 from threadloom.registry import query
 from threadloom.sources import documents as docs
@@ -132,49 +130,3 @@ SELECT source, local_count, local_last, coalesce(remote_count, 0) AS remote_coun
 def sync_report(spark, sf):
     m = Model(spark, sf).messages()
     return ev.sync_report(m, m.filter("vec_place % 3 = 0 and source <> 'expert'"))
-
-
-def _message_vectors(m: Model):
-    return m.embedded_messages().filter("message_type = 'user'").select(F.col("message_id").alias("id"), "workspace", "embedding")
-
-
-@query("leader_clusters")
-def leader_clusters(spark, sf):
-    """Tested against a plain loop."""
-    return cl.clustered(_message_vectors(Model(spark, sf)), "workspace", "leader", least=0.2)
-
-
-@query("sweep_clusters")
-def sweep_clusters(spark, sf):
-    """Tested against a plain loop."""
-    return cl.clustered(_message_vectors(Model(spark, sf)), "workspace", "sweep", least=0.2)
-
-
-@query("density_clusters")
-def density_clusters(spark, sf):
-    """Tested against a plain loop."""
-    e = Model(spark, sf).embedded_entities().select("id", "entity_type", "embedding")
-    return cl.clustered(e, "entity_type", "density", eps=0.9, least=3)
-
-
-@query("cluster_size_bands")
-def size_bands(spark, sf):
-    return cl.cluster_sizes(leader_clusters(spark, sf), "workspace")
-
-
-@query("batch_without_duplicates")
-def batch_dedup(spark, sf):
-    """Tested against a plain loop."""
-    return cl.deduplicated(_message_vectors(Model(spark, sf)), "workspace", 0.3).select("workspace", "id")
-
-
-@query("memory_library_gaps")
-def memory_library_gaps(spark, sf):
-    """Clusters of messages that no cluster of two library items or more covers."""
-    m = Model(spark, sf)
-    topics = cl.cluster_sizes(leader_clusters(spark, sf), "workspace").select(F.col("cluster").alias("id"), "workspace", "size")
-    items = m.embedded_items().filter("status <> 'archived'").select("id", "item_type", "embedding")
-    library = cl.cluster_sizes(cl.clustered(items, "item_type", "leader", least=0.3), "item_type").select(F.col("cluster").alias("id"), "size")
-    vectors = lambda df, v: df.join(v.select("id", "embedding"), "id")
-    pairs = s.similar_pairs(vectors(topics, _message_vectors(m)), vectors(library.filter("size >= 2"), items), 0.35)
-    return cl.coverage_of_clusters(topics, library, pairs)
