@@ -197,11 +197,103 @@ def edges(spark, pairs):
     return spark.createDataFrame([(f"r{i}", a, b, "USED_WITH", 1) for i, (a, b) in enumerate(pairs)], "id string, source_entity_id string, target_entity_id string, relation_type string, occurrence_count int")
 
 
-def test_simple_paths_visit_nothing_twice(spark):
-    r = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("b", "d"), ("d", "d"), ("x", "d")])
-    got = [(p["depth"], p["path"]) for p in graph.simple_paths(r, "a", "d", 4).collect()]
-    assert got == [(2, "a > b > d"), (2, "a > c > d"), (3, "a > b > c > d")]
-    assert graph.simple_paths(r, "d", "a", 4).count() == 0
+def test_shortest_paths_visit_nothing_twice(spark):
+    r = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("c", "d"), ("b", "d"), ("d", "d"), ("x", "d"), ("a", "b")])
+    got = [(p["depth"], p["path"], p["path_relations"]) for p in graph.shortest_paths(r, "a", "d", 4).collect()]
+    assert got == [(2, "a > b > d", "r0 > r5"), (2, "a > b > d", "r8 > r5"), (2, "a > c > d", "r3 > r4"), (3, "a > b > c > d", "r0 > r1 > r4"), (3, "a > b > c > d", "r8 > r1 > r4")]
+    assert [p["path"] for p in graph.shortest_paths(r, "a", "d", 4, 1).collect()] == ["a > b > d"]
+    assert graph.shortest_paths(r, "d", "a", 4).count() == 0 and graph.shortest_paths(r, "a", "a").count() == 0 and graph.shortest_paths(r.limit(0), "a", "d").count() == 0
+
+
+def test_shortest_paths_as_a_search(spark):
+    rnd = random.Random(2)
+    pairs = sorted({(f"v{rnd.randrange(14)}", f"v{rnd.randrange(14)}") for _ in range(40)})
+    out = {}
+    for s, t in pairs:
+        out.setdefault(s, []).append(t)
+    every, todo = [], [["v0"]]
+    while todo:
+        p = todo.pop()
+        if p[-1] == "v9":
+            every.append((len(p) - 1, " > ".join(p)))
+        elif len(p) <= 5:
+            todo += [[*p, t] for t in out.get(p[-1], []) if t not in p]
+    for limit in (1, 4, 50):
+        assert [(r["depth"], r["path"]) for r in graph.shortest_paths(edges(spark, pairs), "v0", "v9", 5, limit).collect()] == sorted(every)[:limit]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_shared_pairs_in_blocks(spark, block):
+    rnd = random.Random(block)
+    rows = [(g, m) for g, n in (("big", 60), ("small", 5), ("one", 1)) for m in rnd.sample(range(80), n)] + [(None, 3), ("big", None)]
+    members = {}
+    for g, m in rows:
+        if g and m is not None:
+            members.setdefault(g, set()).add(m)
+    want = {}
+    for ms in members.values():
+        for a in ms:
+            for b in ms:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    got = {(r["a"], r["b"]): r["shared"] for r in graph.shared_pairs(spark.createDataFrame(rows, "g string, m int"), "g", "m", 1, block).collect()}
+    assert got == want
+
+
+def test_a_large_group_is_dealt_by_blocks(spark):
+    rows = spark.range(1500).select(F.lit("g").alias("g"), F.col("id").alias("m"))
+    pairs = graph.shared_pairs(rows, "g", "m", 1, 100)
+    assert pairs.count() == 1500 * 1499 // 2
+
+
+def test_chains_of_merges_end_in_one_call(spark):
+    mapping = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("w", "x"), ("q", "q"), ("m", "n"), ("m", "k")], "source_id string, target_id string")
+    got = {r["source_id"]: r["target_id"] for r in knowledge.closed_mapping(mapping).collect()}
+    assert got == {"a": "d", "b": "d", "c": "d", "y": "w", "x": "w", "m": "k"}
+    e = spark.createDataFrame([(i, i.upper(), [], 1) for i in "abcd"], "id string, canonical_name string, aliases array<string>, mention_count long")
+    mentions = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, entity_id string")
+    rows = [("r1", "a", "d", "T", "m", 1, 0.3), ("r2", "b", "d", "T", "m", 2, 0.5), ("r3", "b", "d", "T", None, 4, 0.1), ("r4", "z", "d", "T", None, 4, 0.1), ("r5", "z", "c", "T", None, 1, 0.2)]
+    r = spark.createDataFrame(rows, "id string, source_entity_id string, target_entity_id string, relation_type string, message_id string, occurrence_count long, confidence double")
+    ents, ments, rels = knowledge.merged_entities(e, mentions, r, mapping)
+    assert [(x["id"], x["mention_count"], x["aliases"]) for x in ents.collect()] == [("d", 4, ["A", "B", "C"])]
+    assert {x["entity_id"] for x in ments.collect()} == {"d"}
+    assert {(x["id"], x["source_entity_id"], x["occurrence_count"], x["confidence"]) for x in rels.collect()} == {("r1", "d", 3, 0.5), ("r3", "d", 4, 0.1), ("r4", "z", 5, 0.2)}
+
+
+def test_saved_relations_add_up(spark):
+    kind = "source_entity_id string, target_entity_id string, relation_type string, message_id string, evidence string, message_timestamp long, confidence double, seen_at long"
+    first = spark.createDataFrame([("a", "b", "T", None, "x" * 600, 5, None, 10), ("a", "b", "T", None, "later", 6, 0.4, 12), ("a", "b", "T", "m", None, 6, 0.4, 12)], kind)
+    stored = knowledge.saved_relations(knowledge.no_relations(spark), first)
+    again = knowledge.saved_relations(stored, spark.createDataFrame([("a", "b", "T", None, "new", 9, 0.9, 99)], kind))
+    got = {r["message_id"]: r for r in again.collect()}
+    assert len(got) == 2 and (got[None]["occurrence_count"], got[None]["confidence"], len(got[None]["evidence"]), got[None]["first_seen"], got[None]["last_seen"]) == (3, 0.8, 500, 10, 99)
+    assert got["m"]["evidence"] is None and got["m"]["occurrence_count"] == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_filled_budget_as_a_loop(spark, seed):
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice([None, 0, rnd.randrange(1, 40), rnd.randrange(1, 400)])) for i in range(300)]
+    budget = rnd.choice([0, 50, 700, 5000, 10**6])
+    want, left = set(), budget
+    for i, size in rows:
+        if left > 0 and (size or 0) <= left:
+            want.add(i)
+            left -= size or 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = temporal.filled_budget(spark.createDataFrame(rows, "id int, size int").repartition(5), F.col("size"), [F.col("id")], budget)
+        assert {r["id"] for r in got.collect()} == want and got.columns == ["id", "size"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dates_move_back_only(spark):
+    ms = lambda day: int(dt.datetime.fromisoformat(day + "T00:00:00+00:00").timestamp() * 1000)
+    messages = spark.createDataFrame([("m1", [1.0, 0.0], ms("2024-03-05")), ("m2", [1.0, 0.1], ms("2024-01-31")), ("m3", [-1.0, 0.0], ms("2020-01-01"))], "id string, embedding array<double>, ts_ms long")
+    items = spark.createDataFrame([("later", [1.0, 0.0], "2024-06"), ("none", [1.0, 0.0], None), ("blank", [1.0, 0.0], ""), ("earlier", [1.0, 0.0], "2023-12"), ("far", [0.0, 1.0], None), ("bare", None, "2024-06")], "id string, embedding array<double>, first_seen string")
+    got = {r["id"]: (r["first_seen"], r["corrected"]) for r in library.corrected_first_seen(items, messages).collect()}
+    assert got == {"later": ("2024-01", True), "none": ("2024-01", True), "blank": ("2024-01", True), "earlier": ("2023-12", False), "far": (None, False), "bare": ("2024-06", False)}
 
 
 def test_degrees_count_every_end(spark):

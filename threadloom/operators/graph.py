@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.operators.rounds import written
+
 
 def degrees(relations: DataFrame) -> DataFrame:
     """Entities with their edges out, in and together; self-loops count on both sides."""
@@ -44,10 +46,20 @@ def problem_solution_patterns(relations: DataFrame, entities: DataFrame, least:
     return out if limit is None else out.orderBy(F.desc("occurrences"), "problem_id", "solution_id").limit(limit)
 
 
-def shared_pairs(rows: DataFrame, group: str, member: str, least: int) -> DataFrame:
-    """Pairs (a < b) of members that occur together in at least so many groups: (a, b, shared)."""
-    seen = rows.select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
-    pairs = seen.select("g", F.col("m").alias("a")).join(seen.select("g", F.col("m").alias("b")), "g").filter("a < b")
+def shared_pairs(rows: DataFrame, group: str, member: str, least: int, block: int = 512) -> DataFrame:
+    """Pairs (a < b) of members that occur together in at least so many groups: (a, b, shared).
+
+    A group of more than ``block`` members is dealt by pairs of blocks (i <= j): each member
+    goes to as many cells as its group has blocks, and no task gets more than two blocks of
+    one group. Smaller groups are one cell.
+    """
+    seen = rows.filter(F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
+    large = seen.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = seen.join(large, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("k", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    left = dealt.select("g", F.col("m").alias("x"), F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select("g", F.col("m").alias("y"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
+    pairs = left.join(right, ["g", "i", "j"]).filter("i < j or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
 
@@ -67,40 +79,60 @@ def missing_links(mentions: DataFrame, relations: DataFrame, entities: DataFrame
     return out.orderBy(F.desc("shared"), "a", "b").limit(limit)
 
 
-def neighbour_clusters(relations: DataFrame, least: int = 2, limit: int = 50) -> DataFrame:
-    """Pairs of entities that point at enough common targets, and how strongly."""
-    out = shared_pairs(relations, "target_entity_id", "source_entity_id", least)
-    return out.withColumn("strength", F.least(F.col("shared") / 10, F.lit(1.0))).orderBy(F.desc("shared"), "a", "b").limit(limit)
+def neighbour_clusters(relations: DataFrame, entities: DataFrame, least: int = 2, limit: int = 20) -> DataFrame:
+    """Pairs of entities that point at enough common targets, with their names, and how strongly."""
+    out = shared_pairs(relations, "target_entity_id", "source_entity_id", least).withColumn("strength", F.least(F.col("shared") / 10, F.lit(1.0))).orderBy(F.desc("shared"), "a", "b").limit(limit)
+    name = lambda c: entities.select(F.col("id").alias(c), F.col("canonical_name").alias(f"{c}_name"))
+    return out.join(name("a"), "a", "left").join(name("b"), "b", "left")
 
 
-def simple_paths(relations: DataFrame, source: str, target: str, max_depth: int = 4, limit: int = 10) -> DataFrame:
-    """The shortest directed paths between two entities that visit none twice, ties by the path itself.
+def shortest_paths(relations: DataFrame, source: str, target: str, max_depth: int = 5, limit: int = 10) -> DataFrame:
+    """The shortest directed paths between two entities that visit none twice: (depth, path, path_relations, path_relation_types).
 
-    Each step joins the paths so far with the edges; only edges on which the target can
-    still be reached in the steps left are followed, so the frontier stays on the way.
+    Paths that differ in an edge only are different paths. Ties go by the path, its types and
+    its edges. The edges are written once. Rings of entities around the target, each with its
+    least distance, grow until they meet the source; paths then start from the source and
+    follow only edges on which the target can still be reached in the steps left. The bound
+    on the depth grows only while there are fewer paths than asked for, so that longer ones
+    are never expanded in vain.
     """
-    edges = relations.filter("source_entity_id <> target_entity_id").select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t")).distinct()
-    reach = relations.sparkSession.range(1).select(F.lit(target).alias("v"), F.lit(0).alias("d"))
-    ring = reach
-    for d in range(1, max_depth):
-        ring = edges.join(ring.select(F.col("v").alias("t")), "t", "left_semi").select(F.col("s").alias("v")).distinct().withColumn("d", F.lit(d))
-        reach = reach.unionAll(ring)
-    near = reach.groupBy("v").agg(F.min("d").alias("d"))
-    paths = relations.sparkSession.range(1).select(F.lit(source).alias("at"), F.array(F.lit(source)).alias("path"))
+    spark = relations.sparkSession
+    edges = written(relations.filter("source_entity_id <> target_entity_id").select(F.col("source_entity_id").alias("s"), F.col("target_entity_id").alias("t"), F.col("id").alias("edge"), "relation_type"))
+    ring = near = spark.range(1).select(F.lit(target).alias("v"), F.lit(0).alias("d"))
+    found, met = None, False
+    for depth in range(1, max_depth + 1 if source != target else 1):
+        ring = edges.join(ring.select(F.col("v").alias("t")), "t", "left_semi").select(F.col("s").alias("v")).distinct().join(near, "v", "left_anti")
+        ring = written(ring.withColumn("d", F.lit(depth)))
+        near = near.union(ring)
+        met = met or not ring.filter(F.col("v") == source).isEmpty()
+        if met:
+            found = written(_paths_within(edges, near, source, target, depth).orderBy("depth", "path", "path_relation_types", "path_relations").limit(limit))
+            if found.count() >= limit:
+                break
+        elif ring.isEmpty():
+            break
+    if found is None:
+        return spark.createDataFrame([], "depth int, path string, path_relations string, path_relation_types string")
+    return found
+
+
+def _paths_within(edges: DataFrame, near: DataFrame, source: str, target: str, depth: int) -> DataFrame:
+    none = F.array().cast("array<string>")
+    paths = edges.sparkSession.range(1).select(F.lit(source).alias("at"), F.array(F.lit(source)).alias("path"), none.alias("edges"), none.alias("types"))
     found = None
-    for step in range(1, max_depth + 1):
-        paths = paths.join(edges.withColumnRenamed("s", "at"), "at").filter(~F.array_contains("path", F.col("t")))
-        paths = paths.join(near.filter(F.col("d") <= max_depth - step).select(F.col("v").alias("t")), "t", "left_semi").select(F.col("t").alias("at"), F.array_append("path", F.col("t")).alias("path"))
-        done = paths.filter(F.col("at") == target).select(F.lit(step).alias("depth"), "path")
-        found = done if found is None else found.unionAll(done)
+    for step in range(1, depth + 1):
+        able = near.filter(F.col("d") <= depth - step).select(F.col("v").alias("t"))
+        paths = paths.join(edges.withColumnRenamed("s", "at"), "at").join(able, "t", "left_semi").filter(~F.array_contains("path", F.col("t")))
+        paths = paths.select(F.col("t").alias("at"), F.array_append("path", F.col("t")).alias("path"), F.array_append("edges", F.col("edge")).alias("edges"), F.array_append("types", F.col("relation_type")).alias("types"))
+        done = paths.filter(F.col("at") == target).select(F.lit(step).alias("depth"), F.array_join("path", " > ").alias("path"), F.array_join("edges", " > ").alias("path_relations"), F.array_join("types", " > ").alias("path_relation_types"))
+        found = done if found is None else found.union(done)
         paths = paths.filter(F.col("at") != target)
-    joined = found.select("depth", F.array_join("path", " > ").alias("path"))
-    return joined.orderBy("depth", "path").limit(limit)
+    return found
 
 
 def named_path(paths: DataFrame, entities: DataFrame) -> DataFrame:
     """Paths with their entities' names in order."""
-    steps = paths.select("depth", "path", F.posexplode(F.split("path", " > ")).alias("at", "id"))
+    steps = paths.select("depth", "path").distinct().select("depth", "path", F.posexplode(F.split("path", " > ")).alias("at", "id"))
     named = steps.join(entities.select("id", "canonical_name"), "id", "left")
     return named.groupBy("depth", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("canonical_name", F.lit("Unknown")).alias("x")))), lambda x: x["x"]), " > ").alias("names"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import expert_slug
+from threadloom.operators.rounds import components, written
 
 
 def graph_stats(entities: DataFrame, mentions: DataFrame, relations: DataFrame) -> DataFrame:
@@ -94,12 +95,34 @@ def with_breakdown(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return out.withColumn("source_type", kind)
 
 
+def closed_mapping(mapping: DataFrame) -> DataFrame:
+    """A (source_id, target_id) mapping with every source sent to the end of its chain.
+
+    Pointers are doubled until none moves, so rounds are logarithmic in the longest chain.
+    A source given several targets takes the least; sources whose chain runs into a ring are
+    all sent to the least id that the ring's entries name.
+    """
+    given = written(mapping.filter("source_id <> target_id").groupBy("source_id").agg(F.min("target_id").alias("target_id")))
+    ends = given.select(F.col("target_id").alias("id")).join(given.select(F.col("source_id").alias("id")), "id", "left_anti")
+    parts = written(components(given.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))))
+    ringed = written(parts.join(parts.join(ends, "id", "left_semi").select("component").distinct(), "component", "left_anti"))
+    now = given.join(ringed.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    moving = True
+    while moving:
+        two = now.alias("x").join(now.alias("y"), F.expr("x.target_id = y.source_id"), "left")
+        step = written(two.select("x.source_id", F.coalesce("y.target_id", "x.target_id").alias("target_id"), F.col("y.target_id").isNotNull().alias("moved")))
+        now, moving = step.select("source_id", "target_id"), not step.filter("moved").isEmpty()
+    return now.union(ringed.filter("id <> component").select("id", "component"))
+
+
 def merged_entities(entities: DataFrame, mentions: DataFrame, relations: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The three tables after entities are merged by a (source_id, target_id) mapping.
+    """The three tables after entities are merged by a (source_id, target_id) mapping; chains end in one call.
 
     Targets take the sources' aliases and names and their mention counts; mentions and both
-    ends of relations are moved; sources go.
+    ends of relations are moved, and relations that then agree in ends, type and message
+    become one: the least id, with all occurrences and the greatest confidence. Sources go.
     """
+    mapping = written(closed_mapping(mapping))
     to = lambda c: mapping.select(F.col("source_id").alias(c), F.col("target_id").alias(f"_{c}"))
     moved = lambda df, c: df.join(to(c), c, "left").withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
     given = entities.join(mapping.withColumnRenamed("source_id", "id"), "id").groupBy("target_id").agg(
@@ -107,7 +130,59 @@ def merged_entities(entities: DataFrame, mentions: DataFrame, relations: DataFra
     )
     rest = entities.join(mapping.select(F.col("source_id").alias("id")), "id", "left_anti").join(given.withColumnRenamed("target_id", "id"), "id", "left")
     rest = rest.withColumns({"mention_count": F.col("mention_count") + F.coalesce("_more", F.lit(0)), "aliases": F.array_sort(F.array_union("aliases", F.coalesce("_names", F.array().cast("array<string>"))))}).drop("_more", "_names")
-    return rest, moved(mentions, "entity_id"), moved(moved(relations, "source_entity_id"), "target_entity_id")
+    ends = moved(moved(relations, "source_entity_id"), "target_entity_id")
+    key = ["source_entity_id", "target_entity_id", "relation_type", "message_id"]
+    summed = {"occurrence_count": F.sum("occurrence_count"), "confidence": F.max("confidence")}
+    others = [c for c in relations.columns if c not in key and c not in summed]
+    folded = ends.groupBy(*key).agg(F.min_by(F.struct(*others), "id").alias("_first"), *[f.alias(c) for c, f in summed.items()])
+    return rest, moved(mentions, "entity_id"), folded.select(*[F.col(f"_first.{c}") if c in others else F.col(c) for c in relations.columns])
+
+
+def no_relations(spark: SparkSession) -> DataFrame:
+    """An empty table of saved relations."""
+    return spark.createDataFrame([], "id string, source_entity_id string, target_entity_id string, relation_type string, message_id string, evidence string, message_timestamp long, confidence double, occurrence_count long, first_seen long, last_seen long")
+
+
+def no_mentions(spark: SparkSession) -> DataFrame:
+    """An empty table of saved mentions."""
+    return spark.createDataFrame([], "id string, entity_id string, message_id string, context string, message_timestamp long")
+
+
+RELATION_KEY = ["source_entity_id", "target_entity_id", "relation_type", "message_id"]
+
+
+def saved_relations(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """Stored relations with newly seen ones merged in by ends, type and message, null messages being equal.
+
+    ``seen``: the key's columns, evidence, message_timestamp, confidence, seen_at. Each row
+    adds one occurrence; a known relation keeps what it was first saved with and takes the
+    latest ``seen_at`` as last_seen; a new one takes evidence (500 characters), timestamp and
+    confidence (0.8 if none) of the row seen first, and its id from its key. One grouping of
+    both tables on the key, so that no relation is looked up by itself.
+    """
+    first = F.struct("seen_at", "evidence", "message_timestamp", "confidence")
+    stamp = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in RELATION_KEY])
+    new = seen.groupBy(*RELATION_KEY).agg(F.min(first).alias("f"), F.count("*").alias("occurrence_count"), F.max("seen_at").alias("last_seen"))
+    new = new.select(
+        F.concat(F.lit("r-"), F.substring(F.sha2(stamp, 256), 1, 16)).alias("id"), *RELATION_KEY, F.substring("f.evidence", 1, 500).alias("evidence"), "f.message_timestamp",
+        F.coalesce("f.confidence", F.lit(0.8)).alias("confidence"), "occurrence_count", F.col("f.seen_at").alias("first_seen"), "last_seen", F.lit(1).alias("_new"),
+    )
+    both = stored.select(*new.columns[:-1], F.lit(0).alias("_new")).unionByName(new)
+    rest = [c for c in new.columns if c not in (*RELATION_KEY, "_new", "occurrence_count", "last_seen")]
+    out = both.groupBy(*RELATION_KEY).agg(F.min_by(F.struct(*rest), "_new").alias("_kept"), F.sum("occurrence_count").alias("occurrence_count"), F.max("last_seen").alias("last_seen"))
+    return out.select(*[F.col(f"_kept.{c}") if c in rest else F.col(c) for c in new.columns[:-1]])
+
+
+def saved_mentions(stored: DataFrame, seen: DataFrame) -> DataFrame:
+    """Stored mentions and newly seen ones (entity_id, message_id, context, message_timestamp), one an entity and message.
+
+    Messages that hold a stored mention have been read before and add nothing; contexts are cut at 500 characters.
+    """
+    fresh = seen.join(stored.select("message_id").distinct(), "message_id", "left_anti")
+    one = fresh.groupBy("entity_id", "message_id").agg(F.min(F.struct("message_timestamp", "context")).alias("f"))
+    key = F.concat_ws("|", "entity_id", "message_id")
+    new = one.select(F.concat(F.lit("m-"), F.substring(F.sha2(key, 256), 1, 16)).alias("id"), "entity_id", "message_id", F.substring("f.context", 1, 500).alias("context"), "f.message_timestamp")
+    return stored.select(*new.columns).unionByName(new)
 
 
 def resolved_entities(names: DataFrame, entities: DataFrame) -> DataFrame:

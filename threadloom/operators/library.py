@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.dates import month_first, month_last
+from threadloom.operators.similarity import best_per, similar_pairs
 
 
 def counts_by(items: DataFrame, columns: list[str]) -> DataFrame:
@@ -146,3 +147,18 @@ def word_shifts(items: DataFrame, words: Column, recent: Column, older: Column,
     shift = F.when((F.col("older") >= high) & (F.col("recent") <= low), "declining").when((F.col("recent") >= high) & (F.col("older") <= low), "emerging")
     found = counted.withColumn("shift", shift).filter("shift is not null").join(F.broadcast(enough), how="left_semi")
     return found.orderBy("shift", F.desc(F.greatest("recent", "older")), "word").limit(limit)
+
+
+def corrected_first_seen(items: DataFrame, messages: DataFrame, least: float = 0.45, k: int = 20) -> DataFrame:
+    """Items with ``first_seen`` (YYYY-MM) moved back to the month of the earliest of their k most similar messages.
+
+    items: id, embedding, first_seen; messages: id, embedding, ts_ms. Only messages that
+    reach ``least`` count. A missing date is set, a later one replaced, an earlier one kept;
+    ``corrected`` says whether it changed. Items without an embedding or a match stay.
+    """
+    best = best_per(similar_pairs(items, messages, least, k=k), "left_id", k, "right_id")
+    dated = best.join(messages.select(F.col("id").alias("right_id"), "ts_ms"), "right_id")
+    month = dated.groupBy(F.col("left_id").alias("id")).agg(F.date_format(F.timestamp_millis(F.min("ts_ms")), "yyyy-MM").alias("_month"))
+    earlier = F.col("_month").isNotNull() & (F.coalesce("first_seen", F.lit("")) == "") | (F.col("_month") < F.col("first_seen"))
+    out = items.join(month, "id", "left").withColumn("corrected", F.coalesce(earlier, F.lit(False)))
+    return out.withColumn("first_seen", F.when(F.col("corrected"), F.col("_month")).otherwise(F.col("first_seen"))).drop("_month")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.dates import day_of, iso_week_label, month_first, period_label, period_start
+from threadloom.operators.rounds import written
 
 
 def density_by_week(messages: DataFrame) -> DataFrame:
@@ -155,3 +159,47 @@ def active_periods(events: DataFrame, user: str, ts: str, gap_minutes: int) -> D
     starts = F.when(F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w)) <= gap_minutes * 60_000_000, 0).otherwise(1)
     numbered = events.withColumn("_new", starts).withColumn("session", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(user, "session").agg(F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count("*").alias("events"))
+
+
+def _folded(left: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Keeps the rows that a budget admits; ``left``: what is left of it when each stretch begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[int, int] = dict(left)
+        for b in batches:
+            kept, rest = [], []
+            for stretch, size in zip(b.column("_stretch").to_pylist(), b.column("_size").to_pylist(), strict=True):
+                fits = now[stretch] > 0 and size <= now[stretch]
+                now[stretch] -= size if fits else 0
+                kept.append(fits)
+                rest.append(now[stretch])
+            out = b.append_column("_left", pa.array(rest, pa.int64())) if "_left" not in b.schema.names else b
+            yield out.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def filled_budget(rows: DataFrame, size: Column, order: list[Column], budget: int) -> DataFrame:
+    """Rows in order that fit in what is left of a budget when they are reached; those that don't are passed over.
+
+    The order must tell all rows apart; null and negative sizes count as 0, and nothing is
+    taken once the budget is used up. Rows are sorted by ranges into stretches, one a task.
+    The driver reads each stretch's sum and least size: a stretch is taken whole if its sum
+    fits, and left out if its least size doesn't; only the others are folded row by row, one
+    at a time, each handing on what it leaves. At the end all admitted stretches are
+    folded once more, side by side, as it is known with how much each begins.
+    """
+    own = rows.withColumn("_size", F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)))
+    own = written(own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_stretch", F.spark_partition_id()))
+    stretches = own.groupBy("_stretch").agg(F.sum("_size").alias("all"), F.min("_size").alias("least")).orderBy("_stretch").collect()
+    left, begin = budget, {}
+    for s in stretches:
+        if left > 0 and s["least"] <= left:
+            begin[s["_stretch"]] = left
+            if s["all"] <= left:
+                left -= s["all"]
+            else:
+                one = own.filter(F.col("_stretch") == s["_stretch"]).select("_stretch", "_size")
+                left = one.mapInArrow(_folded({s["_stretch"]: left}), "_stretch int, _size long, _left long").agg(F.min("_left")).first()[0]
+    own = own.filter(F.col("_stretch").isin(*begin)).withColumn("_left", F.lit(None).cast("long")) if begin else own.limit(0).withColumn("_left", F.lit(None).cast("long"))
+    return own.mapInArrow(_folded(begin), own.schema).drop("_size", "_stretch", "_left")

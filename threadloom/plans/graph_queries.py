@@ -57,33 +57,39 @@ def missing_links(spark, sf):
     return g.missing_links(m.mentions(), m.relations(), m.entities(), 2, 500)
 
 
-@query("entity_clusters", over("relations", """
-SELECT x.source_entity_id AS a, y.source_entity_id AS b, count(DISTINCT x.target_entity_id) AS shared, least(count(DISTINCT x.target_entity_id) / 10, 1.0)::DOUBLE AS strength
+@query("entity_clusters", over("relations entities", """
+, c AS (SELECT x.source_entity_id AS a, y.source_entity_id AS b, count(DISTINCT x.target_entity_id) AS shared, least(count(DISTINCT x.target_entity_id) / 10, 1.0)::DOUBLE AS strength
 FROM relations x JOIN relations y ON x.target_entity_id = y.target_entity_id AND x.source_entity_id < y.source_entity_id GROUP BY 1, 2 HAVING count(DISTINCT x.target_entity_id) >= 2
-ORDER BY shared DESC, a, b LIMIT 200"""))
+ORDER BY shared DESC, a, b LIMIT 200)
+SELECT c.*, x.canonical_name AS a_name, y.canonical_name AS b_name FROM c LEFT JOIN entities x ON x.id = a LEFT JOIN entities y ON y.id = b"""))
 def entity_clusters(spark, sf):
-    return g.neighbour_clusters(Model(spark, sf).relations(), 2, 200)
+    m = Model(spark, sf)
+    return g.neighbour_clusters(m.relations(), m.table("part").select(F.concat(F.lit("e-"), "p_partkey").alias("id"), F.col("p_name").alias("canonical_name")), 2, 200)
 
 
 _PATHS = """
-, p(node, path, depth) AS (
-  SELECT 'e-60', ['e-60'], 0 UNION ALL
-  SELECT target_entity_id, list_append(path, target_entity_id), depth + 1 FROM p JOIN relations ON source_entity_id = node
-  WHERE depth < 4 AND node <> 'e-22' AND NOT list_contains(path, target_entity_id)),
-paths AS (SELECT DISTINCT depth, array_to_string(path, ' > ') AS path FROM p WHERE node = 'e-22' ORDER BY depth, path LIMIT 10)
+, edges AS MATERIALIZED (SELECT source_entity_id AS s, target_entity_id AS t, id, relation_type FROM relations),
+away(v, d) AS (SELECT 'e-22', 0 UNION SELECT s, d + 1 FROM away JOIN edges ON t = v WHERE d < 4),
+near AS MATERIALIZED (SELECT v, min(d) AS d FROM away GROUP BY 1),
+p(node, path, ids, types, depth) AS (
+  SELECT 'e-60', ['e-60'], []::VARCHAR[], []::VARCHAR[], 0 UNION ALL
+  SELECT t, list_append(path, t), list_append(ids, id), list_append(types, relation_type), depth + 1 FROM p JOIN edges ON s = node JOIN near ON v = t
+  WHERE depth + d < 5 AND node <> 'e-22' AND NOT list_contains(path, t)),
+paths AS (SELECT depth, array_to_string(path, ' > ') AS path, array_to_string(ids, ' > ') AS path_relations, array_to_string(types, ' > ') AS path_relation_types
+  FROM p WHERE node = 'e-22' ORDER BY depth, path, path_relation_types, path_relations LIMIT 10)
 """
 
 
 @query("entity_paths", over("relations", _PATHS + "SELECT * FROM paths"))
 def entity_paths(spark, sf):
-    return g.simple_paths(Model(spark, sf).relations(), "e-60", "e-22", 4, 10)
+    return g.shortest_paths(Model(spark, sf).relations(), "e-60", "e-22", 5, 10)
 
 
-@query("entity_paths_named", over("relations entities", _PATHS + """, s AS (SELECT depth, path, unnest(string_split(path, ' > ')) AS id, generate_subscripts(string_split(path, ' > '), 1) AS k FROM paths)
+@query("entity_paths_named", over("relations entities", _PATHS + """, s AS (SELECT depth, path, unnest(string_split(path, ' > ')) AS id, generate_subscripts(string_split(path, ' > '), 1) AS k FROM (SELECT DISTINCT depth, path FROM paths))
 SELECT depth, path, string_agg(coalesce(canonical_name, 'Unknown'), ' > ' ORDER BY k) AS names FROM s LEFT JOIN entities USING (id) GROUP BY 1, 2"""))
 def entity_paths_named(spark, sf):
     m = Model(spark, sf)
-    return g.named_path(g.simple_paths(m.relations(), "e-60", "e-22", 4, 10), m.entities())
+    return g.named_path(g.shortest_paths(m.relations(), "e-60", "e-22", 5, 10), m.entities())
 
 
 _AROUND = """

@@ -109,11 +109,20 @@ def breakdown(spark, sf):
     return k.with_breakdown(m.entities(), m.mentions())
 
 
-_MAP = ", map AS (SELECT id AS source_id, 'e-' || (n - 5) AS target_id FROM entities WHERE n % 10 = 9)"
+#: Every tenth entity goes into the fifth before it; some of these go on to the second after them, some point back.
+_MAP = """, given AS (SELECT id AS source_id, 'e-' || (n - 5) AS target_id FROM entities WHERE n % 10 = 9 UNION ALL SELECT id, 'e-' || (n + CASE n % 40 WHEN 4 THEN 2 ELSE 5 END) FROM entities WHERE n % 20 = 4 AND n + 5 < (SELECT max(n) FROM entities)),
+walk(source_id, here, far) AS (SELECT source_id, target_id, 1 FROM given WHERE source_id NOT IN (SELECT a.source_id FROM given a JOIN given b ON a.source_id = b.target_id AND a.target_id = b.source_id)
+  UNION ALL SELECT w.source_id, g.target_id, far + 1 FROM walk w JOIN given g ON g.source_id = w.here),
+map AS (SELECT source_id, arg_max(here, far) AS target_id FROM walk GROUP BY 1
+  UNION ALL SELECT greatest(a.source_id, b.source_id), least(a.source_id, b.source_id) FROM given a JOIN given b ON a.source_id = b.target_id AND a.target_id = b.source_id WHERE a.source_id < b.source_id)"""
 
 
 def _mapping(m: Model):
-    return m.entities().filter("n % 10 = 9").select(F.col("id").alias("source_id"), F.concat(F.lit("e-"), F.col("n") - 5).alias("target_id"))
+    e = m.table("part").select(F.col("p_partkey").alias("n"))
+    name = lambda n: F.concat(F.lit("e-"), n)
+    down = e.filter("n % 10 = 9").select(name("n").alias("source_id"), name(F.col("n") - 5).alias("target_id"))
+    up = e.crossJoin(F.broadcast(e.agg(F.max("n").alias("top")))).filter("n % 20 = 4 and n + 5 < top")
+    return down.union(up.select(name("n").alias("source_id"), name(F.col("n") + F.expr("if(n % 40 = 4, 2, 5)")).alias("target_id")))
 
 
 @query("merged_entities", over("entities", _MAP + """
@@ -127,11 +136,51 @@ def merged_entities(spark, sf):
 
 
 @query("merged_entity_edges", over("entities relations", _MAP + """
-SELECT r.id, coalesce(a.target_id, source_entity_id) AS source_entity_id, coalesce(b.target_id, target_entity_id) AS target_entity_id
-FROM relations r LEFT JOIN map a ON a.source_id = source_entity_id LEFT JOIN map b ON b.source_id = target_entity_id"""))
+SELECT min(r.id) AS id, coalesce(a.target_id, source_entity_id) AS source_entity_id, coalesce(b.target_id, target_entity_id) AS target_entity_id, relation_type, sum(occurrence_count)::BIGINT AS occurrence_count, max(confidence) AS confidence
+FROM relations r LEFT JOIN map a ON a.source_id = source_entity_id LEFT JOIN map b ON b.source_id = target_entity_id GROUP BY 2, 3, 4, message_id"""))
 def merged_edges(spark, sf):
     m = Model(spark, sf)
-    return k.merged_entities(m.entities(), m.mentions(), m.relations(), _mapping(m))[2].select("id", "source_entity_id", "target_entity_id")
+    moved = k.merged_entities(m.entities(), m.mentions(), m.relations(), _mapping(m))[2]
+    return moved.select("id", "source_entity_id", "target_entity_id", "relation_type", "occurrence_count", "confidence")
+
+
+_SEEN = """
+, seen AS (SELECT a.entity_id AS source_entity_id, b.entity_id AS target_entity_id, CASE WHEN a.ts_ms % 2 = 0 THEN 'USED_WITH' ELSE 'SOLVES' END AS relation_type, CASE WHEN a.ts_ms % 5 <> 0 THEN a.message_id END AS message_id,
+  repeat(a.id || ' ', 40) AS evidence, a.ts_ms AS message_timestamp, CASE WHEN a.ts_ms % 3 = 0 THEN 0.6::DOUBLE END AS confidence, a.ts_ms + 1 AS seen_at
+  FROM mentions a JOIN mentions b ON a.message_id = b.message_id AND a.ts_ms < b.ts_ms),
+r AS (SELECT 'r-' || sha256(source_entity_id || '|' || target_entity_id || '|' || relation_type || '|' || coalesce(message_id, ''))[1:16] AS id, *,
+  row_number() OVER (PARTITION BY source_entity_id, target_entity_id, relation_type, message_id ORDER BY half, seen_at, evidence, message_timestamp, confidence NULLS FIRST) AS place,
+  count(*) OVER (PARTITION BY source_entity_id, target_entity_id, relation_type, message_id) AS occurrence_count, max(seen_at) OVER (PARTITION BY source_entity_id, target_entity_id, relation_type, message_id) AS last_seen
+  FROM (SELECT *, (message_timestamp // 86400000) % 2 AS half FROM seen))"""
+
+
+@query("saved_relations", over("mentions", _SEEN + """
+SELECT id, source_entity_id, target_entity_id, relation_type, message_id, evidence[1:500] AS evidence, message_timestamp, coalesce(confidence, 0.8) AS confidence, occurrence_count, seen_at AS first_seen, last_seen FROM r WHERE place = 1"""))
+def saved_relations(spark, sf):
+    """Relations of one half of the days saved into an empty table, then those of the other half into that."""
+    m = Model(spark, sf)
+    a, b = m.mentions().alias("a"), m.mentions().alias("b")
+    met = a.join(b, F.expr("a.message_id = b.message_id and a.ts_ms < b.ts_ms"))
+    seen = met.select(
+        F.col("a.entity_id").alias("source_entity_id"), F.col("b.entity_id").alias("target_entity_id"), F.expr("if(a.ts_ms % 2 = 0, 'USED_WITH', 'SOLVES')").alias("relation_type"),
+        F.expr("if(a.ts_ms % 5 <> 0, a.message_id, null)").alias("message_id"), F.expr("repeat(concat(a.id, ' '), 40)").alias("evidence"), F.col("a.ts_ms").alias("message_timestamp"),
+        F.expr("if(a.ts_ms % 3 = 0, 0.6D, null)").alias("confidence"), (F.col("a.ts_ms") + 1).alias("seen_at"),
+    )
+    half = F.floor(F.col("message_timestamp") / 86400000) % 2
+    empty = k.saved_relations(k.no_relations(spark), seen.filter(half == 0))
+    return k.saved_relations(empty, seen.filter(half == 1))
+
+
+@query("saved_mentions", over("mentions", """
+, seen AS (SELECT entity_id, message_id, repeat(id || ' ', 60) AS context, ts_ms AS message_timestamp, (ts_ms // 86400000) % 2 AS half FROM mentions),
+one AS (SELECT *, row_number() OVER (PARTITION BY entity_id, message_id, half ORDER BY message_timestamp, context) AS place FROM seen)
+SELECT 'm-' || sha256(entity_id || '|' || message_id)[1:16] AS id, entity_id, message_id, context[1:500] AS context, message_timestamp FROM one
+WHERE place = 1 AND (half = 0 OR message_id NOT IN (SELECT message_id FROM seen WHERE half = 0))"""))
+def saved_mentions(spark, sf):
+    """Mentions of one half of the days saved first; the other half adds those of messages not read yet."""
+    seen = Model(spark, sf).mentions().select("entity_id", "message_id", F.expr("repeat(concat(id, ' '), 60)").alias("context"), F.col("ts_ms").alias("message_timestamp"))
+    half = F.floor(F.col("message_timestamp") / 86400000) % 2
+    return k.saved_mentions(k.saved_mentions(k.no_mentions(spark), seen.filter(half == 0)), seen.filter(half == 1))
 
 
 @query("resolved_entities", over("entities", """

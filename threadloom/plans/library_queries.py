@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import title_words
 from threadloom.operators import library as lib
-from threadloom.plans.model import Model, over
+from threadloom.plans.model import Model, cosine_sql, over
 from threadloom.registry import query
 
 _CARD = ["id", "title", "item_type", "status", "occurrence", "last_seen"]
@@ -119,3 +119,16 @@ ORDER BY shift, greatest(recent, older) DESC, word LIMIT 5"""))
 def temporal_shifts(spark, sf):
     seen = F.coalesce("last_seen", "first_seen")
     return lib.word_shifts(_items(spark, sf), title_words(F.col("title")), seen >= "2025-01", (seen >= "2024-06") & (seen < "2025-01"))
+
+
+@query("corrected_first_seen", over("embedded_items embedded_messages", f"""
+, i AS (SELECT id, embedding, CASE WHEN n % 13 <> 0 THEN first_seen END AS first_seen FROM embedded_items), m AS (SELECT message_id AS id, embedding, ts_ms FROM embedded_messages WHERE embedding IS NOT NULL),
+p AS (SELECT i.id, ts_ms, row_number() OVER (PARTITION BY i.id ORDER BY round({cosine_sql('i.embedding', 'm.embedding')}, 6) DESC, m.id) AS r FROM i, m WHERE round({cosine_sql('i.embedding', 'm.embedding')}, 6) >= 0.3),
+e AS (SELECT id, strftime(make_timestamp(min(ts_ms) * 1000), '%Y-%m') AS month FROM p WHERE r <= 20 GROUP BY 1)
+SELECT id, CASE WHEN coalesce(month < first_seen, month IS NOT NULL) THEN month ELSE first_seen END AS first_seen, coalesce(month < first_seen, month IS NOT NULL) AS corrected FROM i LEFT JOIN e USING (id)"""))
+def corrected_first_seen(spark, sf):
+    """All items, every thirteenth without a date, against all messages."""
+    m = Model(spark, sf)
+    items = m.embedded_items().select("id", "embedding", F.expr("if(n % 13 <> 0, first_seen, null)").alias("first_seen"))
+    messages = m.embedded_messages().select(F.col("message_id").alias("id"), "embedding", "ts_ms")
+    return lib.corrected_first_seen(items, messages, 0.3).select("id", "first_seen", "corrected")

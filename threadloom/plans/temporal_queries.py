@@ -141,6 +141,17 @@ def size_budget(spark, sf):
     return t.newest_within_budget(Model(spark, sf).messages(), F.length("text"), [F.desc("ts_ms"), F.col("message_id")], 20000, ["workspace"]).select("message_id", "workspace", "running_size")
 
 
+@query("filled_size_budget", over("messages", """
+, i AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts_ms DESC, message_id) AS i, message_id, length(text) AS size FROM messages),
+step(i, used, took) AS (SELECT 0::BIGINT, 0::BIGINT, FALSE UNION ALL
+  SELECT i.i, CASE WHEN used < 30000 AND used + size <= 30000 THEN used + size ELSE used END, used < 30000 AND used + size <= 30000 FROM step JOIN i ON i.i = step.i + 1)
+SELECT message_id, size FROM step JOIN i USING (i) WHERE took"""))
+def filled_budget(spark, sf):
+    """The newest messages that fit in 30,000 characters, larger ones passed over."""
+    m = Model(spark, sf).messages()
+    return t.filled_budget(m, F.length("text"), [F.desc("ts_ms"), F.col("message_id")], 30000).select("message_id", F.length("text").alias("size"))
+
+
 @query("activity_sessions", """
 WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 3600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 n AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING)::BIGINT AS session FROM g)
