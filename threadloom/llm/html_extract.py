@@ -77,6 +77,11 @@ class Element(NamedTuple):
 _PAGE = Element("", 0, False, False, False)
 
 
+_COMMENT_END = re.compile(r"--!?\s*>")
+#: The words that may begin a marked section.
+_SECTION = re.compile(r"<!\[\s*(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.IGNORECASE)
+
+
 class PageLines(HTMLParser):
     """Collects ``lines`` and, for each container, the one around it (``outer``; the page itself is 0)."""
 
@@ -91,6 +96,32 @@ class PageLines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
+    def goahead(self, end: bool) -> None:
+        """Notes where the last tag and the last comment can end, so that what is never closed isn't searched to the page's end each time."""
+        self.last_end = self.rawdata.rfind(">")
+        self.last_comment_end = max((m.start() for m in _COMMENT_END.finditer(self.rawdata)), default=-1)
+        super().goahead(end)
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if i < self.last_end else -1
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if i < self.last_end else -1
+
+    def parse_pi(self, i: int) -> int:
+        return super().parse_pi(i) if i < self.last_end else -1
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return super().parse_comment(i, report) if i < self.last_comment_end else -1
+
+    def parse_html_declaration(self, i: int) -> int:
+        return super().parse_html_declaration(i) if i < self.last_end else -1
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        """Sections that the standard parser doesn't know are comments up to the next end of a tag, as browsers read them."""
+        known = _SECTION.match(self.rawdata, i)
+        return super().parse_marked_section(i, report) if known else self.parse_bogus_comment(i, report)
+
     def end_line(self) -> None:
         text = _WHITE.sub(" ", "".join(self.parts)).strip()
         if text:

@@ -41,6 +41,7 @@ class LibraryChunks(Chunks):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.normalizer = None  # pieces come composed and in lower case; marks would be reordered a second time
         suffix = self.library.model.end_of_word_suffix
         self.special = Specials([{"content": t.content, "id": i} for i, t in self.library.get_added_tokens_decoder().items()])
         self.ends = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a piece
