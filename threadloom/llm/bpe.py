@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.normalizers import NFC
 
 from threadloom.llm.common import sliced
 
@@ -320,10 +321,13 @@ class Chunks(dict):
         return [b"".join([self[c] if ids is None else ids for c, ids in zip(parts, own, strict=True)] if None in own else own) for parts, own in zip(texts, known, strict=True)]
 
 
+_NFC = NFC()
+
+
 def _plain(text: str) -> str:
     """Composed normal form in lower case, letter by letter (no final sigma)."""
     if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
+        text = _NFC.normalize_str(text)  # the library's, whose Unicode version knows fewer marks than Python's
     return text.replace("Σ", "σ").lower()
 
 
