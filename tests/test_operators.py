@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import random
+import sqlite3
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import dates, text, vectors
 from threadloom.operators import cluster, graph, knowledge, library, rounds, similarity, temporal
 from threadloom.sources import documents as docs
-from threadloom.sources import logs
+from threadloom.sources import keyvalue, logs
 
 
 def one(spark, column, **values):
@@ -435,3 +437,60 @@ def test_chunk_packer_matches_registered_query(spark, sf):
     got = QUERIES["packed_document_chunks"](spark, sf).toPandas()
     words = pd.DataFrame([(r["doc_id"], len(r["text"].split())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], columns=["doc_id", "n"])
     assert (got.groupby("doc_id")["words"].sum() == words.set_index("doc_id")["n"]).all()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_harmonised_bank_as_a_loop(spark, seed):
+    rnd = random.Random(seed)
+    bank = [{"content": f"b{i}", "occurrence_count": rnd.choice([None, 1, 4]), "last_updated": 0, "solved": rnd.choice([None, "s"]), "posted": None} for i in range(5)]
+    changes = [(f"h{k}", k // 7, k % 7, rnd.choice(["new", "update", "update", "odd"]), rnd.choice([None, *range(-1, 12)]), f"c{k}", k, rnd.choice([None, None, f"s{k}"]), rnd.choice([None, f"p{k}"])) for k in range(30)]
+    done = {"h3", "h12"}
+    want = [dict(e) for e in bank]
+    for h, _, _, action, i, content, at, solved, posted in changes:
+        new = {"content": content, "last_updated": at, "solved": solved, "posted": posted, "occurrence_count": 1}
+        if h in done:
+            continue
+        if action == "new":
+            want.append(new)
+        elif action == "update" and i is not None and 0 <= i < len(want):
+            old = want[i]
+            new["occurrence_count"] = (old["occurrence_count"] or 1) + 1
+            want[i] = {k: old[k] if v is None and k in ("solved", "posted") else v for k, v in new.items()}
+    for e in want:
+        e["occurrence_count"] = e["occurrence_count"] or 1
+    b = spark.createDataFrame([(i, e["content"], e["occurrence_count"], 0, e["solved"], e["posted"]) for i, e in enumerate(bank)], "idx long, content string, occurrence_count long, last_updated long, solved string, posted string")
+    c = spark.createDataFrame(changes, "item_hash string, batch int, place int, action string, id long, content string, made_at long, solved string, posted string")
+    p = spark.createDataFrame([(h,) for h in done], "item_hash string")
+    out, hashes = library.harmonised(b, c, p)
+    again, same = library.harmonised(out, c, hashes)
+    for df in (out, again):
+        assert [{k: r[k] for k in want[0]} for r in df.orderBy("idx").collect()] == want
+    assert hashes.count() == same.count() == 30
+
+
+def test_rich_text_walks_children_only(spark):
+    tree = {"root": {"text": "a", "attributes": {"text": "no"}, "children": [{"text": "b", "children": [{"children": [{"text": "c"}]}, {"text": "d \" é"}]}, [{"text": "e"}], "odd", {"mark": {"text": "no"}}]}, "text": "no"}
+    deep = '{"root":' + '{"children":[' * 300 + '{"text":"deep"}' + "]}" * 300 + "}"
+    rows = [(json.dumps(tree),), ("no json",), (None,), ("[1]",), ('{"root": {"text": 5}}',), ("{}",), (deep,)]
+    got = [r["x"] for r in spark.createDataFrame(rows, "v string").coalesce(1).select(logs.rich_text("v").alias("x")).collect()]
+    assert got == ['a b c d " é e', "", "", "", "", "", "deep"]
+
+
+def test_storage_files_are_read_by_ranges(spark, tmp_path):
+    path = str(tmp_path / "state.vscdb")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE cursorDiskKV (key TEXT UNIQUE ON CONFLICT REPLACE, value BLOB)")
+    con.executemany("INSERT INTO cursorDiskKV VALUES (?, ?)", [(f"composerData:{i}", json.dumps({"n": i}).encode()) for i in range(250)] + [("chatData:x", "{}"), ("other:1", "{}"), ("composerdata:low", "{}"), ("bubbleId:1:2", b"\xff\xfe"), ("chatData:none", None)])
+    con.commit()
+    assert keyvalue.chat_storage(spark, path).filter("layout = 'legacy'").count() == 0
+    con.execute("CREATE TABLE ItemTable (key TEXT, value BLOB)")
+    con.executemany("INSERT INTO ItemTable VALUES (?, ?)", [("composer.composerData", "{}"), ("workbench.panel.aichat.view.aichat.chatdata.1", "{}"), ("theme", "dark")])
+    con.commit()
+    con.close()
+    df = keyvalue.chat_storage(spark, path, 100)
+    rows = {r["key"]: (r["value"], r["layout"]) for r in df.collect()}
+    assert len(rows) == 255 and rows["composerData:249"] == ('{"n": 249}', "current") and rows["bubbleId:1:2"] == (None, "current") and rows["chatData:none"][0] is None
+    assert {k for k, v in rows.items() if v[1] == "legacy"} == {"composer.composerData", "workbench.panel.aichat.view.aichat.chatdata.1"}
+    assert df.filter("layout = 'current'").rdd.getNumPartitions() == 3
+    with pytest.raises(Exception, match="every machine"):
+        spark.read.format("sqlite_kv").option("path", "hdfs://x/y").load().count()

@@ -162,3 +162,39 @@ def corrected_first_seen(items: DataFrame, messages: DataFrame, least: float = 0
     earlier = F.col("_month").isNotNull() & (F.coalesce("first_seen", F.lit("")) == "") | (F.col("_month") < F.col("first_seen"))
     out = items.join(month, "id", "left").withColumn("corrected", F.coalesce(earlier, F.lit(False)))
     return out.withColumn("first_seen", F.when(F.col("corrected"), F.col("_month")).otherwise(F.col("first_seen"))).drop("_month")
+
+
+#: Fields that an update keeps from the entry before it unless it sets them itself.
+STATUS_FIELDS = ("solved", "solved_date", "solved_file", "posted", "posted_date", "posted_file")
+
+
+def harmonised(bank: DataFrame, changes: DataFrame, processed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The bank and the processed hashes after batches of changes, as if they were applied one after the other.
+
+    bank: idx (gapless from 0), content, occurrence_count, last_updated, status fields.
+    changes: item_hash, batch, place, action ('update' or 'new'), id, content, made_at, status
+    fields. A change whose item was processed before is dropped, so a replay changes nothing.
+    A new entry takes the next index, an update those that exist when it is reached; other
+    ids and actions do nothing. The last update's content stays, each adds an occurrence (none
+    counts as one), and a status field stays from the last version that sets it.
+
+    Nothing is looped over: new entries get their index from counts by batch and their place
+    in the batch, and an entry's versions are one aggregate.
+    """
+    open_ = changes.join(processed.select("item_hash").distinct(), "item_hash", "left_anti")
+    base = bank.agg(F.count("*").alias("_base"))
+    is_new = (F.col("action") == "new").cast("long")
+    batches = open_.groupBy("batch").agg(F.sum(is_new).alias("_new"))
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # a row a batch
+    starts = batches.crossJoin(F.broadcast(base)).select("batch", (F.col("_base") + F.coalesce(F.sum("_new").over(before), F.lit(0))).alias("_start"))
+    within = Window.partitionBy("batch").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    placed = open_.join(starts, "batch").withColumn("_there", F.col("_start") + F.coalesce(F.sum(is_new).over(within), F.lit(0)))
+    idx = F.when(F.col("action") == "new", F.col("_there")).when((F.col("action") == "update") & (F.col("id") >= 0) & (F.col("id") < F.col("_there")), F.col("id"))
+    made = placed.withColumn("idx", idx).filter("idx is not null")
+    fields = [f for f in STATUS_FIELDS if f in bank.columns]
+    versions = bank.select("idx", F.struct(F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("p")).alias("at"), "content", F.coalesce("occurrence_count", F.lit(1)).cast("long").alias("n"), F.col("last_updated"), *fields)
+    versions = versions.unionByName(made.select("idx", F.struct(F.col("batch").cast("long").alias("b"), F.col("place").cast("long").alias("p")).alias("at"), "content", F.lit(1).cast("long").alias("n"), F.col("made_at").alias("last_updated"), *fields))
+    last = lambda c: F.max_by(c, "at").alias(c)
+    kept = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
+    out = versions.groupBy("idx").agg(last("content"), F.sum("n").alias("occurrence_count"), last("last_updated"), *[kept(f) for f in fields])
+    return out, processed.select("item_hash").union(open_.select("item_hash")).distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.functions.text import title_words
 from threadloom.operators import library as lib
@@ -132,3 +133,28 @@ def corrected_first_seen(spark, sf):
     items = m.embedded_items().select("id", "embedding", F.expr("if(n % 13 <> 0, first_seen, null)").alias("first_seen"))
     messages = m.embedded_messages().select(F.col("message_id").alias("id"), "embedding", "ts_ms")
     return lib.corrected_first_seen(items, messages, 0.3).select("id", "first_seen", "corrected")
+
+
+_CHANGES = """
+, bank AS (SELECT row_number() OVER (ORDER BY n) - 1 AS idx, title AS content, CASE WHEN n % 4 <> 0 THEN occurrence END AS occurrence_count, n AS last_updated, CASE WHEN n % 3 = 0 THEN 's' || n END AS solved FROM items WHERE n < 60),
+c AS (SELECT conv_id AS batch, turn AS place, CASE role WHEN 'assistant' THEN 'new' WHEN 'user' THEN 'update' ELSE 'none' END AS action, (conv_id * 31 + turn * 7) % 90 AS id, text AS content, conv_id * 100 + turn AS made_at,
+  CASE WHEN (conv_id + turn) % 5 = 0 THEN 't' || turn END AS solved FROM conversations WHERE conv_id % 10 <> 9),
+d AS (SELECT *, (SELECT count(*) FROM bank) + count(*) FILTER (action = 'new') OVER (ORDER BY batch, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS there FROM c),
+v AS (SELECT idx, -1 AS b, -1 AS p, content, coalesce(occurrence_count, 1) AS n, last_updated, solved FROM bank UNION ALL
+  SELECT CASE action WHEN 'new' THEN there ELSE id END, batch, place, content, 1, made_at, solved FROM d WHERE action = 'new' OR action = 'update' AND id < there)
+SELECT idx, arg_max(content, (b, p)) AS content, sum(n)::BIGINT AS occurrence_count, arg_max(last_updated, (b, p)) AS last_updated, arg_max(solved, (b, p)) FILTER (solved IS NOT NULL) AS solved FROM v GROUP BY 1"""
+
+
+@query("harmonised_bank", over("items", _CHANGES))
+def harmonised_bank(spark, sf):
+    """All conversations as batches of changes to a bank of 60 entries, every tenth processed before; then all of them once more, which changes nothing."""
+    m = Model(spark, sf)
+    own = m.items().filter("n < 60").select("n", "title", "occurrence")
+    bank = own.select((F.row_number().over(Window.orderBy("n")) - 1).cast("long").alias("idx"), F.col("title").alias("content"), F.expr("if(n % 4 <> 0, occurrence, null)").alias("occurrence_count"), F.col("n").alias("last_updated"), F.expr("if(n % 3 = 0, concat('s', n), null)").alias("solved"))
+    changes = m.table("conversations").select(
+        F.sha2(F.concat_ws("|", "conv_id", "turn"), 256).alias("item_hash"), F.col("conv_id").alias("batch"), F.col("turn").alias("place"),
+        F.expr("case role when 'assistant' then 'new' when 'user' then 'update' else 'none' end").alias("action"), F.expr("(conv_id * 31 + turn * 7) % 90").alias("id"),
+        F.col("text").alias("content"), F.expr("conv_id * 100 + turn").alias("made_at"), F.expr("if((conv_id + turn) % 5 = 0, concat('t', turn), null)").alias("solved"),
+    )
+    first, processed = lib.harmonised(bank, changes, changes.filter("batch % 10 = 9").select("item_hash"))
+    return lib.harmonised(first, changes, processed)[0]

@@ -6,8 +6,12 @@ lines that come from elsewhere.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from threadloom.functions.dates import seconds_or_millis, to_millis
@@ -107,11 +111,33 @@ def parse_key_values(kv: DataFrame) -> DataFrame:
     return out.filter("text is not null and trim(text) <> ''").select("chat_id", "place", F.when(F.col("type").isin("user", "1"), "user").otherwise("assistant").alias("message_type"), "text", "ts_ms")
 
 
-def rich_text(column: Column) -> Column:
-    """All texts in a rich text's tree, in their order, joined by blanks; '' if it is no JSON."""
-    found = F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
-    plain = F.transform(found, lambda x: F.coalesce(F.get_json_object(F.concat(F.lit('{"x":"'), x, F.lit('"}')), "$.x"), x))
-    return F.when(F.try_parse_json(column).isNull(), F.lit("")).otherwise(F.array_join(plain, " "))
+@F.pandas_udf(StringType())
+def rich_text(values: pd.Series) -> pd.Series:
+    """The texts of a rich text's tree, depth first through ``root`` and ``children`` only, joined by blanks.
+
+    '' if it is no JSON object or if any text met isn't a string; texts elsewhere, as in
+    attributes, don't count. The walk keeps its own stack, so depth is bounded by the text alone.
+    """
+
+    def walked(raw: str | None) -> str:
+        try:
+            todo, out = [json.loads(raw or "").get("root", {})], []
+        except (ValueError, AttributeError, RecursionError):
+            return ""
+        while todo:
+            node = todo.pop()
+            if isinstance(node, list):
+                todo += reversed(node)
+            elif isinstance(node, dict):
+                if "text" in node:
+                    out.append(node["text"])
+                children = node.get("children", [])
+                if not isinstance(children, (list, dict, str)):
+                    return ""
+                todo += reversed(list(children))
+        return " ".join(out) if all(isinstance(t, str) for t in out) else ""
+
+    return values.map(walked, na_action=None).astype(object)
 
 
 def progress_events(lines: DataFrame, line: str = "value") -> DataFrame:
