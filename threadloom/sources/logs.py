@@ -115,13 +115,15 @@ def parse_key_values(kv: DataFrame) -> DataFrame:
 def rich_text(values: pd.Series) -> pd.Series:
     """The texts of a rich text's tree, depth first through ``root`` and ``children`` only, joined by blanks.
 
+    An object without a root is its own root.
     '' if it is no JSON object or if any text met isn't a string; texts elsewhere, as in
     attributes, don't count. The walk keeps its own stack, so depth is bounded by the text alone.
     """
 
     def walked(raw: str | None) -> str:
         try:
-            todo, out = [json.loads(raw or "").get("root", {})], []
+            tree = json.loads(raw or "")
+            todo, out = [tree.get("root", tree)], []
         except (ValueError, AttributeError, RecursionError):
             return ""
         while todo:
