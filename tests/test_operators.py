@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import dates, text, vectors
-from threadloom.operators import cluster, graph, knowledge, library, rounds, similarity, temporal
+from threadloom.operators import archive, cluster, graph, knowledge, library, rounds, similarity, temporal
 from threadloom.sources import documents as docs
 from threadloom.sources import keyvalue, logs
 
@@ -494,3 +494,19 @@ def test_storage_files_are_read_by_ranges(spark, tmp_path):
     assert df.filter("layout = 'current'").rdd.getNumPartitions() == 3
     with pytest.raises(Exception, match="every machine"):
         spark.read.format("sqlite_kv").option("path", "hdfs://x/y").load().count()
+
+
+def test_an_archive_is_indexed_by_content(spark):
+    files = lambda **f: spark.createDataFrame([(k.replace("_", "/"), v, 1) for k, v in f.items()], "path string, content string, version int")
+    scan = lambda index, f: rounds.written(archive.reindexed(index, f))
+    rows = lambda df: {r["path"]: (r["action"], r["version"], r["deleted"]) for r in df.collect()}
+    one = scan(archive.empty_index(files(a="x")), files(a="1", b="2", c="3", d="same", e="same", f=None))
+    assert rows(one) == {p: ("added", 1, False) for p in "abcdef"}
+    two = scan(one.drop("action"), files(a="1", b="changed", x_c="3", x_d="same", y_e="same", n="new"))
+    assert rows(two) == {"a": ("unchanged", 1, False), "b": ("changed", 2, False), "x/c": ("moved", 1, False), "x/d": ("moved", 1, False), "y/e": ("moved", 1, False), "n": ("added", 1, False), "f": ("removed", 2, True)}
+    ids = lambda df: {r["path"]: r["doc_id"] for r in df.collect()}
+    assert ids(two)["x/c"] == ids(one)["c"] and ids(two)["x/d"] == ids(one)["d"] and ids(two)["y/e"] == ids(one)["e"]
+    three = scan(two.drop("action"), files(a="1", f="back"))
+    assert rows(three)["f"] == ("added", 3, False) and ids(three)["f"] == ids(one)["f"] and rows(three)["n"] == ("removed", 2, True)
+    assert rows(scan(three.drop("action"), files(a="1", f="back"))) | {} == {p: (("kept", v, True) if gone else ("unchanged", v, False)) for p, (_, v, gone) in rows(three).items()}
+    assert {r["path"] for r in archive.to_embed(two, files(a="1", b="changed", n="new")).collect()} == {"b", "n"}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from threadloom.functions.text import title_words
+from threadloom.operators import archive
 from threadloom.operators import library as lib
 from threadloom.plans.model import Model, cosine_sql, over
 from threadloom.registry import query
@@ -158,3 +159,22 @@ def harmonised_bank(spark, sf):
     )
     first, processed = lib.harmonised(bank, changes, changes.filter("batch % 10 = 9").select("item_hash"))
     return lib.harmonised(first, changes, processed)[0]
+
+
+@query("reindexed_archive", """
+WITH a AS (SELECT 'f/' || source || '/' || doc_id AS path, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 10 <> 0),
+b AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'moved/' || doc_id ELSE 'f/' || source || '/' || doc_id END AS path, sha256(coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS h FROM documents WHERE doc_id % 10 <> 1),
+j AS (SELECT coalesce(a.path, b.path) AS path, a.h AS old, b.h AS new FROM a FULL JOIN b ON a.path = b.path),
+g AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY path) AS nth FROM j WHERE new IS NULL), n AS (SELECT *, row_number() OVER (PARTITION BY new ORDER BY path) AS nth FROM j WHERE old IS NULL)
+SELECT path, sha256(path)[1:16] AS doc_id, new AS content_hash, CASE WHEN old = new THEN 1 ELSE 2 END AS version, FALSE AS deleted, CASE WHEN old = new THEN 'unchanged' ELSE 'changed' END AS action FROM j WHERE old IS NOT NULL AND new IS NOT NULL
+UNION ALL SELECT n.path, sha256(coalesce(g.path, n.path))[1:16], n.new, 1, FALSE, CASE WHEN g.path IS NULL THEN 'added' ELSE 'moved' END FROM n LEFT JOIN g ON g.old = n.new AND g.nth = n.nth
+UNION ALL SELECT path, sha256(path)[1:16], old, 2, TRUE, 'removed' FROM g ANTI JOIN n ON g.old = n.new AND g.nth = n.nth""")
+def reindexed_archive(spark, sf):
+    """The documents as files indexed once, then with some removed, added, moved and changed."""
+    d = Model(spark, sf).table("documents")
+    path = F.concat_ws("/", F.lit("f"), "source", "doc_id")
+    first = archive.reindexed(archive.empty_index(d), d.filter("doc_id % 10 <> 0").select(path.alias("path"), F.col("text").alias("content")))
+    later = d.filter("doc_id % 10 <> 1").select(
+        F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("moved/"), "doc_id")).otherwise(path).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.expr("if(doc_id % 7 = 0, '!', '')")).alias("content")
+    )
+    return archive.reindexed(first.drop("action"), later)
