@@ -2,7 +2,7 @@
 
 import importlib
 
-THEMES = ("temporal_queries", "graph_queries", "similarity_queries", "library_queries", "knowledge_queries", "scoring_queries", "source_queries", "cluster_queries")
+THEMES = ("temporal_queries", "graph_queries", "similarity_queries", "library_queries", "knowledge_queries", "scoring_queries", "source_queries", "cluster_queries", "theme_queries")
 
 
 def load_all() -> None:
