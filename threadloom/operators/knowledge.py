@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from threadloom.functions.text import expert_slug
 from threadloom.operators.rounds import components, written
@@ -228,3 +229,49 @@ def episode_edges(mentions: DataFrame, entities: DataFrame, relations: DataFrame
     there = relations.filter("relation_type = 'REFERENCES_EPISODE'").select("source_entity_id", "target_entity_id")
     new = edges.join(there, ["source_entity_id", "target_entity_id"], "left_anti")
     return new.select("source_entity_id", "target_entity_id", F.lit("REFERENCES_EPISODE").alias("relation_type"), "source_message_id", F.lit(1).cast("long").alias("occurrence_count"))
+
+
+def node_dates(conversations: DataFrame, episodes: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(id, date, kind) of all nodes of the graph that have a date; an entity's goes before an episode's, that before a conversation's of the same id.
+
+    Conversations by their day, else their month, episodes by their publication, entities by
+    the earliest conversation that mentions them.
+    """
+    dated = conversations.select("id", F.coalesce("date_day", "date_month").alias("date"), F.lit("conversation").alias("kind"), F.lit(0).alias("place"))
+    published = episodes.select(F.concat(F.lit("episode-"), "slug").alias("id"), F.col("published_date").alias("date"), F.lit("episode").alias("kind"), F.lit(1).alias("place"))
+    named = earliest_dates(mentions, conversations).select(F.col("entity_id").alias("id"), F.col("earliest").alias("date"), F.lit("entity").alias("kind"), F.lit(2).alias("place"))
+    every = dated.unionAll(published).unionAll(named).filter("id is not null and date is not null")
+    # of rows with one id and kind, the earliest
+    return every.groupBy("id").agg(F.min_by(F.struct("date", "kind"), F.struct(-F.col("place"), F.col("date"))).alias("n")).select("id", "n.*")
+
+
+def recent_mentions(entities: DataFrame, mentions: DataFrame, k: int = 20) -> DataFrame:
+    """Entities with each of their k latest mentions (mention_id, message_id, ts_ms, rank), nulls where they have none.
+
+    Undated mentions come first, as the latest, ties go by id. Tasks keep k rows an entity
+    before any are sent.
+    """
+    rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc_nulls_first("ts_ms"), "id"))
+    latest = mentions.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("entity_id").alias("id"), F.col("id").alias("mention_id"), "message_id", "ts_ms", "rank")
+    shown = entities.select("id", "canonical_name", "entity_type", F.coalesce("mention_count", F.lit(0)).alias("mention_count"), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    return shown.join(latest, "id", "left")
+
+
+def entities_by_source(entities: DataFrame, source: str | None = None, least: int = 1, limit: int | None = 100) -> DataFrame:
+    """Entities of exactly one source type, or all, with at least so many mentions; those mentioned most first, ties by id."""
+    some = entities.filter((F.col("mention_count") >= least) & (F.lit(True) if source is None else F.col("source_type") == source))
+    out = some.select("id", "canonical_name", "entity_type", "source_type", "mention_count", F.coalesce("user_count", F.lit(0)).alias("user_mentions"), F.coalesce("expert_count", F.lit(0)).alias("expert_mentions"), "first_seen", "last_seen")
+    return out if limit is None else out.orderBy(F.desc("mention_count"), "id").limit(limit)
+
+
+def conversation_episodes(relations: DataFrame, entities: DataFrame, episodes: DataFrame) -> DataFrame:
+    """(conversation_id, episode_id, guest_name, relation_type): the episodes that each conversation refers to.
+
+    Edges lead from an episode to a conversation; their source must be an entity of type
+    episode, whose id holds the slug of an episode that is known.
+    """
+    edges = relations.filter("relation_type = 'REFERENCES_EPISODE' and target_entity_id like 'conv-%'")
+    known = entities.filter("entity_type = 'episode'").select(F.col("id").alias("source_entity_id"))
+    own = edges.join(known, "source_entity_id").withColumn("slug", F.nullif(F.regexp_extract("source_entity_id", "episode-(.+)$", 1), F.lit("")))
+    named = own.join(episodes.select("slug", "guest_name"), "slug")
+    return named.select(F.expr("substring(target_entity_id, 6)").alias("conversation_id"), F.col("source_entity_id").alias("episode_id"), "guest_name", "relation_type")

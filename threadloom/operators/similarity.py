@@ -130,6 +130,60 @@ def multi_query(messages: DataFrame, queries: DataFrame, k: int, least: float) -
     return chats.groupBy("chat_id").agg(F.max("similarity").alias("best"), F.countDistinct("left_id").alias("queries"), F.count("*").alias("hits"))
 
 
+def searched(df: DataFrame, queries: DataFrame, k: int, least: float = 0.0, **how: int) -> DataFrame:
+    """(query_id, id, similarity, rank): for each query (id, embedding) its k most similar rows of ``df`` (id, embedding) that reach ``least``; ties go by id."""
+    best = best_per(similar_pairs(queries, df, least, k=k, **how), "left_id", k, "right_id")
+    return best.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("id"), "similarity", "rank")
+
+
+def quotes(messages: DataFrame, queries: DataFrame, source: str, k: int, least: float = 0.0, wider: int = 3) -> DataFrame:
+    """The k best messages of one source for each query, of the ``wider`` * k best of all sources: (query_id, id, text, chat_id, similarity, rank).
+
+    Messages: (id, embedding, source, text, chat_id). As the filter comes after the search, a
+    query may have fewer than k quotes, or none, though the source has more that reach ``least``.
+    """
+    hits = searched(messages, queries, k * wider, least).join(messages.filter(F.col("source") == source).select("id", "text", "chat_id"), "id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "id", F.coalesce("text", F.lit("")).alias("text"), "chat_id", "similarity", "rank")
+
+
+def sampled_messages(messages: DataFrame, queries: DataFrame, k: int, least: float, limit: int) -> DataFrame:
+    """The ``limit`` messages most similar to any query, of each query's k best, one of those whose texts begin with the same 200 characters.
+
+    (id, text, similarity); the most similar stays, the least id on ties. Messages without a text are left out.
+    """
+    hits = searched(messages, queries, k, least).groupBy("id").agg(F.max("similarity").alias("similarity"))
+    found = hits.join(messages.select("id", "text"), "id").filter("text <> ''")
+    first = F.min_by(F.struct("id", "text", "similarity"), F.struct(-F.col("similarity"), F.col("id"))).alias("first")
+    return found.groupBy(F.substring("text", 1, 200)).agg(first).select("first.*").orderBy(F.desc("similarity"), "id").limit(limit)
+
+
+def other_source_matches(entities: DataFrame, chosen: DataFrame, least: float = 0.75, k: int = 10) -> DataFrame:
+    """Matches of chosen entities with those of the other source: (user_entity_id, expert_entity_id, similarity).
+
+    A user entity (or one of both sources) meets the experts', and its k best stay; an expert
+    entity meets all user entities, and all that reach ``least`` stay. Entities of other
+    sources have no matches. Rows: (id, embedding, source_type).
+    """
+    user, expert = F.col("source_type").isin("user", "both"), F.col("source_type") == "expert"
+    down = best_per(similar_pairs(chosen.filter(user), entities.filter(expert), least, k=k), "left_id", k, "right_id")
+    up = similar_pairs(chosen.filter(expert), entities.filter(user), least)
+    as_ = lambda a, b: [F.col(a).alias("user_entity_id"), F.col(b).alias("expert_entity_id"), "similarity"]
+    return down.select(*as_("left_id", "right_id")).union(up.select(*as_("right_id", "left_id"))).distinct()
+
+
+def implemented_by_files(items: DataFrame, files: DataFrame, least: float = 0.75) -> DataFrame:
+    """``items`` with status implemented and the file (implemented_source) where a file is similar enough; the first of the most similar ones.
+
+    Files: (id, embedding), ids are paths. Items that are implemented already or have no
+    embedding stay as they are, with no file.
+    """
+    open_ = items.filter("status is null or status <> 'implemented'").select("id", "embedding")
+    best = searched(files, open_, 1, least).select(F.col("query_id").alias("id"), F.col("id").alias("implemented_source"))
+    out = items.join(best, "id", "left")
+    return out.withColumn("status", F.when(F.col("implemented_source").isNotNull(), "implemented").otherwise(F.col("status")))
+
+
 def mean_vectors(df: DataFrame, key: str, digits: int = 6) -> DataFrame:
     """The mean embedding of each key, dimension by dimension."""
     long = df.filter("embedding is not null").select(key, F.posexplode("embedding").alias("place", "x"))

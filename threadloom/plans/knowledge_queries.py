@@ -234,3 +234,41 @@ def episode_edges(spark, sf):
 def earliest_latest(spark, sf):
     key = F.struct("ts_ms", "message_id")
     return Model(spark, sf).messages().groupBy("workspace").agg(F.min_by("message_id", key).alias("earliest"), F.max_by("message_id", key).alias("latest"), F.count("*").alias("messages"))
+
+
+@query("node_dates", over("convs episodes mentions", """
+, n AS (SELECT id, coalesce(date_day, date_month) AS date, 'conversation' AS kind, 0 AS place FROM convs
+  UNION ALL SELECT 'episode-' || slug, published_date, 'episode', 1 FROM episodes
+  UNION ALL SELECT entity_id, min(coalesce(date_day, date_month)), 'entity', 2 FROM mentions JOIN convs ON conversation_id = mentions.message_id GROUP BY 1)
+SELECT id, date, kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place DESC, date) AS r FROM n WHERE date IS NOT NULL) WHERE r = 1"""))
+def node_dates(spark, sf):
+    m = Model(spark, sf)
+    return k.node_dates(m.conversations(), m.episodes(), m.mentions())
+
+
+@query("recent_mentions", over("entities mentions", """
+SELECT e.id, canonical_name, entity_type, mention_count, confidence, l.id AS mention_id, l.message_id, l.ts_ms, l.r::INT AS rank FROM entities e
+LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts_ms DESC NULLS FIRST, id) AS r FROM mentions) WHERE r <= 20) l ON l.entity_id = e.id"""))
+def recent_mentions(spark, sf):
+    """All entities, each with its twenty latest mentions."""
+    m = Model(spark, sf)
+    return k.recent_mentions(m.entities(), m.mentions(), 20)
+
+
+@query("entities_by_source", over("entities", """
+SELECT id, canonical_name, entity_type, source_type, mention_count, user_count AS user_mentions, expert_count AS expert_mentions, first_seen, last_seen
+FROM entities WHERE source_type = 'both' AND mention_count >= 20 ORDER BY mention_count DESC, id LIMIT 100"""))
+def entities_by_source(spark, sf):
+    return k.entities_by_source(Model(spark, sf).entities(), "both", 20)
+
+
+@query("conversation_episodes", over("expert_mentions", f"""
+SELECT DISTINCT message_id AS conversation_id, 'episode-' || m.slug AS episode_id, guest_name, 'REFERENCES_EPISODE' AS relation_type
+FROM (SELECT *, {_SLUG} AS slug FROM expert_mentions) m JOIN episodes e ON e.slug = m.slug"""))
+def conversation_episodes(spark, sf):
+    """Episodes of all conversations, over the edges that mentions imply."""
+    m = Model(spark, sf)
+    mentions, episodes = m.expert_mentions(), m.episodes()
+    nodes = episodes.select(F.concat(F.lit("episode-"), "slug").alias("id"), F.lit("episode").alias("entity_type"))
+    known = nodes.unionAll(mentions.select(F.concat(F.lit("conv-"), "message_id").alias("id"), F.lit("conversation").alias("entity_type")).distinct())
+    return k.conversation_episodes(k.episode_edges(mentions, known, k.no_relations(spark)), nodes, episodes)
