@@ -55,19 +55,21 @@ THEME_STOP_WORDS = "the and for with that this from your about when what how int
 
 
 def theme_names(members: DataFrame, least: float) -> DataFrame:
-    """(theme, name, item_count) from (theme, place, title), places counted from 1 in each theme.
+    """(theme, name, item_count) from (theme, place, title); places order the rows of each theme.
 
     One item: its title. Else up to three words that occur in two of the first ten titles
     (broad view: ``least`` under 0.6, with the size where that is over ten), or in half of
     them; the first to occur on ties. Without such words: the first part of the longest title
     (the last of them on ties) of a broad theme of more than five, else the first title and
-    how many more there are. A null title is empty.
+    how many more there are. A null title is empty. Of a large theme, tasks send only counts
+    and ten rows each.
     """
     broad = least < 0.6
     own = members.select("theme", "place", F.coalesce("title", F.lit("")).alias("title"))
     longest = F.max_by("title", F.struct(F.length("title"), "place"))
     themes = own.groupBy("theme").agg(F.count("*").alias("n"), F.min_by("title", "place").alias("first"), longest.alias("longest"))
-    words = own.filter("place <= 10").select("theme", "place", F.posexplode(F.array_distinct(F.split(F.lower("title"), r"\s+"))).alias("at", "word"))
+    firsts = own.withColumn("_rank", F.row_number().over(Window.partitionBy("theme").orderBy("place"))).filter("_rank <= 10")
+    words = firsts.select("theme", "place", F.posexplode(F.array_distinct(F.split(F.lower("title"), r"\s+"))).alias("at", "word"))
     words = words.filter((F.length("word") > 3) & ~F.col("word").isin(*THEME_STOP_WORDS))
     counts = words.groupBy("theme", "word").agg(F.count("*").alias("found"), F.min(F.struct("place", "at")).alias("at"))
     half = F.lit(2) if broad else F.ceil(F.least("n", F.lit(10)) / 2)
@@ -106,8 +108,8 @@ def theme_preview(items: DataFrame, conversations: DataFrame, least: float = 0.7
         labels = leader_clusters(placed.select(F.col("key").alias("id"), "embedding"), least, **how).select(F.col("id").alias("key"), "cluster")
         names = both.select(F.col("key").alias("cluster"), F.concat(F.lit("theme-"), "id").alias("theme"))
         members = labels.join(names, "cluster").join(both.select("key", "title"), "key").select("theme", "key", "title")
-    members = written(members.withColumn("place", F.row_number().over(Window.partitionBy("theme").orderBy("key"))))
-    order = members.filter("place = 1").select("theme", "key")
+    members = written(members.withColumnRenamed("key", "place"))
+    order = members.groupBy("theme").agg(F.min("place").alias("key"))
     found = theme_names(members, least).join(order, "theme").orderBy(F.desc("item_count"), "key")
     found = found if limit is None else found.limit(limit)
     return ranked(found, [F.desc("item_count"), F.asc("key")]).select("theme", "name", "item_count", "rank", (F.col("item_count") == 1).alias("one_off"))
