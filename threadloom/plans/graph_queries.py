@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import title_from_slug
 from threadloom.operators import graph as g
-from threadloom.plans.model import Model, over
+from threadloom.plans.model import RELATION_TYPES, Model, over
 from threadloom.registry import query
 
 _ENDS = ", ends AS (SELECT source_entity_id AS entity_id, 1 AS o, 0 AS i FROM relations UNION ALL SELECT target_entity_id, 0, 1 FROM relations), degrees AS (SELECT entity_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(o + i)::BIGINT AS degree FROM ends GROUP BY 1)"
@@ -170,3 +171,32 @@ def graph_source_filter(spark, sf):
 SELECT id, canonical_name, entity_type, mention_count FROM entities WHERE canonical_name ILIKE '%AN%' ORDER BY mention_count DESC, id LIMIT 50"""))
 def entity_search(spark, sf):
     return Model(spark, sf).entities().filter(F.col("canonical_name").ilike("%AN%")).orderBy(F.desc("mention_count"), "id").limit(50).select("id", "canonical_name", "entity_type", "mention_count")
+
+
+@query("latest_messages", over("messages", "SELECT chat_id, message_id, ts_ms FROM (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY ts_ms DESC, message_id) AS r FROM messages) WHERE r = 1"))
+def latest_messages(spark, sf):
+    """The latest message of each chat."""
+    return g.latest_per_key(Model(spark, sf).messages(), "chat_id", [F.desc("ts_ms"), F.asc("message_id")]).select("chat_id", "message_id", "ts_ms")
+
+
+_SYNONYMS = {"SOLVED_BY": "SOLVES", "USES": "USED_WITH"}
+
+
+@query("normalised_relations", over("relations", """
+, raw AS (SELECT id, trim(source_entity_id) AS subject, trim(target_entity_id) AS object, upper(regexp_replace(trim(CASE relation_type WHEN 'SOLVES' THEN 'solved by' WHEN 'CAUSES' THEN ' Uses ' ELSE lower(replace(relation_type, '_', '-')) END), '[\\s-]+', '_', 'g')) AS p,
+  CASE WHEN confidence <> 0.5 THEN confidence * 2 - 0.3 END AS c FROM relations)
+SELECT subject, CASE p WHEN 'SOLVED_BY' THEN 'SOLVES' WHEN 'USES' THEN 'USED_WITH' ELSE p END AS predicate, object, least(greatest(coalesce(c, 0.5), 0.0), 1.0)::DOUBLE AS confidence
+FROM raw WHERE subject <> 'e-1' AND object <> 'e-1' AND p NOT IN ('REQUIRES')"""))
+def normalised_relations(spark, sf):
+    """Relations as an extraction may spell them, with known predicates."""
+    kind = F.col("relation_type")
+    spelt = F.when(kind == "SOLVES", "solved by").when(kind == "CAUSES", " Uses ").otherwise(F.lower(F.replace(kind, F.lit("_"), F.lit("-"))))
+    raw = Model(spark, sf).relations().select(F.col("source_entity_id").alias("subject"), spelt.alias("predicate"), F.concat(F.lit(" "), "target_entity_id").alias("object"), F.when(F.col("confidence") != 0.5, F.col("confidence") * 2 - 0.3).alias("confidence"))
+    known = tuple(t for t in RELATION_TYPES if t not in ("REQUIRES", "CAUSES"))
+    return g.normalised_relations(raw, _SYNONYMS, known, ("e-1",))
+
+
+@query("episode_titles", over("episodes", "SELECT entity_id, array_to_string(list_transform(string_split(slug, '-'), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS title FROM episodes"))
+def episode_titles(spark, sf):
+    """Titles of episodes from their slugs."""
+    return Model(spark, sf).episodes().select("entity_id", title_from_slug(F.col("slug")).alias("title"))
