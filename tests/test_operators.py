@@ -432,8 +432,10 @@ def test_entities_resolve_by_name_then_alias(spark):
 
 
 def test_chunk_packer_matches_registered_query(spark, sf):
+    from threadloom.plans import load_all
     from threadloom.registry import QUERIES
 
+    load_all()
     got = QUERIES["packed_document_chunks"](spark, sf).toPandas()
     words = pd.DataFrame([(r["doc_id"], len(r["text"].split())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()], columns=["doc_id", "n"])
     assert (got.groupby("doc_id")["words"].sum() == words.set_index("doc_id")["n"]).all()
