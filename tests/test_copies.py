@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.operators import cluster, similarity
 from threadloom.operators.similarity import _Side, near_places
@@ -93,3 +94,16 @@ def test_tiles_as_a_whole_product():
         got = {(int(a), int(b)) for i, j, _ in near_places(side, side, least, k, rows=16, block=11) for a, b in zip(i, j, strict=True)}
         floor = np.maximum(least, np.sort(s, axis=1)[:, -k][:, None] if k and k <= 69 else least)
         assert got == {(int(a), int(b)) for a, b in zip(*np.nonzero(s >= floor), strict=True)}
+
+
+def test_capitals_as_in_sql(spark):
+    """One upper-case letter for ß, as DuckDB writes it, not two."""
+    import duckdb
+
+    from threadloom.functions.text import capital
+    from threadloom.operators.themes import topic_titles
+
+    words = ["ßerst", "élan", "ярус", "x", "", "1st", "ﬁnd", "ǆep"]
+    got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string").orderBy("i").select(capital(F.col("word"))).collect()]
+    assert got == [duckdb.execute("select upper(?[1]) || ?[2:]", [w, w]).fetchone()[0] for w in words]
+    assert topic_titles(spark.createDataFrame([("c", 1, "ßerst")], "cluster string, place int, text string")).first()["title"] == "ẞerst"

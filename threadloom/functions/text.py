@@ -91,3 +91,10 @@ def script_hash(text: Column) -> Column:
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
     wrap = lambda x: F.pmod(x + 2147483648, F.lit(4294967296)) - 2147483648
     return F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + c)))
+
+
+def capital(word: Column) -> Column:
+    """The word with its first letter as one upper-case letter (ẞ for ß); a letter that has none stays."""
+    first = F.substring(word, 1, 1)
+    upper = F.when(first == "ß", "ẞ").when(F.length(F.upper(first)) == 1, F.upper(first)).otherwise(first)
+    return F.concat(upper, F.substring(word, F.lit(2), F.length(word)))

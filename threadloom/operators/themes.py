@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from threadloom.functions.text import capital
 from threadloom.operators.cluster import leader_clusters
 from threadloom.operators.rounds import written
 from threadloom.operators.similarity import mean_vectors
@@ -143,7 +144,7 @@ def topic_titles(topics: DataFrame) -> DataFrame:
     words = own.select("cluster", "place", F.posexplode(F.split(F.lower("text"), r"\s+")).alias("at", "raw")).withColumn("word", F.regexp_replace("raw", r"[^\p{L}\p{N}]", ""))
     counts = words.filter((F.length("word") > 3) & ~F.col("word").isin(*TOPIC_STOP_WORDS)).groupBy("cluster", "word").agg(F.count("*").alias("n"), F.min(F.struct("place", "at")).alias("at"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "at"))).filter("rank <= 3")
-    shown = F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))
+    shown = capital(F.col("word"))
     named = top.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", shown.alias("word")))), lambda x: x["word"]), " & ").alias("words"))
     first = own.groupBy("cluster").agg(F.min_by("text", "place").alias("text"))
     plain = F.when(F.length("text") > 50, F.concat(F.substring("text", 1, 50), F.lit("..."))).otherwise(F.col("text"))
