@@ -272,6 +272,18 @@ def test_saved_relations_add_up(spark):
     assert got["m"]["evidence"] is None and got["m"]["occurrence_count"] == 1
 
 
+def test_saved_relations_are_grouped_once(spark):
+    """Ids that their keys don't give stay, and stored and new rows meet in one shuffle."""
+    kind = "source_entity_id string, target_entity_id string, relation_type string, message_id string, evidence string, message_timestamp long, confidence double, seen_at long"
+    stored = spark.createDataFrame([("given", "a", "b", "T", None, "old" * 300, 5, None, 2, 7, 8), (None, "c", "d", "T", "m", None, None, 0.3, 1, 9, 9)], knowledge.no_relations(spark).schema)
+    out = knowledge.saved_relations(stored, spark.createDataFrame([("a", "b", "T", None, "new", 1, 0.9, 1), ("e", "f", "T", "m", "y" * 501, 2, 0.9, 3)], kind))
+    got = {r["source_entity_id"]: tuple(r)[5:] for r in out.collect()}
+    assert got == {"a": ("old" * 300, 5, None, 3, 7, 8), "c": (None, None, 0.3, 1, 9, 9), "e": ("y" * 500, 2, 0.9, 1, 3, 3)}
+    ids = {r["source_entity_id"]: r["id"] for r in out.collect()}
+    assert ids["a"] == "given" and ids["c"] is None and ids["e"].startswith("r-")
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_filled_budget_as_a_loop(spark, seed):
     rnd = random.Random(seed)

@@ -158,20 +158,28 @@ def saved_relations(stored: DataFrame, seen: DataFrame) -> DataFrame:
     ``seen``: the key's columns, evidence, message_timestamp, confidence, seen_at. Each row
     adds one occurrence; a known relation keeps what it was first saved with and takes the
     latest ``seen_at`` as last_seen; a new one takes evidence (500 characters), timestamp and
-    confidence (0.8 if none) of the row seen first, and its id from its key. One grouping of
-    both tables on the key, so that no relation is looked up by itself.
+    confidence (0.8 if none) of the row seen first, and its id from its key. Rows of both
+    tables go into one grouping on the key, so that no relation is looked up by itself and
+    none is sent twice.
     """
-    first = F.struct("seen_at", "evidence", "message_timestamp", "confidence")
-    stamp = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in RELATION_KEY])
-    new = seen.groupBy(*RELATION_KEY).agg(F.min(first).alias("f"), F.count("*").alias("occurrence_count"), F.max("seen_at").alias("last_seen"))
-    new = new.select(
-        F.concat(F.lit("r-"), F.substring(F.sha2(stamp, 256), 1, 16)).alias("id"), *RELATION_KEY, F.substring("f.evidence", 1, 500).alias("evidence"), "f.message_timestamp",
-        F.coalesce("f.confidence", F.lit(0.8)).alias("confidence"), "occurrence_count", F.col("f.seen_at").alias("first_seen"), "last_seen", F.lit(1).alias("_new"),
-    )
-    both = stored.select(*new.columns[:-1], F.lit(0).alias("_new")).unionByName(new)
-    rest = [c for c in new.columns if c not in (*RELATION_KEY, "_new", "occurrence_count", "last_seen")]
-    out = both.groupBy(*RELATION_KEY).agg(F.min_by(F.struct(*rest), "_new").alias("_kept"), F.sum("occurrence_count").alias("occurrence_count"), F.max("last_seen").alias("last_seen"))
-    return out.select(*[F.col(f"_kept.{c}") if c in rest else F.col(c) for c in new.columns[:-1]])
+    fields = ["id", *RELATION_KEY, "evidence", "message_timestamp", "confidence", "occurrence_count", "first_seen", "last_seen"]
+    own = F.concat(F.lit("r-"), F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in RELATION_KEY]), 256), 1, 16))
+    # an id that its key gives is made again, not sent
+    kept = stored.select(*fields, F.lit(0).alias("_new"), F.col("id").eqNullSafe(own).alias("_own")).withColumn("id", F.when(~F.col("_own"), F.col("id")))
+    new = seen.select(*RELATION_KEY, "evidence", "message_timestamp", "confidence", F.lit(1).cast("long").alias("occurrence_count"), F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"))
+    both = kept.unionByName(new.withColumns({"id": F.lit(None).cast("string"), "_new": F.lit(1), "_own": F.lit(True)}))
+    # stored rows before new ones, those by when they were seen
+    first = F.min(F.struct("_new", "first_seen", "evidence", "message_timestamp", "confidence", "_own", "id")).alias("f")
+    out = both.groupBy(*RELATION_KEY).agg(first, F.sum("occurrence_count").alias("occurrence_count"), F.max("last_seen").alias("last_seen"))
+    is_new = F.col("f._new") == 1
+    made = {
+        "id": F.when(F.col("f._own"), own).otherwise(F.col("f.id")),
+        "evidence": F.when(is_new, F.substring("f.evidence", 1, 500)).otherwise(F.col("f.evidence")),
+        "confidence": F.when(is_new, F.coalesce("f.confidence", F.lit(0.8))).otherwise(F.col("f.confidence")),
+        "message_timestamp": F.col("f.message_timestamp"),
+        "first_seen": F.col("f.first_seen"),
+    }
+    return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in fields])
 
 
 def saved_mentions(stored: DataFrame, seen: DataFrame) -> DataFrame:
