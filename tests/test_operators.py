@@ -526,6 +526,22 @@ def test_an_archive_is_indexed_by_content(spark):
     assert {r["path"] for r in archive.to_embed(two, files(a="1", b="changed", n="new")).collect()} == {"b", "n"}
 
 
+def test_tasks_of_shared_pairs_grow_in_number(spark, monkeypatch):
+    """Small partitions aren't joined to one large task, and their number grows with the rows."""
+    monkeypatch.setattr(graph, "PAIRED_ROWS", 100)
+    rows = spark.createDataFrame([(f"g{i // 3}", f"m{i % 50}") for i in range(1800)], "g string, m string")
+    out = graph.shared_pairs(rows, "g", "m", 2)
+    seen = {}
+    for g in range(600):
+        own = sorted({f"m{i % 50}" for i in range(3 * g, 3 * g + 3)})
+        for x in range(len(own)):
+            for y in own[x + 1 :]:
+                seen[own[x], y] = seen.get((own[x], y), 0) + 1
+    assert {tuple(r) for r in out.collect()} == {(*p, n) for p, n in seen.items() if n >= 2}
+    plan = graph.shared_pairs(rows, "g", "m", 2, about=2100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 21), REPARTITION_BY_NUM") == 2
+
+
 @pytest.mark.parametrize("name", ["saved_mentions", "saved_relations"])
 def test_texts_are_written_out_after_grouping(spark, sf, name):
     """Only ids are sent and sorted, not the texts that repeat them: a grouping lies under each place that writes them."""

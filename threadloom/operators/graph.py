@@ -46,12 +46,17 @@ def problem_solution_patterns(relations: DataFrame, entities: DataFrame, least:
     return out if limit is None else out.orderBy(F.desc("occurrences"), "problem_id", "solution_id").limit(limit)
 
 
-def shared_pairs(rows: DataFrame, group: str, member: str, least: int, block: int = 512) -> DataFrame:
+#: Rows of a task that pairs up members of groups, about.
+PAIRED_ROWS = 500_000
+
+
+def shared_pairs(rows: DataFrame, group: str, member: str, least: int, block: int = 512, about: int | None = None) -> DataFrame:
     """Pairs (a < b) of members that occur together in at least so many groups: (a, b, shared).
 
     A group of more than ``block`` members is dealt by pairs of blocks (i <= j): each member
     goes to as many cells as its group has blocks, and no task gets more than two blocks of
-    one group. Smaller groups are one cell.
+    one group. Smaller groups are one cell. Tasks grow in number with the rows, not in
+    size; ``about``: how many rows there are at most, where a count is dear.
     """
     seen = rows.filter(F.col(group).isNotNull() & F.col(member).isNotNull()).select(F.col(group).alias("g"), F.col(member).alias("m")).distinct()
     large = seen.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
@@ -59,6 +64,9 @@ def shared_pairs(rows: DataFrame, group: str, member: str, least: int, block: in
     dealt = dealt.withColumn("k", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
     left = dealt.select("g", F.col("m").alias("x"), F.col("k").alias("i"), F.explode(F.sequence(F.col("k"), F.col("blocks") - 1)).alias("j"))
     right = dealt.select("g", F.col("m").alias("y"), F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"), F.col("k").alias("j"))
+    # the number is given, as small partitions would be joined to tasks of many rows by their compressed size
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows.count() if about is None else about) // PAIRED_ROWS))
+    left, right = (d.repartition(tasks, "g", "i", "j") for d in (left, right))
     pairs = left.join(right, ["g", "i", "j"]).filter("i < j or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
@@ -79,9 +87,9 @@ def missing_links(mentions: DataFrame, relations: DataFrame, entities: DataFrame
     return out.orderBy(F.desc("shared"), "a", "b").limit(limit)
 
 
-def neighbour_clusters(relations: DataFrame, entities: DataFrame, least: int = 2, limit: int = 20) -> DataFrame:
-    """Pairs of entities that point at enough common targets, with their names, and how strongly."""
-    out = shared_pairs(relations, "target_entity_id", "source_entity_id", least).withColumn("strength", F.least(F.col("shared") / 10, F.lit(1.0))).orderBy(F.desc("shared"), "a", "b").limit(limit)
+def neighbour_clusters(relations: DataFrame, entities: DataFrame, least: int = 2, limit: int = 20, about: int | None = None) -> DataFrame:
+    """Pairs of entities that point at enough common targets, with their names, and how strongly. ``about``: as many relations at most, if known."""
+    out = shared_pairs(relations, "target_entity_id", "source_entity_id", least, about=about).withColumn("strength", F.least(F.col("shared") / 10, F.lit(1.0))).orderBy(F.desc("shared"), "a", "b").limit(limit)
     name = lambda c: entities.select(F.col("id").alias(c), F.col("canonical_name").alias(f"{c}_name"))
     return out.join(name("a"), "a", "left").join(name("b"), "b", "left")
 

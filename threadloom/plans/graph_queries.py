@@ -65,7 +65,7 @@ ORDER BY shared DESC, a, b LIMIT 200)
 SELECT c.*, x.canonical_name AS a_name, y.canonical_name AS b_name FROM c LEFT JOIN entities x ON x.id = a LEFT JOIN entities y ON y.id = b"""))
 def entity_clusters(spark, sf):
     m = Model(spark, sf)
-    return g.neighbour_clusters(m.relations(), m.table("part").select(F.concat(F.lit("e-"), "p_partkey").alias("id"), F.col("p_name").alias("canonical_name")), 2, 200)
+    return g.neighbour_clusters(m.relations(), m.table("part").select(F.concat(F.lit("e-"), "p_partkey").alias("id"), F.col("p_name").alias("canonical_name")), 2, 200, about=m.table("lineitem").count())
 
 
 _PATHS = """
