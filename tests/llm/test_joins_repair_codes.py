@@ -105,6 +105,34 @@ def test_jaccard_join_edges(spark):
     assert got == sorted(want, key=str)
 
 
+def test_unlike_texts_that_share_a_phrase_are_not_fetched(spark, monkeypatch):
+    """Their tallies rule the pairs out, so that no text travels for them; linked ones are found all the same."""
+    rnd, phrase = random.Random(8), "once said and never said again by anyone else here"
+    texts = [" ".join([*(f"w{rnd.randrange(10**6)}" for _ in range(150)), phrase]) for _ in range(30)]
+    rows = [*enumerate(texts), *((30 + i, t + " the end") for i, t in enumerate(texts[:5]))]
+    fetched = []
+    monkeypatch.setattr(jaccard, "SAMPLE", 0)
+    monkeypatch.setattr(jaccard, "confirmed", lambda pairs, *a, f=jaccard.confirmed: fetched.append(pairs.count()) or f(pairs, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 30 for i in range(35)}
+    assert fetched[1] <= 10
+
+
+def test_tallies_never_fall_below_the_intersection():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 1), (4, 5), (5, 4), (60, 300), (1000, 900), (30_000, 26_000)):
+        for share in (0.0, 0.5, 0.9):
+            own = lambda k: rng.integers(0, 2**64, k, dtype=np.uint64)
+            both = own(int(share * min(n, m)))
+            x, y = (np.unique(np.concatenate([both, own(k - len(both))])) for k in (n, m))
+            most = jaccard.most_common(jaccard.tallied(x), jaccard.tallied(y))
+            assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y))
+            if min(n, m) >= 900 and not share:
+                assert most < 0.8 * min(n, m)
+    crowded = np.arange(5000, dtype=np.uint64) << np.uint64(13)  # more than a byte counts share their last bits
+    assert jaccard.most_common(jaccard.tallied(crowded), jaccard.tallied(crowded[:2500])) >= 2500
+
+
 def test_pivots_lie_apart_and_count_exactly():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))

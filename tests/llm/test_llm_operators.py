@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,6 +208,18 @@ def test_components_take_the_least_id(spark, kind, monkeypatch):
     assert (len(written) - 3) // 2 < 25  # two tables a round, and a few more
 
 
+@pytest.mark.parametrize(("few", "most"), [(0, 80), (100, 40), (200_000, 5)])
+def test_components_end_in_one_task_when_few_edges_are_left(spark, few, most, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(600)] + [(1000 + i, 1001 + i) for i in range(300)]
+    written = []
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    monkeypatch.setattr(near_dedup, "cut", lambda df, f=near_dedup.cut: written.append(1) or f(df))
+    got = {r["doc_id"]: r["component"] for r in near_dedup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == plain_components(pairs)
+    assert len(written) <= most
+
+
 # op3
 
 
@@ -581,6 +594,19 @@ def test_quiet_texts_have_no_marginal_worth_noting():
         assert toxicity_crf.marginals([pot], tagger.move)[0].max() < tagger.least
 
 
+def test_training_keeps_tokens_as_numbers():
+    """The tagger learns on the driver: beside its batches and weights it takes little more than the texts."""
+    rnd = random.Random(4)
+    text = lambda y: " ".join([f"word{rnd.randrange(3000)}" for _ in range(4000)] + ["vilest"] * (3 * y))
+    sample = [(i, text(i % 2), i % 2) for i in range(200)]
+    tracemalloc.start()
+    model = toxicity_crf.fit_tagger(sample, passes=1, batch=16)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sample) * 4000 == 800_000 and peak < 50 * 800_000
+    assert not model.potential
+
+
 def toxic_corpus(seed=1):
     rng = random.Random(seed)
     words = ["loom", "thread", "warp", "weft", "cloth", "dye", "yarn", "spin"]

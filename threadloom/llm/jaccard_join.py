@@ -21,7 +21,8 @@ first. Then regions are joined in two levels:
    a shingle takes as its pivot the member of least id, as others do that it is in, and is joined like a region:
    exact distances to the pivot for those that may be linked to it by their sizes and the
    places of what they share in the order, links through it, then pairs that may be linked
-   so, and whose distances, where known, differ by no more than the reach.
+   so, whose distances, where known, differ by no more than the reach, and whose tallies of
+   shingles by bins allow it. Tallies are a small part of a text, and most pairs end there.
 
 Whatever is left is confirmed on full sets. Only pairs between components so far are left,
 as components are what is asked for; none between linked ones is needed. Large regions and
@@ -53,6 +54,7 @@ from threadloom.llm.near_dedup import components, shingle_set
 SAMPLE, LONGEST = 1024, 4096
 SAFE = 1e-9  # distances are compared with so much room
 BLOCK = 512  # members of a region or group that meet another block at a time
+PER_BIN = 4  # shingles of a set in a bin of its tally, at most on average
 CHUNK = 512  # members that meet a copy of their pivot's text
 IDS = 500_000  # ids of texts to be fetched that are broadcast; more are shuffled
 
@@ -117,10 +119,43 @@ def sampled(docs: DataFrame, k: int, least: int) -> list[np.ndarray]:
     return [np.frombuffer(r["shingles"], np.uint64) for r in sorted(rows, key=lambda r: r["h"])]
 
 
+def tallied(s: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of 2**i bins by their last bits, a byte each; two to ``PER_BIN`` a bin."""
+    bins = 1
+    while bins * PER_BIN < len(s):
+        bins *= 2
+    while (n := np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins)).max(initial=0) > 255:
+        bins *= 2
+    return n.astype(np.uint8).tobytes()
+
+
+def most_common(x: bytes, y: bytes) -> int:
+    """The intersection's size is at most this: in no bin do two sets share more than the fewer of their shingles."""
+    a, b = sorted((np.frombuffer(t, np.uint8) for t in (x, y)), key=len)
+    if len(a) < len(b):  # bins by fewer last bits
+        b = b.reshape(-1, len(a)).sum(0, dtype=np.int64)
+    return int(np.minimum(a, b).sum(dtype=np.int64))
+
+
+def possible(pairs: DataFrame, tallies: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that may be linked by the ``tallies`` of their sets (doc_id, n, tally); others can't be."""
+    side = lambda c: tallies.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("tally").alias(f"tally_{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = np.fromiter((most_common(x.as_py(), y.as_py()) for x, y in zip(b.column("tally_a"), b.column("tally_b"), strict=True)), np.int64, b.num_rows)
+            n = b.column("n_a").to_numpy() + b.column("n_b").to_numpy()
+            ok = pa.array((100 + percent) * most >= percent * n)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(ok)
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(run, "a long, b long")
+
+
 def measured(docs: DataFrame, pivots: Pivots, k: int, percent: int, small: int) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (digest), regions (pivot p of m shingles, s shared, whether it is home, bits) and keys.
+    """doc_id, n_shingles, set_a, set_b (digest), regions (pivot p of m shingles, s shared, whether it is home, bits), keys and tally.
 
-    ``keys``: the first shingles of a document that no region is home to.
+    ``keys``: the first shingles of a document that no region is home to; ``tally``: what ``tallied`` makes of its set.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pivots)
     reach, radius = 1 - percent / 100, radius_for(percent)
@@ -129,7 +164,7 @@ def measured(docs: DataFrame, pivots: Pivots, k: int, percent: int, small: int)
         pivots = shared.value
         region = pa.list_(pa.struct([("p", pa.int32()), ("m", pa.int32()), ("s", pa.int32()), ("home", pa.bool_()), ("bits", pa.binary())]))
         for b in batches:
-            n, da, db, regions, keys = [], [], [], [], []
+            n, da, db, regions, keys, tally = [], [], [], [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), k)
                 n.append(len(s))
@@ -138,6 +173,7 @@ def measured(docs: DataFrame, pivots: Pivots, k: int, percent: int, small: int)
                 if len(s) <= small:
                     regions.append(None)
                     keys.append(None)
+                    tally.append(None)
                     continue
                 at = pivots.places(s)
                 same = pivots.common(at)
@@ -153,15 +189,17 @@ def measured(docs: DataFrame, pivots: Pivots, k: int, percent: int, small: int)
                 regions.append(found)
                 if home >= 0:
                     keys.append(None)
+                    tally.append(None)
                     continue
                 seen = np.where(at >= 0, pivots.count[at] if len(pivots.count) else 0, 0)
                 first = len(s) + percent * len(s) // -100 + 1
                 keys.append(s[np.lexsort((s, seen))[:first]].view(np.int64))
+                tally.append(tallied(s))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(da, np.uint64).view(np.int64)), pa.array(np.array(db, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(regions, region), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "regions", "keys"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(regions, region), pa.array(keys, pa.list_(pa.int64())), pa.array(tally, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "regions", "keys", "tally"])
 
     kind = "array<struct<p:int,m:int,s:int,home:boolean,bits:binary>>"
-    return docs.mapInArrow(run, f"doc_id long, n_shingles long, set_a long, set_b long, regions {kind}, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id long, n_shingles long, set_a long, set_b long, regions {kind}, keys array<long>, tally binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -332,7 +370,9 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     label = part.select(F.col("doc_id").alias("v"), F.col("component"))
     main = roots.join(label.withColumnRenamed("v", "root"), "root", "left").select("p", F.coalesce("component", "root").alias("main"))
     placed = regions.join(label, "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component").join(main, "p", "left")
-    rest = cut(region_pairs(placed, percent).union(group_pairs(member, known, part, percent)).distinct())
+    tallies = reps.filter("keys is not null").select("doc_id", F.col("n_shingles").alias("n"), "tally")
+    grouped = possible(group_pairs(member, known, part, percent), tallies, percent)
+    rest = cut(region_pairs(placed, percent).union(grouped).distinct())
     more = linked(confirmed(rest, texts, shingle_words), percent)
     if not more.isEmpty():  # few, and only between components: these are joined, not their members
         of = lambda c: part.select(F.col("doc_id").alias(c), F.col("component").alias(f"part_{c}"))

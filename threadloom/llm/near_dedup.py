@@ -253,6 +253,24 @@ def through_hubs(stars: DataFrame, part: DataFrame, percent: int) -> DataFrame:
     return by_added.union(by_size).distinct()
 
 
+FEW = 200_000  # directed edges (16 bytes each) that one task joins
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, p): each vertex and the least one of its component, for edges of both directions."""
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ids, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+    x, y = ends.reshape(2, -1)
+    least = np.arange(len(ids))
+    while (least[x] != least[y]).any():
+        np.minimum.at(least, least[x], least[y])  # roots point at the least root next to them
+        while (least[least] != least).any():
+            least = least[least]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[least])], names=["a", "p"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component): the least id that each vertex of the undirected edges (a, b) reaches.
 
@@ -260,12 +278,16 @@ def components(edges: DataFrame) -> DataFrame:
     its neighbours and itself, pointers are followed once, and the graph is contracted along
     them until no edge is left. Random ranks make every component shrink by a constant factor
     a round however its ids lie, so rounds grow with the logarithm of its size. All steps
-    are joins on ids; nothing is gathered.
+    are joins on ids. Once at most ``FEW`` rows are left, one task ends what many small jobs
+    would, each of which takes the driver's memory; more are never gathered.
     """
     both = cut(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.select(F.col("a").alias("doc_id")).distinct()
     steps: list[DataFrame] = []
-    while not both.isEmpty():
+    while left := both.count():
+        if left <= FEW:
+            steps.append(cut(both.coalesce(1).mapInArrow(_ended, "a long, p long")))
+            break
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(steps))).alias("r"), F.col(c).alias("p"))  # noqa: B023, E731
         near = both.groupBy("a").agg(F.min(rank("b")).alias("least")).select("a", F.least("least", rank("a"))["p"].alias("p"))
         steps.append(cut(near.join(near.select(F.col("a").alias("p"), F.col("p").alias("q")), "p").select("a", F.col("q").alias("p"))))
