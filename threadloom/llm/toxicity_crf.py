@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -61,12 +62,22 @@ def telling_traits(sample: list[tuple[int, str, int]], ratio: float = 20, least_
     What stands between the same two words again and again comes from copies of a document
     and counts once.
     """
-    texts, seen, total = {(t, y) for _, t, y in sample}, (Counter(), Counter()), [0, 0]
-    own = lambda f: [n for n in traits(f) if n[0] in "wbc" and len(n) > 4]
-    for text, y in texts:
+    texts, total = {(t, y) for _, t, y in sample}, [0, 0]
+    for _, y in texts:
         total[y] += 1
-        seen[y].update({n for f in {form_of(c) for c in text.split()} for n in own(f)})
+    own = lambda f: [n for n in traits(f) if n[0] in "wbc" and len(n) > 4]
+    named = lambda text: {n for f in {form_of(c) for c in text.split()} for n in own(f)}
     enough = max(least, least_share * total[1])
+    toxic: Counter = Counter()
+    for text, y in texts:
+        if y:
+            toxic.update(named(text))
+    # most names are rare: they are dropped before clean texts are counted
+    seen = Counter(), {n: k for n, k in toxic.items() if k >= enough}
+    del toxic
+    for text, y in texts:
+        if not y:
+            seen[0].update(n for n in named(text) if n in seen[1])
     tells = lambda n, k: k >= enough and (k + 0.5) / (total[1] + 1) >= ratio * (seen[0][n] + 0.5) / (total[0] + 1)
     between: dict[str, set[int]] = {n: set() for n, k in seen[1].items() if tells(n, k)}
     for text, y in texts:
@@ -256,37 +267,42 @@ def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int =
         return None
     telling = telling_traits(sample)
     width = len(traits("word"))
-    forms: dict[str, tuple[list[int], bool]] = {}
-
-    def look(chunk: str) -> tuple[list[int], bool]:
-        if chunk not in forms:
-            names = traits(form_of(chunk))
-            spots = places_of(names)
-            forms[chunk] = spots + [HASHED] * (width - len(spots)), any(n in telling for n in names)
-        return forms[chunk]
+    # Tokens are kept as numbers of their forms, 4 bytes each: the driver's memory holds the sample's texts and little more.
+    number: dict[str, int] = {}
+    places, tells = array("i"), array("b")
+
+    def numbered(chunks: list[str]) -> np.ndarray:
+        for form in (forms := [form_of(c) for c in chunks]):
+            if form not in number:
+                number[form] = len(number)
+                names = traits(form)
+                places.extend(places_of(names) + [HASHED] * (width - len(names)))
+                tells.append(any(n in telling for n in names))
+        return np.fromiter(map(number.__getitem__, forms), np.int32, len(forms))
 
     rng, with_toxic, without = np.random.default_rng(seed), [], []
     for _, text, y in sample:
         for line in text.split("\n"):
             whole = line.split()
-            for chunks in (whole[at : at + STRETCH] for at in range(0, len(whole), STRETCH)):
-                hits = [y and look(c)[1] for c in chunks]
-                (with_toxic if any(hits) else without).append((chunks, hits))
+            for at in range(0, len(whole), STRETCH):
+                own = numbered(whole[at : at + STRETCH])
+                (with_toxic if y and any(tells[i] for i in own) else without).append((own, y))
     some = rng.permutation(len(without))[: max(500, 2 * len(with_toxic))]
-    rows = [(np.array([look(c)[0] for c in chunks], np.int32), np.array(hits, bool)) for chunks, hits in with_toxic + [without[i] for i in some]]
-    del with_toxic, without
-    forms.clear()
+    rows = with_toxic + [without[i] for i in some]
+    place, tell = np.array(places, np.int32).reshape(-1, width), np.array(tells, bool)
+    del with_toxic, without, places, tells
+    number.clear()
     weight, gsum = np.zeros(HASHED + 1), np.full(HASHED + 1, 1e-6)  # the last place stands for no feature
     weight[places_of(["*"])] = -2.0
     trans, tsum = np.zeros((3, 2)), np.full((3, 2), 1e-6)
     for _ in range(passes):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
-            part = sorted((rows[i] for i in order[at : at + batch]), key=lambda r: len(r[1]))
-            n = len(part[-1][1])
+            part = sorted((rows[i] for i in order[at : at + batch]), key=lambda r: len(r[0]))
+            n = len(part[-1][0])
             there, gold, spots = np.zeros((len(part), n), bool), np.zeros((len(part), n)), np.full((len(part), n, width), HASHED, np.int32)
-            for r, (own, hits) in enumerate(part):
-                there[r, : len(hits)], gold[r, : len(hits)], spots[r, : len(hits)] = True, hits, own
+            for r, (own, y) in enumerate(part):
+                there[r, : len(own)], gold[r, : len(own)], spots[r, : len(own)] = True, tell[own] * y, place[own]
             p, pair = chains(np.where(there, np.exp(np.clip(weight[spots].sum(2), -20, 20)), 1.0), there, np.exp(trans))
             miss = np.where(there, gold - p, 0.0)
             grad = np.bincount(spots.ravel(), np.repeat(miss.ravel(), width), HASHED + 1) - 1e-3 * weight
@@ -301,7 +317,10 @@ def fit_tagger(sample: list[tuple[int, str, int]], passes: int = 6, batch: int =
             weight += rate * grad / np.sqrt(gsum)
             trans += 0.3 * rate * tgrad / np.sqrt(tsum)
     out = Tagger(weight[:HASHED].astype(np.float32), np.exp(trans))
-    x = np.array([out.summary(m) for m in out.tag([t for _, t, _ in sample])])
+    del rows, place
+    out.potential.most = 50_000
+    x = np.array([out.summary(m) for at in range(0, len(sample), 100) for m in out.tag([t for _, t, _ in sample[at : at + 100]])])
+    out.potential = Potentials(out.weight)
     y = np.array([y for _, _, y in sample], float)
     own = np.where(y == 1, stands_for[1], stands_for[0])
     own /= own.mean()
