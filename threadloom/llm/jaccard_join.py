@@ -232,7 +232,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     dealt = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), "b")
     pivots = chunks.join(own("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "text_a")
     dealt = dealt.join(own("b"), "b")
-    full = dealt.join(pivots, ["a", "chunk"]).select("a", "b", "text_a", "text_b")
+    full = dealt.join(pivots.hint("merge"), ["a", "chunk"]).select("a", "b", "text_a", "text_b")
     return cut(full.mapInArrow(run, "a long, b long, n_a long, n_b long, same long"))
 
 
@@ -313,7 +313,8 @@ def group_pairs(member: DataFrame, known: DataFrame, part: DataFrame, percent: i
     reach = 1 - percent / 100 + SAFE
     far = 1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))
     distance = known.select(F.col("a").alias("hub"), F.col("b").alias("v"), far.alias("far"))
-    rows = member.withColumn("hub", F.col("pivot.v")).filter("v <> hub").join(distance, ["hub", "v"], "left")
+    # a table broadcast by two keys takes 64 MB of the driver's heap, however small it is
+    rows = member.withColumn("hub", F.col("pivot.v")).filter("v <> hub").join(distance.hint("merge"), ["hub", "v"], "left")
     rows = rows.join(part.withColumnRenamed("doc_id", "v"), "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component")
     open_keys = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("left")).filter("lo < hi").select("key", F.ceil(F.col("left") / BLOCK).cast("int").alias("blocks"))
     rows = cut(rows.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
