@@ -118,6 +118,38 @@ def test_unlike_texts_that_share_a_phrase_are_not_fetched(spark, monkeypatch):
     assert fetched[1] <= 10
 
 
+def test_a_phrase_that_few_samples_show_makes_no_groups(spark, monkeypatch):
+    """Unlike texts with one phrase in common don't meet, however many they are, and linked ones still do."""
+    rnd, phrase = random.Random(9), " ".join(f"said{i}" for i in range(24))
+    texts = [" ".join([*(f"w{rnd.randrange(10**6)}" for _ in range(100)), phrase]) for _ in range(300)]
+    rows = [*enumerate(texts), *((300 + i, t + " the end") for i, t in enumerate(texts[:5]))]
+    met = []
+    monkeypatch.setattr(jaccard, "SAMPLE", 0)
+    monkeypatch.setattr(jaccard, "group_pairs", lambda member, *a, f=jaccard.group_pairs: met.append(member.groupBy("key").count().selectExpr("max(count)").first()[0]) or f(member, *a))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i % 300 for i in range(305)}
+    assert met[0] <= 10  # the five with one end are the largest group
+
+
+def test_frequent_shingles_are_the_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "EVERY", 1)
+    docs = spark.createDataFrame([(i, "a b c d" if i < 3 else "a b c e" if i < 8 else "f" if i < 10 else None) for i in range(12)], "doc_id long, text string")
+    count = lambda: dict(zip(*(x.tolist() for x in jaccard.frequent(docs, 3)), strict=True))
+    of = lambda t: jaccard.shingle_set(t, 3).item()
+    assert count() == {of("a b c"): 8, of("b c d"): 3, of("b c e"): 5}
+    monkeypatch.setattr(jaccard, "FREQUENT", 2)
+    assert count() == {of("a b c"): 8, of("b c e"): 5}
+
+
+def test_joined_classes_are_broadcast_by_one_key(spark):
+    """A table broadcast by several keys takes 64 MB of the driver's heap, however small it is."""
+    out = jaccard.jaccard_components(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, "d")], "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in out.collect()} == {1: 1, 2: 1, 3: 3}
+    modes = re.findall(r"HashedRelationBroadcastMode\((.*?)\), \[", out._jdf.queryExecution().executedPlan().toString())
+    assert modes
+    assert all(m.count("input[") == 1 for m in modes)
+
+
 def test_tallies_never_fall_below_the_intersection():
     rng = np.random.default_rng(5)
     for n, m in ((1, 1), (4, 5), (5, 4), (60, 300), (1000, 900), (30_000, 26_000)):

@@ -16,8 +16,10 @@ first. Then regions are joined in two levels:
    the reach's width and their neighbours), by bit maps of the pivot's shingles: two can't
    share more than the common bits and the fewer of the shingles that either has besides.
 2. Documents far from all pivots form the remaining region, which is cut by their rarest
-   shingles: in an order of shingles that puts those frequent in the sample last, a linked
-   pair shares one of the first n - ceil(t n) + 1. Each group of documents that share such
+   shingles: in an order of shingles that puts frequent ones last, a linked pair shares one
+   of the first n - ceil(t n) + 1. Shingles are counted on one document in ``EVERY``, so that
+   one that many unlike documents share comes last however few of all documents they are,
+   and groups don't grow with the input. Each group of documents that share such
    a shingle takes as its pivot the member of least id, as others do that it is in, and is joined like a region:
    exact distances to the pivot for those that may be linked to it by their sizes and the
    places of what they share in the order, links through it, then pairs that may be linked
@@ -28,8 +30,8 @@ Whatever is left is confirmed on full sets. Only pairs between components so far
 as components are what is asked for; none between linked ones is needed. Large regions and
 groups are dealt by pairs of blocks, so that no task gets one whole.
 
-The sample fixes where pivots lie and the order of shingles, hence the cost and not the
-result. It is the ``SAMPLE`` texts least by hash, of at most ``LONGEST`` shingles each.
+Sample and counts fix where pivots lie and the order of shingles, hence the cost and not the
+result. The sample is the ``SAMPLE`` texts least by hash, of at most ``LONGEST`` shingles each.
 
 Defined results: a null, empty or white-space-only text has an empty set and is linked
 with nothing; fewer words than a shingle make one shingle; rows that repeat an id are one
@@ -54,6 +56,8 @@ from threadloom.llm.near_dedup import components, shingle_set
 SAMPLE, LONGEST = 1024, 4096
 SAFE = 1e-9  # distances are compared with so much room
 BLOCK = 512  # members of a region or group that meet another block at a time
+EVERY, OFTEN = 8, 3  # one document in so many is counted; a shingle in so many of those is frequent
+FREQUENT = 1 << 18  # shingles that every task knows as frequent, at most: the most frequent ones
 PER_BIN = 4  # shingles of a set in a bin of its tally, at most on average
 CHUNK = 512  # members that meet a copy of their pivot's text
 IDS = 500_000  # ids of texts to be fetched that are broadcast; more are shuffled
@@ -119,6 +123,39 @@ def sampled(docs: DataFrame, k: int, least: int) -> list[np.ndarray]:
     return [np.frombuffer(r["shingles"], np.uint64) for r in sorted(rows, key=lambda r: r["h"])]
 
 
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles in order and in how many of the counted documents each is; at most ``FREQUENT``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), k).view(np.int64))], names=["shingle"])
+
+    some = docs.filter(f"text is not null and pmod(xxhash64(doc_id, 11), {EVERY}) = 0").select("text")
+    counts = cut(some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN))
+    least, room = OFTEN, FREQUENT
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["n"]):
+        room -= r["rows"]
+        if room < 0:
+            least = r["n"] + 1
+            break
+    found = counts.filter(F.col("n") >= least).toArrow()
+    shingles, n = found.column("shingle").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(shingles)
+    return shingles[order], n[order]
+
+
+def first_shingles(s: np.ndarray, seen: np.ndarray, often: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Those of a set of which a linked set must have one, rarest first: by their counts in ``often``, then ``seen``, then themselves."""
+    shingles, n = often
+    if len(shingles):
+        at = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
+        counted = np.where(shingles[at] == s, n[at], 0)
+    else:
+        counted = np.zeros(len(s), np.int64)
+    return s[np.lexsort((s, seen, counted))[: len(s) + percent * len(s) // -100 + 1]]
+
+
 def tallied(s: np.ndarray) -> bytes:
     """How many shingles of a set fall into each of 2**i bins by their last bits, a byte each; two to ``PER_BIN`` a bin."""
     bins = 1
@@ -152,16 +189,16 @@ def possible(pairs: DataFrame, tallies: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(run, "a long, b long")
 
 
-def measured(docs: DataFrame, pivots: Pivots, k: int, percent: int, small: int) -> DataFrame:
+def measured(docs: DataFrame, pivots: Pivots, often: tuple[np.ndarray, np.ndarray], k: int, percent: int, small: int) -> DataFrame:
     """doc_id, n_shingles, set_a, set_b (digest), regions (pivot p of m shingles, s shared, whether it is home, bits), keys and tally.
 
     ``keys``: the first shingles of a document that no region is home to; ``tally``: what ``tallied`` makes of its set.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pivots)
+    shared = docs.sparkSession.sparkContext.broadcast((pivots, often))
     reach, radius = 1 - percent / 100, radius_for(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots = shared.value
+        pivots, often = shared.value
         region = pa.list_(pa.struct([("p", pa.int32()), ("m", pa.int32()), ("s", pa.int32()), ("home", pa.bool_()), ("bits", pa.binary())]))
         for b in batches:
             n, da, db, regions, keys, tally = [], [], [], [], [], []
@@ -192,8 +229,7 @@ def measured(docs: DataFrame, pivots: Pivots, k: int, percent: int, small: int)
                     tally.append(None)
                     continue
                 seen = np.where(at >= 0, pivots.count[at] if len(pivots.count) else 0, 0)
-                first = len(s) + percent * len(s) // -100 + 1
-                keys.append(s[np.lexsort((s, seen))[:first]].view(np.int64))
+                keys.append(first_shingles(s, seen, often, percent).view(np.int64))
                 tally.append(tallied(s))
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(np.array(da, np.uint64).view(np.int64)), pa.array(np.array(db, np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(regions, region), pa.array(keys, pa.list_(pa.int64())), pa.array(tally, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "regions", "keys", "tally"])
@@ -257,7 +293,7 @@ def region_pairs(members: DataFrame, percent: int) -> DataFrame:
     reach = 1 - percent / 100
     members = members.withColumn("far", 1 - F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).withColumn("alone", F.coalesce(F.col("part") != F.col("main"), F.lit(True)))
     blocks = members.groupBy("p").agg(F.ceil(F.sum(F.col("alone").cast("int")) / BLOCK).cast("int").alias("loner_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("all"))
-    members = members.join(F.broadcast(blocks.filter("loner_blocks > 0 and all > 1")), "p")
+    members = cut(members.join(F.broadcast(blocks.filter("loner_blocks > 0 and all > 1")), "p"))
     band, low, high = (F.floor(x / reach).cast("int") for x in (F.col("far"), F.col("far") - SAFE - reach, F.col("far") + SAFE + reach))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c: F.pmod(F.xxhash64("v"), F.col(c)).cast("int")
@@ -313,17 +349,18 @@ def group_pairs(member: DataFrame, known: DataFrame, part: DataFrame, percent: i
     reach = 1 - percent / 100 + SAFE
     far = 1 - F.col("same") / (F.col("n_a") + F.col("n_b") - F.col("same"))
     distance = known.select(F.col("a").alias("hub"), F.col("b").alias("v"), far.alias("far"))
-    # a table broadcast by two keys takes 64 MB of the driver's heap, however small it is
-    rows = member.withColumn("hub", F.col("pivot.v")).filter("v <> hub").join(distance.hint("merge"), ["hub", "v"], "left")
+    rows = member.withColumn("hub", F.col("pivot.v")).drop("pivot").filter("v <> hub")
     rows = rows.join(part.withColumnRenamed("doc_id", "v"), "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component")
     open_keys = rows.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("left")).filter("lo < hi").select("key", F.ceil(F.col("left") / BLOCK).cast("int").alias("blocks"))
     rows = cut(rows.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")))
+    # a table broadcast by several keys takes 64 MB of the driver's heap, however small it is: such joins are merged
+    rows = cut(rows.join(distance.hint("merge"), ["hub", "v"], "left"))
     cols = ["key", "v", "n", "place", "far", "part"]
     # block pairs (i <= j) of a group: each row goes to as many cells as there are blocks
     left = rows.select(*cols, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
     right = rows.select(*cols, F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"), F.col("block").alias("j"))
     met = F.expr(f"x.key = y.key and x.i = y.i and x.j = y.j and (x.i < x.j or x.v < y.v) and x.part <> y.part and coalesce(abs(x.far - y.far) <= {reach!r}, true) and {able('x', 'y', percent)}")
-    return left.alias("x").join(right.alias("y"), met).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
+    return left.alias("x").join(right.alias("y").hint("merge"), met).select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -335,7 +372,7 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     # sets of so few shingles that one more or less breaks the threshold are linked to equal sets only
     small = -(-percent // (100 - percent)) - 1 if percent < 100 else 2**62
     pivots = Pivots(sampled(docs, shingle_words, small + 1), radius_for(percent))
-    made = cut(measured(docs, pivots, shingle_words, percent, small))
+    made = cut(measured(docs, pivots, frequent(docs, shingle_words), shingle_words, percent, small))
     digest = ["n_shingles", "set_a", "set_b"]
     classes = cut(made.filter("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
     # an id with several sets links their classes
@@ -370,10 +407,11 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     # Both levels: what isn't linked through a pivot yet.
     label = part.select(F.col("doc_id").alias("v"), F.col("component"))
     main = roots.join(label.withColumnRenamed("v", "root"), "root", "left").select("p", F.coalesce("component", "root").alias("main"))
-    placed = regions.join(label, "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component").join(main, "p", "left")
+    placed = cut(regions.join(label, "v", "left").withColumn("part", F.coalesce("component", "v")).drop("component").join(main, "p", "left"))
     tallies = reps.filter("keys is not null").select("doc_id", F.col("n_shingles").alias("n"), "tally")
-    grouped = possible(group_pairs(member, known, part, percent), tallies, percent)
-    rest = cut(region_pairs(placed, percent).union(grouped).distinct())
+    # each step is written for itself: one plan of all takes the driver's memory
+    near, grouped = cut(region_pairs(placed, percent)), cut(group_pairs(member, known, part, percent))
+    rest = cut(near.union(possible(grouped, tallies, percent)).distinct())
     more = linked(confirmed(rest, texts, shingle_words), percent)
     if not more.isEmpty():  # few, and only between components: these are joined, not their members
         of = lambda c: part.select(F.col("doc_id").alias(c), F.col("component").alias(f"part_{c}"))
@@ -387,7 +425,9 @@ def jaccard_components(docs: DataFrame, shingle_words: int = 5, percent: int = 8
     named = cut(classes.join(part.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*digest, "size", F.coalesce("component", "rep").alias("component_id")))
     share = made.count() // 1000
     row = ["doc_id", "n_shingles", "component_id"]
-    met = made.select("doc_id", *digest).join(F.broadcast(named.filter(F.col("size") > share).drop("size")), digest, "left")
+    large = named.filter(F.col("size") > share).select(*(F.col(c).alias(f"of_{c}") for c in digest), "component_id")
+    equal = F.expr("set_a = of_set_a and ((set_b ^ of_set_b) | (n_shingles ^ of_n_shingles)) = 0")  # by one key, as above
+    met = made.select("doc_id", *digest).join(F.broadcast(large), equal, "left").select("doc_id", *digest, "component_id")
     done = "n_shingles = 0 or component_id is not null"
     some = met.filter(f"not ({done})").drop("component_id").join(named.filter(F.col("size") <= share).drop("size"), digest, "left")
     return met.filter(done).select(*row).union(some.select(*row)).withColumn("component_id", F.coalesce("component_id", "doc_id"))
