@@ -292,14 +292,19 @@ def region_pairs(members: DataFrame, percent: int) -> DataFrame:
     """
     reach = 1 - percent / 100
     members = members.withColumn("far", 1 - F.col("s") / (F.col("n") + F.col("m") - F.col("s"))).withColumn("alone", F.coalesce(F.col("part") != F.col("main"), F.lit(True)))
-    blocks = members.groupBy("p").agg(F.ceil(F.sum(F.col("alone").cast("int")) / BLOCK).cast("int").alias("loner_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("all"))
-    members = cut(members.join(F.broadcast(blocks.filter("loner_blocks > 0 and all > 1")), "p"))
     band, low, high = (F.floor(x / reach).cast("int") for x in (F.col("far"), F.col("far") - SAFE - reach, F.col("far") + SAFE + reach))
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     dealt = lambda c: F.pmod(F.xxhash64("v"), F.col(c)).cast("int")
     row = ["v", "n", "s", "home", "bits", "part"]
-    loners = members.filter("alone").withColumn("band", band).withColumn("x", dealt("loner_blocks")).withColumn("y", each("blocks"))
-    others = members.withColumn("band", F.explode(F.sequence(low, high))).withColumn("y", dealt("blocks")).withColumn("x", each("loner_blocks"))
+    loners = members.filter("alone").withColumn("band", band)
+    # of two loners the one nearer to the pivot goes to the other's band, so loners go to no lower one
+    others = members.withColumn("band", F.explode(F.sequence(F.when(F.col("alone"), band).otherwise(low), high)))
+    count = lambda side: F.sum((F.col("side") == side).cast("int"))
+    cells = loners.select("p", "band", F.lit(0).alias("side")).union(others.select("p", "band", F.lit(1).alias("side"))).groupBy("p", "band")
+    cells = cells.agg(F.ceil(count(0) / BLOCK).cast("int").alias("loner_blocks"), F.ceil(count(1) / BLOCK).cast("int").alias("blocks"), count(1).alias("all"))
+    cells = F.broadcast(cut(cells.filter("loner_blocks > 0 and all > 1")))
+    loners = loners.join(cells, ["p", "band"]).withColumn("x", dealt("loner_blocks")).withColumn("y", each("blocks"))
+    others = others.join(cells, ["p", "band"]).withColumn("y", dealt("blocks")).withColumn("x", each("loner_blocks"))
     key = ["p", "band", "x", "y"]
     both = loners.select(*key, F.lit(0).alias("side"), *row).union(others.select(*key, F.lit(1).alias("side"), *row))
 
