@@ -107,3 +107,14 @@ def test_capitals_as_in_sql(spark):
     got = [r[0] for r in spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, word string").orderBy("i").select(capital(F.col("word"))).collect()]
     assert got == [duckdb.execute("select upper(?[1]) || ?[2:]", [w, w]).fetchone()[0] for w in words]
     assert topic_titles(spark.createDataFrame([("c", 1, "ßerst")], "cluster string, place int, text string")).first()["title"] == "ẞerst"
+
+
+def test_thousandths_as_in_sql(spark):
+    """SQL rounds a thousand times the double: 509.49999999999994 for 0.5095."""
+    import duckdb
+
+    given = [0.509500, 0.511500, 0.234500, 0.500500, 0.512500, 0.999500, 0.2]
+    rows = [(f"e{k}", [x, float(np.sqrt(1 - x * x))]) for k, x in enumerate(given)]
+    edges = similarity.semantic_edges(spark.createDataFrame([("c", [1.0, 0.0])], "id string, embedding array<double>"), spark.createDataFrame(rows, "id string, embedding array<double>"), 0.1, 9)
+    got = {r["target_entity_id"]: (r["confidence"], r["evidence"]) for r in edges.collect()}
+    assert got == {f"e{k}": (x, duckdb.execute("SELECT printf('Semantic similarity: %.3f', round(?::DOUBLE, 3))", [x]).fetchall()[0][0]) for k, x in enumerate(given)}

@@ -310,12 +310,15 @@ def mean_vectors(df: DataFrame, key: str, digits: int = 6) -> DataFrame:
 
 
 def semantic_edges(conversations: DataFrame, episodes: DataFrame, least: float = 0.75, k: int = 5) -> DataFrame:
-    """Edges from each conversation to its k most similar episodes, with the similarity as confidence and evidence."""
+    """Edges from each conversation to its k most similar episodes, with the similarity as confidence and evidence.
+
+    Thousandths are those next to a thousand times the double, as SQL rounds; ``round(x, 3)`` goes by its decimal digits (0.5095 is 0.509, not 0.510).
+    """
     best = best_per(similar_pairs(conversations, episodes, least, k=k), "left_id", k, "right_id")
     return best.select(
         F.col("left_id").alias("source_entity_id"),
         F.col("right_id").alias("target_entity_id"),
         F.lit("SEMANTIC_MATCH").alias("relation_type"),
         F.col("similarity").alias("confidence"),
-        F.concat(F.lit("Semantic similarity: "), F.format_string("%.3f", F.round("similarity", 3))).alias("evidence"),
+        F.concat(F.lit("Semantic similarity: "), F.format_string("%.3f", F.round(F.col("similarity") * 1000) / 1000)).alias("evidence"),
     )
