@@ -118,3 +118,21 @@ def test_thousandths_as_in_sql(spark):
     edges = similarity.semantic_edges(spark.createDataFrame([("c", [1.0, 0.0])], "id string, embedding array<double>"), spark.createDataFrame(rows, "id string, embedding array<double>"), 0.1, 9)
     got = {r["target_entity_id"]: (r["confidence"], r["evidence"]) for r in edges.collect()}
     assert got == {f"e{k}": (x, duckdb.execute("SELECT printf('Semantic similarity: %.3f', round(?::DOUBLE, 3))", [x]).fetchall()[0][0]) for k, x in enumerate(given)}
+
+
+def _pairs_are_sent_on(df) -> bool:
+    """Whether rows that come out of the comparing tasks are shuffled, or were written before."""
+    above = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    return len(above) == 1 or "Exchange" in above[0] or "Join" in above[0]
+
+
+def test_pairs_of_copies_leave_their_task_as_rows(spark, rows, df):
+    """Pairs were written for vectors, then shuffled twice to meet the copies: disk grew with the square of the rows."""
+    assert not _pairs_are_sent_on(similarity.same_type_pairs(df, 0.1))
+    # a class of several bundles, a row that comes twice, a vector without direction
+    many = [(f"m{k:03d}", [1.0, 0.0], "t") for k in range(300)] + [("m000", [1.0, 0.0], "t"), ("n", [1.0, 0.1], "t"), ("n", [1.0, 0.1], "u"), ("z", [0.0, 0.0], "t"), ("y", [0.0, 0.0], "t")]
+    got = similarity.same_type_pairs(spark.createDataFrame(many, "id string, embedding array<double>, entity_type string"), 0.1).collect()
+    ids = sorted(i for i, _, kind in many if kind == "t" and i not in "yz")
+    want = sorted((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if a < b)
+    assert sorted((r["a"], r["b"]) for r in got) == want
+    assert {(r["entity_type"], r["similarity"], "n" in (r["a"], r["b"])) for r in got} == {("t", 1.0, False), ("t", 0.995037, True)}
