@@ -122,8 +122,15 @@ def test_thousandths_as_in_sql(spark):
 
 def _pairs_are_sent_on(df) -> bool:
     """Whether rows that come out of the comparing tasks are shuffled, or were written before."""
-    above = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
-    return len(above) == 1 or "Exchange" in above[0] or "Join" in above[0]
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depths, above = [len(x) - len(x.lstrip(" :+-")) for x in lines], []
+    for at in [n for n, x in enumerate(lines) if "MapInArrow" in x]:
+        depth = depths[at]
+        for n in range(at, -1, -1):
+            if depths[n] < depth:
+                depth = depths[n]
+                above.append(lines[n])
+    return not above or any("Exchange" in x or "Join" in x for x in above)
 
 
 def test_pairs_of_copies_leave_their_task_as_rows(spark, rows, df):
@@ -136,3 +143,16 @@ def test_pairs_of_copies_leave_their_task_as_rows(spark, rows, df):
     want = sorted((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if a < b)
     assert sorted((r["a"], r["b"]) for r in got) == want
     assert {(r["entity_type"], r["similarity"], "n" in (r["a"], r["b"])) for r in got} == {("t", 1.0, False), ("t", 0.995037, True)}
+
+
+def test_matches_with_copies_leave_their_task_as_rows(spark, rows):
+    """All matches of an expert entity, with copies on both sides and rows that come twice."""
+    ids, vectors, s = rows
+    source = ["user", "expert", "both"]
+    kind = "id string, embedding array<double>, source_type string"
+    entities = spark.createDataFrame([(i, [float(x) for x in v], source[k % 3]) for k, (i, v) in enumerate(zip(ids, vectors, strict=True))] * 2, kind)
+    out = similarity.other_source_matches(entities, entities.filter("source_type = 'expert'"), 0.1)
+    assert not _pairs_are_sent_on(out)
+    got = [tuple(r) for r in out.collect()]
+    want = {(ids[a], ids[b]) for a in range(150) for b in range(1, 150, 3) if a % 3 != 1 and s[a, b] >= 0.1}
+    assert len(got) == len(want) and {g[:2] for g in got} == want

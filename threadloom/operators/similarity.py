@@ -17,7 +17,7 @@ from threadloom.operators.rounds import written
 BROADCAST_VALUES = 4_000_000
 #: Rows of a block where both sides are dealt to blocks.
 BLOCK = 24_576
-#: Least number of blocks of a side where all pairs of copies are asked for, so that many tasks share the rows that come out.
+#: Least number of blocks of a side, on average, where all pairs of copies are asked for, so that many tasks share the rows that come out.
 BLOCKS = 12
 #: About as many ids of a class of equal vectors go into one row of ``bundles``.
 BUNDLE = 128
@@ -147,8 +147,9 @@ def all_pairs(left: DataFrame, right: DataFrame | None, least: float, kind: str
     """
     a = bundles(left, kind, once)
     b = None if right is None else bundles(right, kind, once)
-    rows = max(d.count() for d in (a, b) if d is not None)
-    pairs = class_pairs(a, b, least, values=values, block=min(block, max(1, -(-rows // BLOCKS))), kept=False)
+    few, many = sorted(d.count() for d in (a, a if b is None else b))
+    even = max((few * many) ** 0.5 / BLOCKS, many / BLOCKS**2, 1)
+    pairs = class_pairs(a, b, least, values=values, block=min(block, int(np.ceil(even))), kept=False)
     paired = lambda d: d.select(F.explode("left_id").alias("x"), "right_id", "kind", "similarity").select("x", F.explode("right_id").alias("y"), "kind", "similarity")
     if b is not None:
         return paired(pairs)
@@ -318,13 +319,13 @@ def other_source_matches(entities: DataFrame, chosen: DataFrame, least: float =
     sources have no matches. Rows: (id, embedding, source_type).
     """
     user, expert = F.col("source_type").isin("user", "both"), F.col("source_type") == "expert"
+    up = all_pairs(chosen.filter(expert), entities.filter(user), least, once=True)
     entities, chosen = (d.select("id", "embedding", "source_type").distinct() for d in (entities, chosen))
     down = best_per(similar_pairs(chosen.filter(user), entities.filter(expert), least, k=k), "left_id", k, "right_id")
-    up = similar_pairs(chosen.filter(expert), entities.filter(user), least)
     # pairs of two chosen entities are all in ``up``
     down = down.join(chosen.filter(expert).select(F.col("id").alias("right_id")), "right_id", "left_anti")
     as_ = lambda a, b: [F.col(a).alias("user_entity_id"), F.col(b).alias("expert_entity_id"), "similarity"]
-    return down.select(*as_("left_id", "right_id")).unionAll(up.select(*as_("right_id", "left_id")))
+    return down.select(*as_("left_id", "right_id")).unionAll(up.select(*as_("y", "x")))
 
 
 def implemented_by_files(items: DataFrame, files: DataFrame, least: float = 0.75) -> DataFrame:
