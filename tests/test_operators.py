@@ -555,3 +555,12 @@ def test_texts_are_written_out_after_grouping(spark, sf, name):
         under = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
         # or the empty table that saving begins with
         assert "Project" in plan[i] and any("Aggregate" in line or "LogicalRDD" in line for line in plan[i + 1 : under])
+
+
+def test_saved_relations_are_dealt_once(spark, sf):
+    """Pairs went over the network in each grouping, those of the first call twice; now once, dealt by their ends."""
+    from threadloom.plans.knowledge_queries import saved_relations
+
+    plan = saved_relations(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(source_entity_id" in line]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in line for line in dealt)

@@ -61,14 +61,16 @@ class Model:
     def embedded_messages(self) -> DataFrame:
         return self.with_vector(self.messages(), F.col("vec_place"))
 
-    def mentions(self) -> DataFrame:
-        """Which message mentions which entity, when, and from which source."""
-        return self.table("lineitem").select(
+    def mentions(self, tasks: int | None = None) -> DataFrame:
+        """Which message mentions which entity, when, and from which source; ``tasks``: dealt to so many by ``n``, the message's number, before ids are written out."""
+        lines = self.table("lineitem")
+        return (lines.repartition(tasks, "l_orderkey") if tasks else lines).select(
             F.concat_ws("-", F.lit("mn"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
             F.concat(F.lit("e-"), "l_partkey").alias("entity_id"),
             F.concat(F.lit("msg-"), "l_orderkey").alias("message_id"),
             (F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1000).cast("long").alias("ts_ms"),
             pick(("user", "expert", "user"), F.col("l_orderkey")).alias("source"),
+            *([F.col("l_orderkey").alias("n")] if tasks else []),
         )
 
     def entities(self) -> DataFrame:
